@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, decontaminate, langid, near
+from rankweave.llm import bpe, chat, decontaminate, langid, near, toxicity
 from rankweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,13 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.group(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, fitted, carry=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, TOKENIZER, carry=["doc_id"])
@@ -38,11 +45,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    back = chat.unpack(*chat.pack(rows.union(probe)))
+    spoken = F.array_join("learned", "")
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(spoken).cast("long").alias("loss_chars"),
+        F.sha2(spoken, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op7_language_id": op7_language_id,
+    "op10_chat_format": op10_chat_format,
 }
 
 #: DuckDB SQL over the same tables, for the queries that SQL can express.
