@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, chat, decontaminate, langid, near, toxicity
+from rankweave.llm import bpe, chat, decontaminate, langid, near, toxicity, vectors
 from rankweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.group(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op7_language_id": op7_language_id,
     "op10_chat_format": op10_chat_format,
+    "op8_vector_dedup": op8_vector_dedup,
 }
 
 #: DuckDB SQL over the same tables, for the queries that SQL can express.
