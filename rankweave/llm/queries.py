@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, chat, decontaminate, langid, near, toxicity, vectors
+from rankweave.llm import bpe, chat, decontaminate, langid, licenses, near, toxicity, vectors
 from rankweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    names = F.array_join(F.transform("licenses", lambda x: x["name"]), ",")
+    best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["share"])), F.lit(0.0))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), names.alias("licenses"), best.alias("best_share"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     samples = langid.learn(docs.where(~held_out("doc_id", 4)))
@@ -67,6 +74,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
     "op10_chat_format": op10_chat_format,
     "op8_vector_dedup": op8_vector_dedup,
