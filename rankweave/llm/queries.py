@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, chat, decontaminate, langid, licenses, near, toxicity, vectors
+from rankweave.llm import bpe, chat, decontaminate, langid, licenses, lm, near, toxicity, vectors
 from rankweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,12 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.group(table(spark, sf_dir, "embeddings"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, docs.where(~held_out("doc_id", 7)), RANKS, public_tokenizers.PATTERN, carry=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -76,6 +83,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
+    "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
     "op8_vector_dedup": op8_vector_dedup,
 }
