@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, chat, decontaminate, langid, licenses, lm, near, toxicity, vectors
+from rankweave.llm import bpe, chat, decontaminate, html, langid, licenses, lm, near, toxicity, vectors
 from rankweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), names.alias("licenses"), best.alias("best_share"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     samples = langid.learn(docs.where(~held_out("doc_id", 4)))
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_license_scan": op5_license_scan,
+    "op6_html_text": op6_html_text,
     "op7_language_id": op7_language_id,
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
