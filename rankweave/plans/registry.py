@@ -1,4 +1,31 @@
 """All queries over the test tables, with their DuckDB equivalents."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its function's name, with the SQL that gives the same rows."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from rankweave.plans import evaluation, guardrails, relational, retrieval, stateful  # noqa: F401
+
+
+load()
