@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (local tests) a temporary folder is made and set for the session.
+    Only where that is unset (local tests) a temporary folder becomes the session's checkpoint folder.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rankweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='rankweave-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -74,6 +73,20 @@ def held_out(id_col: str, modulus: int, remainder: int = 2):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number reachable from each of n nodes over the edges a-b."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        now = label.copy()
+        np.minimum.at(now, a, least)
+        np.minimum.at(now, b, least)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable from every node that an edge (a, b) names.
 

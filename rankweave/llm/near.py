@@ -5,25 +5,26 @@ The signature is split into 7 chunks of 4 values. A pair within distance 13 has,
 so every chunk is indexed four times, each time with one value left out, and such a pair meets under one of 28 keys at least.
 At a similarity of 0.85 the distance has mean 4.2 and exceeds 13 once in about 80,000 pairs.
 
-Only candidates are found so; each link is confirmed on the full shingle sets. In a bucket every member is first held
-against the bucket's most central member, which joins a group of thousands of copies by as many pairs as it has members;
-then all pairs of a bucket whose members are still in different components are tried, so that no link between components is lost.
+Only candidates are found so; each link is confirmed on the full shingle sets. Every member of a bucket is first held against the
+bucket's most central member, its leader, which joins a group of thousands of copies by as many pairs as it has members.
+Where members of one leader are still in different components, all their pairs are tried in blocks: with each set written as its
+difference from the leader's, the sizes of all intersections of two blocks are one matrix product, so that no pair is ever a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import components, dropped, map_batches, stored
+from rankweave.llm.common import components, dropped, forest, map_batches, stored
 
 CHUNKS, CHUNK, BITS = 7, 4, 16
 VALUES = CHUNKS * CHUNK
-#: Greatest distance at which a pair is sure to share a key: one error a chunk, and one more.
-RADIUS = 2 * CHUNKS - 1
+#: Members of one leader that one task holds against each other or another block, and columns of a matrix at once.
+BLOCK, COLUMNS = 1024, 4096
 PERCENT = 85
 WORDS = 5
 
@@ -151,21 +152,6 @@ def with_sets(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
     return map_batches(docs, [text_col], [T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))], make, carry)
 
 
-def differing(a: Column, b: Column) -> Column:
-    """How many of a word's four 16-bit values differ."""
-    x = a.bitwiseXOR(b)
-    for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-    return F.bit_count(x)
-
-
-def may_link(x: str, y: str, percent: int) -> Column:
-    """Set sizes allow the similarity, and the signatures are within the radius."""
-    distance = sum((differing(F.col(f"{x}.c{k}"), F.col(f"{y}.c{k}")) for k in range(CHUNKS)), F.lit(0))
-    nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (distance <= RADIUS)
-
-
 def keys_of(classes: DataFrame) -> DataFrame:
     """(cls, key): 28 a class, each of the place in the signature and the three other values of a chunk."""
     made = []
@@ -177,20 +163,86 @@ def keys_of(classes: DataFrame) -> DataFrame:
     return classes.select("cls", F.explode(F.array(*made)).alias("key"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Those pairs (x, y) of classes whose full sets are similar enough; sets are made anew for the classes named only."""
-    named = pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct().join(classes.select("cls", "rep"), "cls")
+def against_leaders(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(lead, cls, n_lead, n, shared, diff) of each pair (lead, cls): set sizes, the size of the intersection, and the shingles that
+    one of the two sets has. Sets are made anew, for the classes named only."""
+    named = pairs.select(F.col("lead").alias("cls")).union(pairs.select("cls")).distinct().join(classes.select("cls", "rep"), "cls")
     wanted = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
     sets = with_sets(wanted, text_col, []).join(named.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     sets = stored(sets, "sets")
-    left = pairs.join(sets.select(F.col("cls").alias("x"), F.col("shingles").alias("sx")), "x")
-    both = left.join(sets.select(F.col("cls").alias("y"), F.col("shingles").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    found = stored(both.where(shared * 100 >= (F.size("sx") + F.size("sy") - shared) * percent).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    both = pairs.join(sets, "cls").join(sets.select(F.col("cls").alias("lead"), F.col("shingles").alias("of_lead")), "lead")
+    made = both.select(
+        "lead", "cls", F.size("of_lead").alias("n_lead"), F.size("shingles").alias("n"),
+        F.concat(F.array_except("shingles", "of_lead"), F.array_except("of_lead", "shingles")).alias("diff"),
+    )
+    found = stored(made.select("*", ((F.col("n_lead") + F.col("n") - F.size("diff")) / 2).cast("int").alias("shared")), "led")
     dropped(sets)
     return found
 
 
+def linked_pairs(t: dict[str, np.ndarray], diffs: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows a and b whose sets are similar enough and whose components differ.
+
+    |x & y| = |lead| - |lead - x| - |lead - y| + (shingles that both differ by), and lead - x has |lead| - shared.
+    """
+    rows = np.unique(np.concatenate([a, b]))
+    flat = np.concatenate([diffs[i] for i in rows]) if len(rows) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(diffs[i]) for i in rows])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    some = count[column] > 1
+    renumbered = np.cumsum(count > 1) - 1
+    column, owner = renumbered[column[some]], owner[some]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    at_a, at_b = np.searchsorted(rows, a), np.searchsorted(rows, b)
+    common = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(rows), COLUMNS), np.float32)
+        part[owner[x:y], column[x:y] - first] = 1
+        common += part[at_a] @ part[at_b].T
+    lead = int(t["n_lead"][a[0]])
+    shared = (t["shared"][a][:, None] + t["shared"][b][None] - lead + common).astype(np.int64)
+    union = t["n"][a][:, None] + t["n"][b][None] - shared
+    return np.nonzero((shared * 100 >= union * percent) & (t["comp"][a][:, None] != t["comp"][b][None]))
+
+
+def further_links(led: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join members of one leader in different components, as forests."""
+    named = led.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    apart = named.groupBy("lead").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("lead", "members")
+    named = stored(named.join(apart, "lead"), "apart")
+    small = named.where(F.col("members") <= BLOCK).count()
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("cls", F.lit(5)), blocks).cast("int")).otherwise(F.lit(0))
+    gang = F.when(F.col("members") > BLOCK, F.col("lead")).otherwise(F.pmod(F.xxhash64("lead", F.lit(6)), F.lit(max(1, small // BLOCK))))
+    rows = named.select("lead", "cls", "comp", "n_lead", "n", "shared", "diff", gang.alias("gang"), own.alias("own"), (F.col("members") > BLOCK).alias("large"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+    def search(table: pa.Table) -> pa.Table:
+        t = {k: table.column(k).to_numpy() for k in ("lead", "cls", "comp", "n_lead", "n", "shared", "own")}
+        column = table.column("diff").combine_chunks()
+        flat, cuts = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        diffs = [flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        edges = []
+        order = np.argsort(t["lead"], kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(t["lead"][order])) + 1):
+            own = t["own"][rows]
+            a, b = rows[own == own.min()], rows[own == own.max()]
+            x, y = linked_pairs(t, diffs, a, b, percent)
+            if len(x):
+                pairs = np.stack([t["cls"][a[x]], t["cls"][b[y]]])
+                nodes, at = np.unique(pairs, return_inverse=True)
+                at = at.reshape(pairs.shape)
+                root = forest(at[0], at[1], len(nodes))
+                moved = root != np.arange(len(nodes))
+                edges.append(np.stack([nodes[moved], nodes[root[moved]]]))
+        made = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(made[0], pa.int64()), "b": pa.array(made[1], pa.int64())})
+
+    return stored(rows.groupBy("gang", "large", "i", "j").applyInArrow(search, "a bigint, b bigint"), "links")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: its id, n_shingles, component_id (smallest id reachable by links) and kept (it is that id).
 
@@ -202,33 +254,18 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     signed = stored(sign(docs, text_col, [id_col]), "signed")
     sig = [f"c{k}" for k in range(CHUNKS)]
     classes = stored(signed.where("n_shingles > 0").groupBy("cls", "n_shingles", *sig).agg(F.min(id_col).alias("rep")), "classes")
-    sketch = classes.select("cls", "n_shingles", *sig)
     keys = keys_of(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(shared, "key"), "members")
 
-    # 1. every member against the most central member of its bucket
     central = members.groupBy("cls").agg(F.sum("size").alias("weight"))
     leaders = members.join(central, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls")).getField("cls").alias("lead"))
-    star = members.join(leaders, "key").where("cls <> lead").select(F.least("cls", "lead").alias("x"), F.greatest("cls", "lead").alias("y")).distinct()
-    star = star.join(sketch.alias("p"), F.col("x") == F.col("p.cls")).join(sketch.alias("q"), F.col("y") == F.col("q.cls"))
-    star = stored(star.where(may_link("p", "q", percent)).select("x", "y"), "star")
-    links = confirmed(star, classes, docs, id_col, text_col, percent)
+    pairs = stored(members.join(leaders, "key").where("cls <> lead").select("lead", "cls").distinct(), "pairs")
+    dropped(members)
+    led = against_leaders(pairs, classes, docs, id_col, text_col)
+    links = led.where(F.col("shared") * 100 >= (F.col("n_lead") + F.col("n") - F.col("shared")) * percent).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
     known = stored(components(links), "known")
-
-    # 2. members of one bucket that are still apart, outside its largest component against all
-    named = members.join(known.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
-    named = stored(named, "named")
-    counts = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    apart = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp")).getField("comp").alias("main")).where("parts > 1").select("key", "main")
-    rest = stored(named.join(apart, "key").join(sketch, "cls"), "rest")
-    outer = rest.where("comp <> main").alias("p")
-    pairs = outer.join(rest.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls"))) & may_link("p", "q", percent))
-    pairs = pairs.select(F.least("p.cls", "q.cls").alias("x"), F.greatest("p.cls", "q.cls").alias("y")).distinct()
-    pairs = stored(pairs.join(star, ["x", "y"], "left_anti"), "pairs")
-    for done in (members, named, rest):
-        dropped(done)
-    more = confirmed(pairs, classes, docs, id_col, text_col, percent)
+    more = further_links(led, known, percent)
     final = components(links.union(more))
 
     of_class = classes.select("cls", "rep").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import components, map_batches, stored
+from rankweave.llm.common import components, forest, map_batches, stored
 
 THRESHOLD = 0.98
 #: Bounds of the fit: sampled vectors, lists, vectors a list is meant to hold, subspaces and codewords of each.
@@ -107,20 +107,6 @@ def fit(vectors: DataFrame, col: str = "embedding") -> dict[int, Index]:
     return out
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least number reachable from each of n nodes over the edges a-b."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        now = label.copy()
-        np.minimum.at(now, a, least)
-        np.minimum.at(now, b, least)
-        now = now[now]
-        if (now == label).all():
-            return label
-        label = now
-
-
 def link_block(index: Index, centre: np.ndarray, x: dict, y: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Link counts of the queries y among the vectors x of one list, and edges that join what the block links."""
     reach = math.sqrt(max(2 - 2 * threshold, 0))
