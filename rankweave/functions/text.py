@@ -34,9 +34,12 @@ INJECTIONS = {
     "tool_override": r"(?i)(^|[^0-9A-Za-z_])(call|invoke|run|execute)[^0-9A-Za-z_][^\n]{0,30}(tool|command|shell|sql)([^0-9A-Za-z_]|$)",
     "destructive_action": r"(?i)(drop[ \t]+(table|database)|truncate[ \t]+table|delete[ \t]+from|alter[ \t]+table)([^0-9A-Za-z_]|$)",
 }
-#: Letters of the Vietnamese and western European alphabets and what they fold to.
-ACCENTED = "àáảãạăằắẳẵặâầấẩẫậäåèéẻẽẹêềếểễệëìíỉĩịîïòóỏõọôồốổỗộơờớởỡợöùúủũụưừứửữựûüỳýỷỹỵÿđñç"
-FOLDED = "aaaaaaaaaaaaaaaaaaaeeeeeeeeeeeeiiiiiiiooooooooooooooooooouuuuuuuuuuuuuyyyyyydnc"
+#: Letters of the Vietnamese and western European alphabets by what they fold to.
+ACCENTS = {
+    "a": "àáảãạăằắẳẵặâầấẩẫậäåą", "e": "èéẻẽẹêềếểễệëę", "i": "ìíỉĩịîï", "o": "òóỏõọôồốổỗộơờớởỡợöø",
+    "u": "ùúủũụưừứửữựûü", "y": "ỳýỷỹỵÿ", "d": "đ", "n": "ñń", "c": "çć",
+}
+ACCENTED, FOLDED = "".join(ACCENTS.values()), "".join(k * len(v) for k, v in ACCENTS.items())
 LOW_CONTENT = 600
 
 

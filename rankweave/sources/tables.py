@@ -25,7 +25,7 @@ def read_json_folder(spark: SparkSession, path: str, schema: str, order: str, li
 
 def read_front_matter(spark: SparkSession, path: str) -> DataFrame:
     """(path, meta, body) of Markdown files that open with a block of `key: value` lines between fences of ---."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
     head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?", 1)
     pairs = F.filter(F.split(head, "\n"), lambda x: x.contains(":"))
     key = lambda x: F.trim(F.substring_index(x, ":", 1))
