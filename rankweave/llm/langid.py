@@ -91,11 +91,13 @@ class Parser:
         size = self.symbols.size
         own, _ = self.symbols.read(texts)
         going = suffix_automaton(own.tolist())
-        table = np.zeros((len(going), size), np.int32)
-        root = np.zeros(size, np.int32)
+        alone = len(going)  # the state after a symbol that the language doesn't have: a phrase of its own
+        root = np.full(size, alone * size, np.int32)
         for c, q in going[0].items():
             root[c] = q * size
+        table = np.empty((alone + 1, size), np.int32)
         table[:] = root | MISS
+        table[0] = root
         for s, edges in enumerate(going):
             if edges:
                 table[s, list(edges)] = np.fromiter(edges.values(), np.int32, len(edges)) * size
