@@ -99,14 +99,15 @@ def experience_score(shown: Column, asked: Column, claimed: Column, progressed:
     return F.least(F.lit(100.0), kept + F.when(progressed, 10.0).otherwise(0.0))
 
 
-def comparison(rows: DataFrame, key: str, skills: str, asked: str) -> DataFrame:
-    """Matched and missing skills, four scores and the rank of each compared row."""
+def comparison(rows: DataFrame, key: str, skills: str, asked: str, k: int) -> DataFrame:
+    """The k best of the compared rows with matched and missing skills, scores and rank; only k rows are gathered to be numbered."""
     matched, missing = F.array_intersect(asked, skills), F.array_except(asked, skills)
     fit = F.when(F.size(asked) == 0, 0.0).otherwise(100.0 * F.size(matched) / F.size(asked))
     breadth = F.least(F.lit(100.0), F.size(skills) * 10.0)
     total = F.round(fit * 0.35 + breadth * 0.35 + (100.0 - fit) * 0.30, 2)
     scored = rows.select(key, F.array_sort(matched).alias("matched"), F.array_sort(missing).alias("missing"), F.round(fit, 2).alias("fit"), breadth.alias("breadth"), total.alias("total"))
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), F.desc("fit"), key)))
+    best = scored.orderBy(F.desc("total"), F.desc("fit"), key).limit(k)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), F.desc("fit"), key)))
 
 
 def repositories(text: Column) -> Column:

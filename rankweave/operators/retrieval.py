@@ -10,6 +10,8 @@ from rankweave.functions import numbers, text
 K1, B = 1.5, 0.75
 #: Query terms whose table may be broadcast; beyond, the join is left to adaptive execution.
 BROADCAST_TERMS = 200_000
+#: Query vectors broadcast at once.
+QUERY_BLOCK = 10_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
@@ -39,12 +41,20 @@ def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie:
 
 
 def dense(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str = "embedding") -> DataFrame:
-    """(query, doc, distance) of every query against every usable document vector, block-wise: queries are a stated set and must be few."""
+    """(query, doc, distance) of every query of a stated set against every usable document vector.
+
+    Queries are broadcast in blocks of at most QUERY_BLOCK, so that what is broadcast has a bound however many are asked.
+    """
     q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("qv")).where(numbers.usable(F.col("qv")))
     q = q.select("query", "qv", numbers.norm(F.col("qv")).alias("qn"))
     d = docs.select(F.col(doc_id).alias("doc"), F.col(vector).alias("dv")).where(numbers.usable(F.col("dv")))
     d = d.select("doc", "dv", numbers.norm(F.col("dv")).alias("dn"))
-    pairs = d.join(F.broadcast(q), (F.size("qv") == F.size("dv")) & (F.col("doc") != F.col("query")))
+    blocks = -(-q.count() // QUERY_BLOCK) or 1
+    pairs = None
+    for k in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
+        found = d.join(F.broadcast(block), (F.size("qv") == F.size("dv")) & (F.col("doc") != F.col("query")))
+        pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.select("query", "doc", (1 - numbers.dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn"))).alias("distance"))
 
 

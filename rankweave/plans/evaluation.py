@@ -27,7 +27,7 @@ def _metrics(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     asked = v.where("vec_id % 100 = 0")
     near = retrieval.dense(v, asked, "vec_id", "vec_id").withColumn("distance", F.round("distance", 6))
-    grades = v.join(F.broadcast(asked.select(F.col("vec_id").alias("query"), "label")), "label").where("vec_id <> query")
+    grades = v.join(asked.select(F.col("vec_id").alias("query"), "label"), "label").where("vec_id <> query")
     grades = grades.select("query", F.col("vec_id").alias("doc"), F.when(F.col("vec_id") % 3 == 0, 2).otherwise(1).alias("grade"))
     return evaluation.ranking_metrics(retrieval.top(near, 20, score="distance", descending=False).select("query", "doc", "place"), grades, [5, 10])
 
@@ -70,7 +70,7 @@ def qrels_transpose(spark, sf_dir):
     """Relevance judgements keyed by document instead of query."""
     v = table(spark, sf_dir, "embeddings")
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label")
-    return v.join(F.broadcast(asked), "label").where("vec_id <> query").groupBy(F.col("vec_id").alias("cv")).agg(F.count("*").alias("own"), F.sum((F.col("query") % 3 == 0).cast("int")).alias("grade2"))
+    return v.join(asked, "label").where("vec_id <> query").groupBy(F.col("vec_id").alias("cv")).agg(F.count("*").alias("own"), F.sum((F.col("query") % 3 == 0).cast("int")).alias("grade2"))
 
 
 @query("SELECT source, count(*) AS docs, count(*) FILTER (quality = 1) AS good, round(avg(quality), 6)::DOUBLE AS precision, count(*) FILTER (quality IS NULL) AS unjudged FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")

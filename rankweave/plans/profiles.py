@@ -88,7 +88,7 @@ def comparison_top(spark, sf_dir):
     """The ten best documents of a comparison against four skills."""
     owned = skills.extract(table(spark, sf_dir, "documents"), skills.taxonomy(spark), "doc_id").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("slug").alias("s"))
     rows = owned.withColumn("asked", F.array(*(F.lit(x) for x in ("attion", "inthe", "mente", "thing"))))
-    best = profiles.comparison(rows, "doc_id", "s", "asked").where("place <= 10")
+    best = profiles.comparison(rows, "doc_id", "s", "asked", 10)
     return best.select("doc_id", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "fit", "total", "place")
 
 

@@ -73,7 +73,7 @@ dl AS (SELECT query, doc, distance, rank() OVER (PARTITION BY query ORDER BY dis
 def _lists(spark, sf_dir):
     """Both top-50 lists of each item: BM25 over documents, and distances between the vectors of equal ids."""
     vectors, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
-    asked = vectors.join(F.broadcast(items.select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi")
+    asked = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     near = retrieval.dense(vectors, asked, "vec_id", "vec_id").withColumn("distance", F.round("distance", 6))
     return retrieval.top(_lexical(spark, sf_dir), 50), retrieval.top(near, 50, score="distance", descending=False)
 
@@ -135,7 +135,7 @@ def _candidates(spark, sf_dir):
     pool = lexical.select("query", "doc", F.col("score").alias("bm25")).join(near.select("query", "doc", "distance"), ["query", "doc"], "full")
     wanted, owned = _skill_sets(spark, sf_dir)
     none = F.array().cast("array<string>")
-    rows = pool.join(F.broadcast(wanted), "query", "left").join(owned, "doc", "left")
+    rows = pool.join(wanted, "query", "left").join(owned, "doc", "left")
     rows = rows.withColumns({"wanted": F.coalesce("wanted", none), "owned": F.coalesce("owned", none), "bm25": F.coalesce("bm25", F.lit(0.0))})
     return rows.withColumns({
         "verified": F.filter("owned", lambda s: s != "thble"), "must": F.array(F.slice(F.array_sort("wanted"), 1, 2)), "excluded": F.array(F.lit("ertion")),
@@ -193,6 +193,6 @@ def vector_search_within(spark, sf_dir):
     """The nearest vectors of a query's own label, at most 50 whatever is asked for."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), "label")
-    near = v.join(F.broadcast(q), "label").where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(1 - numbers.cosine(F.col("qv"), F.col("embedding")), 6).alias("distance"))
+    near = v.join(q, "label").where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(1 - numbers.cosine(F.col("qv"), F.col("embedding")), 6).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "doc"))
     return near.withColumn("place", place).where(F.col("place") <= min(80, 50)).select("query", "doc", F.lit(1).alias("label_match"), "place")
