@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "rankweave", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session in UTC with adaptive execution on; on a cluster, submit with your own master and settings."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,3 +21,13 @@ def get_spark(app: str = "rankweave", cpus: str | int = "*", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return importable(spark)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers that see this folder import the package, wherever the driver was started; elsewhere ship it with --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
