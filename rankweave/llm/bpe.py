@@ -8,6 +8,7 @@ Words repeat, so a task keeps a bounded memo of encoded words.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 import regex
@@ -20,9 +21,18 @@ from rankweave.llm.common import map_batches
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: The same pattern for texts of code points up to U+024F alone, with their letters and numbers written out.
+NARROW = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    r"| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
+)
+WIDE = re.compile(r"[^\x00-\u024f]")
+
 #: A vocabulary file beyond this is not a tokenizer to broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 NONE = 1 << 62
+#: Children of a node of the segment tree.
+NODE = 16
 
 
 def byte_symbols() -> list[str]:
@@ -35,81 +45,101 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary, its merges and the memo of encoded words."""
 
-    def __init__(self, tokenizer_json: str | bytes, memo_words: int = 300_000):
+    def __init__(self, tokenizer_json: str | bytes, memo_words: int = 400_000):
         spec = json.loads(tokenizer_json)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         of_symbol = {s: b for b, s in enumerate(symbols)}
         self.first = [vocab[s] for s in symbols]
-        self.pairs = {}
+        self.pairs, self.merged = {}, []  # a pair of ids (below 2 ** 20) to its rank, a rank to the merged id
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs[vocab[left], vocab[right]] = rank, vocab[left + right]
+            self.pairs[vocab[left] << 20 | vocab[right]] = rank
+            self.merged.append(vocab[left + right])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = {i: bytes(of_symbol[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words, self.memo, self.memo_words = regex.compile(WORDS), {}, memo_words
+        self.words, self.memo, self.older, self.memo_words = regex.compile(WORDS), {}, {}, memo_words
 
     def merge(self, data: bytes) -> list[int]:
-        """Token ids of one word, by the segment tree."""
+        """Token ids of one word, by the segment tree; a word of up to NODE pairs is one node."""
         ids = [self.first[b] for b in data]
-        n = len(ids)
-        if n < 2:
-            return ids
-        pairs, size = self.pairs, 1 << (n - 2).bit_length()
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = [NONE] * (2 * size)
+        get, merged = self.pairs.get, self.merged
+        ranks = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
+        if len(ranks) > NODE:
+            return self.merge_long(ids, ranks)
+        while ranks:
+            low = min(ranks)
+            if low == NONE:
+                break
+            i = ranks.index(low)
+            ids[i] = merged[low]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], NONE)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
+        return ids
+
+    def merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """The same with a tree of inner nodes, each the least of NODE children; a merge changes three leaves and their paths."""
+        n, get, merged = len(ids), self.pairs.get, self.merged
         shift = n.bit_length()  # a key is the rank, then the place: the least key is the leftmost of the lowest rank
         mask = (1 << shift) - 1
-        for i in range(n - 1):
-            if found := pairs.get((ids[i], ids[i + 1])):
-                tree[size + i] = found[0] << shift | i
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
-        while (root := tree[1]) != NONE:
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        levels = [[r << shift | i if r != NONE else NONE for i, r in enumerate(ranks)]]
+        while len(levels[-1]) > 1:
+            below = levels[-1]
+            levels.append([min(below[k : k + NODE]) for k in range(0, len(below), NODE)])
+        while (root := levels[-1][0]) != NONE:
             i = root & mask
             j = following[i]
-            ids[i] = pairs[ids[i], ids[j]][1]
+            ids[i] = merged[root >> shift]
             ids[j] = -1
             after = following[i] = following[j]
-            changes = [(i, NONE)]
+            key = NONE
             if after < n:
                 before[after] = i
-                if found := pairs.get((ids[i], ids[after])):
-                    changes = [(i, found[0] << shift | i)]
+                r = get(ids[i] << 20 | ids[after], NONE)
+                key = r << shift | i if r != NONE else NONE
+            changes = [(i, key)]
             if j < n - 1:
                 changes.append((j, NONE))
             if (p := before[i]) >= 0:
-                found = pairs.get((ids[p], ids[i]))
-                changes.append((p, found[0] << shift | p if found else NONE))
-            for leaf, key in changes:
-                k = size + leaf
-                tree[k] = key
-                while k > 1:
-                    a, b = tree[k], tree[k ^ 1]
-                    k >>= 1
-                    least = a if a < b else b
-                    if tree[k] == least:
+                r = get(ids[p] << 20 | ids[i], NONE)
+                changes.append((p, r << shift | p if r != NONE else NONE))
+            for k, key in changes:
+                for level, above in zip(levels, levels[1:]):
+                    level[k] = key
+                    k //= NODE
+                    key = min(level[k * NODE : k * NODE + NODE])
+                    if above[k] == key:
                         break
-                    tree[k] = least
+                    above[k] = key
         return [x for x in ids if x >= 0]
 
+    def word(self, word: str) -> bytes:
+        """Ids of one word, from the memo of this or the former generation of words, or merged anew."""
+        got = self.older.get(word)
+        if got is None:
+            got = b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())])
+        if len(word) <= 64:
+            if len(self.memo) >= self.memo_words:
+                self.older, self.memo = self.memo, {}
+            self.memo[word] = got
+        return got
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Special tokens in the text become their ids."""
-        memo, out = self.memo, []
-        for part in self.split_special.split(text) if self.split_special else [text]:
+        out = []
+        for part in self.split_special.split(text) if self.split_special and any(x in text for x in self.special) else [text]:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            for word in self.words.findall(part):
-                got = memo.get(word)
-                if got is None:
-                    got = b"".join(i.to_bytes(4, "little") for i in self.merge(word.encode()))
-                    if len(word) <= 64:
-                        if len(memo) >= self.memo_words:
-                            memo.clear()
-                        memo[word] = got
-                out.append(got)
+            words = (self.words if WIDE.search(part) else NARROW).findall(part)
+            got = list(map(self.memo.get, words))
+            if None in got:
+                got = [self.word(w) if g is None else g for w, g in zip(words, got, strict=True)]
+            out += got
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
