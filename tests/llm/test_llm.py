@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from compare import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -388,7 +389,12 @@ def test_chat_round_trip(spark):
 # --- queries and pipeline
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf_dir, name):
+    assert compare(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], connect(sf_dir)) == []
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_covers_its_table(spark, sf_dir, name):
     rows = queries.QUERIES[name](spark, sf_dir).count()
     source = {"op6": "pages", "op8": "embeddings"}.get(name.split("_")[0], "documents")
