@@ -86,7 +86,7 @@ def gate(text: Column, chat: bool = False, budget: int = 20_000) -> Column:
     injected = F.size(matching(text, INJECTIONS)) > 0
     secret = F.size(matching(text, SECRETS)) > 0
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    rest = F.coalesce(F.trim(without_lines(text, INJECTIONS)), F.lit("")) == ""
+    rest = injected & (F.coalesce(F.trim(without_lines(text, INJECTIONS)), F.lit("")) == "")  # lines are looked at only where one is to go
     personal = redact(text) != text
     over = F.length(text) > budget
     action = (
