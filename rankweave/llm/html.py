@@ -247,7 +247,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     """
     keyed = pages.withColumns({"k1": F.xxhash64(url_col, html_col), "k2": F.xxhash64(html_col, F.lit(1), url_col)})
     found = stored(differences(mates(sketch(keyed.select("k1", "k2", url_col, html_col), html_col, url_col).dropDuplicates(["k1", "k2"]))), "pages-shared")
-    joined = keyed.join(found, ["k1", "k2"], "left")
+    joined = keyed.join(found.hint("merge"), ["k1", "k2"], "left")  # a row a page: never broadcast, at any size
 
     def make():
         return lambda docs, shared: [pa.array([main_text(p, s) for p, s in zip(docs.to_pylist(), shared.to_pylist(), strict=True)], pa.string())]
