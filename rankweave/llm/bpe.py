@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rankweave.llm.common import map_batches
+from rankweave.llm.common import held, map_batches
 
 #: Unicode's white space, and the word pattern of byte-level BPE.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -45,7 +45,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary, its merges and the memo of encoded words."""
 
-    def __init__(self, tokenizer_json: str | bytes, memo_words: int = 400_000):
+    def __init__(self, tokenizer_json: str | bytes, memo_words: int = 200_000):
         spec = json.loads(tokenizer_json)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         of_symbol = {s: b for b, s in enumerate(symbols)}
@@ -148,16 +148,9 @@ class Bpe:
         return b"".join([of[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Bpe] = {}
-
-
 def loaded(tokenizer_json: bytes) -> Bpe:
     """One vocabulary per Python worker, however many tasks it runs."""
-    key = hash(tokenizer_json)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(tokenizer_json)
-    return _LOADED[key]
+    return held(("bpe", hash(tokenizer_json)), lambda: Bpe(tokenizer_json))
 
 
 def read_vocabulary(path: str) -> bytes:

@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of an Arrow batch, about, that a task works on at once.
+SLICE_BYTES = 4 << 20
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """The object that make() gives, kept in the Python worker until another key is asked for: one operator's model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,10 +73,13 @@ def map_batches(df: DataFrame, inputs: Sequence[str], outputs: Sequence[T.Struct
 
     def run(batches):
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE_BYTES // max(whole.nbytes, 1))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 made = work(*(batch.column(c) for c in inputs))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *made], names=names)
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import map_batches
+from rankweave.llm.common import held, map_batches
 
 #: Bounds of the sample that a language is learned from: rows a language, and characters (whole rows are added until one would pass
 #: it; if the first alone does, it is cut).
@@ -164,15 +164,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     return out
 
 
-_LOADED: dict[int, Parser] = {}
-
-
 def _parser(samples: dict[str, list[str]]) -> Parser:
     key = hash(tuple((k, tuple(v)) for k, v in samples.items()))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Parser(samples)
-    return _LOADED[key]
+    return held(("languages", key), lambda: Parser(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

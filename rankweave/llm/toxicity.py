@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import held_out, map_batches, stored
+from rankweave.llm.common import held, held_out, map_batches, stored
 
 #: Bounds of the fit: labelled rows (a share of them by hash beyond this), lexicon entries, words of the character model.
 SAMPLE_ROWS = 24_000
@@ -191,15 +191,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select("text", "toxic")
 
 
-_LOADED: dict[int, Scorer] = {}
-
-
 def _scorer(fitted: dict) -> Scorer:
     key = hash((tuple(sorted(fitted["lexicon"].items())), tuple(sorted(fitted["words"].items())), fitted["base"]))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Scorer(fitted["lexicon"], fitted["words"], fitted["base"])
-    return _LOADED[key]
+    return held(("toxicity", key), lambda: Scorer(fitted["lexicon"], fitted["words"], fitted["base"]))
 
 
 def score(docs: DataFrame, fitted: dict, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
