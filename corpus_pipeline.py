@@ -11,6 +11,8 @@ from rankweave.llm import bpe, decontaminate, langid, near, toxicity
 from rankweave.llm.common import stored, table
 from rankweave.llm.queries import TOKENIZER
 
+#: Near copies are linked from this similarity (percent of shared five-word shingles) on; the 85 of op2_near_dedup is that query's contract only.
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -29,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id. Rows that share a doc_id go or stay together, and
     rows without one stay."""
-    kept = near.group(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near.group(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 

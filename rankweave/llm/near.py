@@ -1,9 +1,10 @@
 """MinHash near-duplicates by a multi-index Hamming join over b-bit signatures.
 
-A signature is 28 MinHash values of 16 bits. Two documents' signature distance is the number of values that differ.
+A signature is 28 MinHash values of 16 bits at a similarity of 0.85. Two documents' signature distance is the number of values that differ.
 The signature is split into 7 chunks of 4 values. A pair within distance 13 has, by pigeonhole, a chunk with at most one error;
 so every chunk is indexed four times, each time with one value left out, and such a pair meets under one of 28 keys at least.
-At a similarity of 0.85 the distance has mean 4.2 and exceeds 13 once in about 80,000 pairs.
+At a similarity of 0.85 the distance has mean 4.2 and exceeds 13 once in about 70,000 pairs. Lower similarities take as many chunks
+as keep that rate (``chunks_for``): 11 at 0.8, so 44 values, an allowed distance of 21 and 44 keys.
 
 Only candidates are found so; each link is confirmed on the full shingle sets. Every member of a bucket is first held against the
 bucket's most central member, its leader, which joins a group of thousands of copies by as many pairs as it has members.
@@ -13,6 +14,8 @@ difference from the leader's, the sizes of all intersections of two blocks are o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,8 @@ from pyspark.sql import types as T
 from rankweave.llm.common import components, dropped, forest, map_batches, stored
 
 CHUNKS, CHUNK, BITS = 7, 4, 16
-VALUES = CHUNKS * CHUNK
+#: How often a pair at the threshold may be further apart than the allowed distance.
+BEYOND = 1.5e-5
 #: Members of one leader that one task holds against each other or another block, and columns of a matrix at once.
 BLOCK, COLUMNS = 1024, 4096
 PERCENT = 85
@@ -36,11 +40,21 @@ _BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=_U)
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = _U(0xD6E8FEB86659FD93)
-_TIMES = _RNG.integers(0, 2**63 - 1, VALUES, dtype=_U) * _U(2) + _U(1)
-_PLUS = _RNG.integers(0, 2**64 - 1, VALUES, dtype=_U)
+_TIMES = _RNG.integers(0, 2**63 - 1, CHUNKS * CHUNK, dtype=_U) * _U(2) + _U(1)
+_PLUS = _RNG.integers(0, 2**64 - 1, CHUNKS * CHUNK, dtype=_U)
+#: Those of further chunks.
+_TIMES, _PLUS = np.concatenate([_TIMES, _RNG.integers(0, 2**63 - 1, 1000, dtype=_U) * _U(2) + _U(1)]), np.concatenate([_PLUS, _RNG.integers(0, 2**64 - 1, 1000, dtype=_U)])
 _POWERS: list[np.ndarray] = []
 
 
+def chunks_for(percent: int) -> int:
+    """The least number of chunks, CHUNKS or more, at which a pair at the threshold is beyond the allowed distance as seldom as BEYOND."""
+    chunks, same = CHUNKS, percent / 100
+    while sum(math.comb(CHUNK * chunks, d) * (1 - same) ** d * same ** (CHUNK * chunks - d) for d in range(2 * chunks, CHUNK * chunks + 1)) > BEYOND:
+        chunks += 1
+    return chunks
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
@@ -97,16 +111,16 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sketches(sets: list[np.ndarray], chunks: int = CHUNKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set sizes, a 64-bit digest of each set, and (texts x chunks) signatures of four 16-bit values a word; zero for empty sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    digest, sig = np.zeros(len(sets), _U), np.zeros((len(sets), CHUNKS), _U)
+    digest, sig = np.zeros(len(sets), _U), np.zeros((len(sets), chunks), _U)
     full = np.flatnonzero(sizes)
     if len(full):
         flat = np.concatenate([sets[i] for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         digest[full] = mixed(np.add.reduceat(mixed(flat + _BASE), starts) + mixed(np.add.reduceat(mixed(flat ^ _STEP), starts)) * _BASE)
-        for k in range(VALUES):
+        for k in range(CHUNK * chunks):
             least = np.minimum.reduceat((flat ^ _PLUS[k]) * _TIMES[k], starts)
             sig[full, k // CHUNK] |= (mixed(least) & _U(0xFFFF)) << _U(BITS * (k % CHUNK))
     return sizes, digest.view(np.int64), sig.view(np.int64)
@@ -124,18 +138,18 @@ def slices(texts: list, chars: int = 1 << 20):
         yield part
 
 
-def sign(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    """Adds n_shingles, cls (a digest of the whole shingle set: equal sets are one class) and the signature c0..c6."""
+def sign(docs: DataFrame, text_col: str, carry: list[str], chunks: int = CHUNKS) -> DataFrame:
+    """Adds n_shingles, cls (a digest of the whole shingle set: equal sets are one class) and the signature c0, c1 and so on."""
 
     def make():
         def work(texts):
-            parts = [sketches(shingle_sets(p)) for p in slices(texts.to_pylist())]
+            parts = [sketches(shingle_sets(p), chunks) for p in slices(texts.to_pylist())]
             sizes, digest, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return [pa.array(sizes), pa.array(digest), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(CHUNKS))]
+            return [pa.array(sizes), pa.array(digest), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(chunks))]
 
         return work
 
-    return map_batches(docs, [text_col], [T.StructField(c, T.LongType()) for c in ("n_shingles", "cls", *(f"c{k}" for k in range(CHUNKS)))], make, carry)
+    return map_batches(docs, [text_col], [T.StructField(c, T.LongType()) for c in ("n_shingles", "cls", *(f"c{k}" for k in range(chunks)))], make, carry)
 
 
 def with_sets(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
@@ -152,10 +166,10 @@ def with_sets(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
     return map_batches(docs, [text_col], [T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))], make, carry)
 
 
-def keys_of(classes: DataFrame) -> DataFrame:
-    """(cls, key): 28 a class, each of the place in the signature and the three other values of a chunk."""
+def keys_of(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+    """(cls, key): 4 a class and chunk, each of the place in the signature and the three other values of a chunk."""
     made = []
-    for k in range(CHUNKS):
+    for k in range(chunks):
         for j in range(CHUNK):
             keep = (~(0xFFFF << (BITS * j))) & 0xFFFFFFFFFFFFFFFF
             keep -= (keep >> 63) << 64
@@ -251,10 +265,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     component_id; they are kept. Rows that repeat an id stay, each by its own text. An empty table gives no rows.
     """
     docs = docs.select(id_col, text_col)
-    signed = stored(sign(docs, text_col, [id_col]), "signed")
-    sig = [f"c{k}" for k in range(CHUNKS)]
+    chunks = chunks_for(percent)
+    signed = stored(sign(docs, text_col, [id_col], chunks), "signed")
+    sig = [f"c{k}" for k in range(chunks)]
     classes = stored(signed.where("n_shingles > 0").groupBy("cls", "n_shingles", *sig).agg(F.min(id_col).alias("rep")), "classes")
-    keys = keys_of(classes)
+    keys = keys_of(classes, chunks)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(shared, "key"), "members")
 

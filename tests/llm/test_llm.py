@@ -104,6 +104,27 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, component, component == i)
 
 
+def test_near_duplicates_at_80_equal_brute_force(spark):
+    rng = random.Random(12)
+    base = [invented(rng, n, [f"w{i}" for i in range(400)]) for n in (120, 150, 200, 400)]
+    texts = [edited(rng, b, rng.randrange(9)) for b in base for _ in range(40)] + ODD
+    rng.shuffle(texts)
+    assert groups(texts, 80) != groups(texts)
+    got = {r["doc_id"]: r for r in near.group(frame(spark, texts), percent=80).collect()}
+    for i, (n, component) in enumerate(groups(texts, 80)):
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, component, component == i)
+    assert (near.chunks_for(85), near.chunks_for(80)) == (7, 11)
+
+
+def test_pipeline_drops_near_copies_from_80_percent_on(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    text = " ".join(f"w{i}" for i in range(100))
+    copy = text.replace("w50 ", "x50 ").replace("w20 ", "x20 ")  # 86 of 106 shingles: 0.81
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, copy, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert [r["doc_id"] for r in cp.drop_near_copies(spark, docs, sf_dir).collect()] == [1]
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near.group(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None), (3, None)]
