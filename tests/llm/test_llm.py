@@ -346,6 +346,16 @@ def small_model():
     return lm.Model(lm.start(counts))
 
 
+def test_lm_trains_on_every_text(spark):
+    vocabulary = lm.read_vocabulary(queries.RANKS)
+    ranks = spark.sparkContext.broadcast(vocabulary)
+    size = len(vocabulary.splitlines()) + 1
+    first = lm.start(np.ones(size))
+    for text in ("alpha beta", "gamma delta", "one more text", None):  # a text alone changes the model
+        after = lm.train(spark.createDataFrame([(text,)], "text string"), "text", first, ranks, public_tokenizers.PATTERN)
+        assert any((after[k] != first[k]).any() for k in first if k != "rank")
+
+
 def test_lm_windows_score_each_token_once_and_causally():
     model, rng = small_model(), np.random.default_rng(1)
     ids, starts = rng.integers(0, 2000, 100).astype(np.int32), np.array([0, 45, 46, 100])
