@@ -1,7 +1,7 @@
 """Toxicity scores over deobfuscated text.
 
-Noisy channel: a suspicious token (digits or signs among letters, letters set apart, runs of one letter) becomes a lattice of
-the letters it may stand for; a Viterbi pass under a character trigram model picks the likeliest reading. Restored words
+Noisy channel: a suspicious token (digits or signs among letters, letters set apart, doubled letters) becomes a lattice of
+the letters it may stand for, in which a separator is nothing or the end of a word; a Viterbi pass under a character trigram model picks the likeliest reading. Restored words
 then match a lexicon of words and word beginnings learned from labelled text.
 """
 
@@ -32,10 +32,12 @@ STEMS = (4, 5, 6, 7)
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c"}
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LEET = re.compile(r"(?<![\w@$!|+(])(?=[\w@$!|+(]{3,24}(?![\w@$!|+(]))(?=\d{0,2}[^\W\d_]|[@$!|+(])[\w@$!|+(]*[^\W\d_][\w@$!|+(]*")
-_SPACED = re.compile(r"(?<!\w)[\w@$!](?:[ .\-_*]{1,2}[\w@$!(|+]){3,23}(?!\w)")
-_RUN = re.compile(r"(.)\1\1")
-_APART = re.compile(r"[ .\-_*]+")
+_LEET = re.compile(r"(?<![\w@$!|+(])(?=[\w@$!|+(]*[^\W\d_])[\w@$!|+(]{3,}")
+_SPACED = re.compile(r"(?<!\w)[\w@$!](?:[ .\-_*]{1,2}[\w@$!(|+])+(?!\w)")
+_RUN = re.compile(r"(.)\1")
+_APART = frozenset(" .-_*")
+#: Longer tokens are read each time, not remembered.
+MEMO_CHARS = 64
 _ODD = re.compile(r"[\d@$!|+(]")
 
 
@@ -64,20 +66,25 @@ class Letters:
         return got
 
 
-#: Channel costs (negative log probabilities): a sign read as a letter, a letter of a run left out, a run kept whole.
-SIGN_COST, DROP_COST, KEEP_COST = 0.7, 0.3, 1.5
+#: Channel costs (negative log probabilities): a sign read as a letter, a letter of a run left out, a run kept whole, a separator
+#: that ends a word.
+SIGN_COST, DROP_COST, KEEP_COST, BREAK_COST = 0.7, 0.3, 1.5, 0.7
 
 
 def restored(token: str, model: Letters) -> str:
-    """The likeliest word behind a token, by Viterbi over (last two letters)."""
-    token = _APART.sub("", token)
+    """The likeliest words behind a token, with spaces between them, by Viterbi over (last two letters)."""
     lattice: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
         c = token[i]
         run = i + 1
-        while run < len(token) and token[run] == c:
+        while run < len(token) and (token[run] == c or (c in _APART and token[run] in _APART)):
             run += 1
+        if c in _APART:
+            if lattice and run < len(token):
+                lattice.append([("", 0.0), (" ", BREAK_COST)])
+            i = run
+            continue
         reads = [(x, SIGN_COST) for x in SIGNS.get(c, "")] or [(c, 0.0)]
         n = run - i
         if n == 1:
@@ -85,19 +92,27 @@ def restored(token: str, model: Letters) -> str:
         else:
             lattice.append([(x * k, cost * k + (DROP_COST if k < n else KEEP_COST * (n > 2))) for x, cost in reads for k in {1, 2, min(n, 3)} if k <= n])
         i = run
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    best: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}  # a word is (word before, letters), so that long tokens take linear time
     for reads in lattice:
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple]] = {}
         for state, (cost, word) in best.items():
             for letters, channel in reads:
                 total, s = cost + channel, state
-                for c in letters:
-                    total += model.cost(s, c)
-                    s = s[1] + c
+                if letters == " ":
+                    total, s = total + model.cost(s, "$"), "^^"
+                else:
+                    for c in letters:
+                        total += model.cost(s, c)
+                        s = s[1] + c
                 if s not in after or total < after[s][0]:
-                    after[s] = total, word + letters
+                    after[s] = total, (word, letters)
         best = after
-    return min((cost + model.cost(s, "$"), word) for s, (cost, word) in best.items())[1]
+    _, _, word = min((cost + model.cost(s, "$"), s, word) for s, (cost, word) in best.items())
+    read = []
+    while word:
+        word, letters = word
+        read.append(letters)
+    return "".join(reversed(read))
 
 
 class Scorer:
@@ -119,10 +134,12 @@ class Scorer:
         for token in odd:
             got = self.memo.get(token)
             if got is None:
-                if len(self.memo) >= self.memo_size:
-                    self.memo.clear()
-                stripped = token.strip("!|+(")
-                got = self.memo[token] = (restored(token, self.letters), restored(stripped, self.letters) if stripped else "")
+                stripped = token.strip("!|+( .-_*")
+                got = tuple({w for t in {token, stripped} for w in restored(t, self.letters).split()})
+                if len(token) <= MEMO_CHARS:
+                    if len(self.memo) >= self.memo_size:
+                        self.memo.clear()
+                    self.memo[token] = got
             found.update(got)
         return found
 

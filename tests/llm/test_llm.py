@@ -149,6 +149,15 @@ def test_restoring_obfuscated_words():
         assert toxicity.restored(token, letters) == word
 
 
+def test_restoring_keeps_words_apart_and_takes_every_token():
+    words = {w: 50 for w in "such a moron idiot you are an asshole die hello street good idiots".split()}
+    scorer = toxicity.Scorer({"moron": 0.9, "idiot": 0.9, "asshole": 0.9, "die": 0.9}, words, 0.01)
+    assert toxicity.restored("a m o r o n", scorer.letters) == "a moron"
+    for text, word in (("such a m o r o n", "moron"), ("y o u a r e a n i d i o t", "idiot"), ("455h0l3", "asshole"), ("1d1" + "0" * 40 + "t", "idiot"), ("d i e", "die"), ("iddiott", "idiot")):
+        assert word in scorer.words(text), (text, scorer.words(text))
+    assert scorer.score("hello good street 2024 and 1234567") == scorer.score(None)
+
+
 def test_toxicity_learns_and_scores(spark):
     rng = random.Random(3)
     bad = ["zorgle", "blaxter"]
