@@ -16,24 +16,7 @@ STOPWORDS = (
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(^|[^0-9A-Za-z_])(\+?84|0)[35789][0-9]([ .-]?[0-9]){7,8}([^0-9A-Za-z_]|$)"
 URL = r"(https?://|www\.)[^ \t\n\r]+|(linkedin|github|facebook|twitter|x)\.com/[^ \t\n\r]+"
-UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}"
 BIRTH = r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"
-SECRETS = {
-    "assignment": r"(?i)(^|[^0-9A-Za-z_])(api[_-]?key|secret|password|token)[ \t]*[:=][ \t]*[^ \t\n\r,;]+",
-    "bearer": r"(?i)(^|[^0-9A-Za-z_])Bearer[ \t]+[A-Za-z0-9._~+/=-]{12,}",
-    "sk": r"(^|[^0-9A-Za-z_])sk-[A-Za-z0-9_-]{12,}",
-    "aiza": r"(^|[^0-9A-Za-z_])AIza[0-9A-Za-z_-]{20,}",
-    "gh": r"(^|[^0-9A-Za-z_])gh[pousr]_[A-Za-z0-9]{20,}",
-    "jwt": r"(^|[^0-9A-Za-z_])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
-}
-INJECTIONS = {
-    "ignore_instructions": r"(?i)(^|[^0-9A-Za-z_])(ignore|disregard|forget)[^0-9A-Za-z_][^\n]{0,40}(instruction|prompt)",
-    "reveal_prompt": r"(?i)(^|[^0-9A-Za-z_])(show|reveal|print)[^0-9A-Za-z_][^\n]{0,40}(system prompt|developer message)",
-    "role_override": r"(?i)(^|[^0-9A-Za-z_])you are now([^0-9A-Za-z_]|$)",
-    "external_action": r"(?i)(^|[^0-9A-Za-z_])(send|upload|exfiltrate)[^0-9A-Za-z_][^\n]{0,50}(elsewhere|server|url|email)([^0-9A-Za-z_]|$)",
-    "tool_override": r"(?i)(^|[^0-9A-Za-z_])(call|invoke|run|execute)[^0-9A-Za-z_][^\n]{0,30}(tool|command|shell|sql)([^0-9A-Za-z_]|$)",
-    "destructive_action": r"(?i)(drop[ \t]+(table|database)|truncate[ \t]+table|delete[ \t]+from|alter[ \t]+table)([^0-9A-Za-z_]|$)",
-}
 #: Letters of the Vietnamese and western European alphabets by what they fold to.
 ACCENTS = {
     "a": "àáảãạăằắẳẵặâầấẩẫậäåą", "e": "èéẻẽẹêềếểễệëę", "i": "ìíỉĩịîï", "o": "òóỏõọôồốổỗộơờớởỡợöø",
@@ -57,49 +40,26 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, FOLDED), r"[ \t\n\r]+", " "))
 
 
+#: Punctuation that may end a word without being part of a skill's name.
+WORD_END = r"[.,;:!?)\]]+(\s|$)"
+
+
+def matched(text: Column) -> Column:
+    """The form in which skills are matched: lower case without accents, no punctuation at the end of words, spaces squeezed."""
+    plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, FOLDED), r"[\x{300}-\x{36F}]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, WORD_END, " "), r"\s+", " "))
+
+
+def sql_matched(text: str) -> str:
+    plain = f"regexp_replace(translate(lower({text}), '{ACCENTED}', '{FOLDED}'), '[\\x{{300}}-\\x{{36F}}]', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({plain}, '{WORD_END}', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
     patterns = {"emails": EMAIL, "phones": PHONE, "urls": URL, "births": BIRTH}
     return {k: F.regexp_count(text, F.lit(p)).cast("long") for k, p in patterns.items()}
 
 
-def redact(text: Column) -> Column:
-    """Emails, URLs, ids and phone numbers replaced by marks."""
-    out = F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")
-    out = F.regexp_replace(out, URL, "[REDACTED_URL]")
-    out = F.regexp_replace(out, UUID, "[REDACTED_ID]")
-    return F.regexp_replace(out, PHONE, "$1[REDACTED_PHONE]$4")
-
-
-def matching(text: Column, patterns: dict[str, str]) -> Column:
-    """Names of the patterns that occur, in their order."""
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in patterns.items())))
-
-
-def without_lines(text: Column, patterns: dict[str, str]) -> Column:
-    """The text less each line in which a pattern occurs."""
-    clean = lambda line: ~F.exists(F.array(*(line.rlike(p) for p in patterns.values())), lambda hit: hit)
-    return F.array_join(F.filter(F.split(text, "\n"), clean), "\n")
-
-
-def gate(text: Column, chat: bool = False, budget: int = 20_000) -> Column:
-    """(action, codes): degrade for blank or over-long text, block for secrets and, in chat, injections, sanitize for personal data."""
-    injected = F.size(matching(text, INJECTIONS)) > 0
-    secret = F.size(matching(text, SECRETS)) > 0
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    rest = injected & (F.coalesce(F.trim(without_lines(text, INJECTIONS)), F.lit("")) == "")  # lines are looked at only where one is to go
-    personal = redact(text) != text
-    over = F.length(text) > budget
-    action = (
-        F.when(blank, "degrade").when(secret, "block").when(F.lit(chat) & injected, "block").when(rest, "degrade")
-        .when(personal | injected, "sanitize").when(over, "degrade").otherwise("pass")
-    )
-    codes = F.array_compact(F.array(
-        F.when(blank | rest, "DATA_LOW_CONTENT"), F.when(over, "DATA_BUDGET_EXCEEDED"), F.when(secret, "DATA_SECRET"),
-        F.when(injected, "DATA_INJECTION"), F.when(personal, "DATA_PII"),
-    ))
-    return F.struct(action.alias("action"), codes.alias("codes"))
-
-
 def url_parts(url: Column) -> dict[str, Column]:
     return {
         "scheme": F.regexp_extract(url, r"^([a-z]+)://", 1), "host": F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1),

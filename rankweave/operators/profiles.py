@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MUST, PREFERRED, MENTIONED = ["bat buoc", "required", "must have", "must-have"], ["diem cong", "nice to have", "nice-to-have", "preferred", "plus"], ["dang chuyen", "team", "not required", "khong bat buoc", "khong yeu cau"]
+from rankweave.functions import text
+from rankweave.operators import skills
+
+# What a sentence says about the skills that it names, and what makes them alternatives.
+MUST = ["bat buoc", "required", "must have", "must-have"]
+PREFERRED = ["diem cong", "nice to have", "nice-to-have", "preferred", "plus"]
+MENTIONED = ["dang chuyen", "team", "not required", "khong bat buoc", "khong yeu cau"]
 ALTERNATIVE = [" hoac ", " or ", " either "]
 
 
@@ -46,26 +52,28 @@ def seniority(years: Column) -> Column:
 
 
 def proposed_constraints(docs: DataFrame, doc_id: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(doc, slug, kind, group): each skill of a text by its sentence's hint, at the first kind that claims it.
+    """(doc, slug, kind, group): the skills of a text by the hint of the sentence that names them: must, else preferred, else mentioned.
 
-    Sentences that ask for alternatives make one group of their skills, others one group each. `not required` is a mention, not a
-    demand: kinds are tried as mentioned, must, preferred.
+    Sentences without a hint propose nothing. A must sentence with alternatives makes one group of its skills, others one group each;
+    a skill counts once a kind, for its first sentence, and is no preference once it is a must before, no mention once it is either.
     """
-    sentence = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.lower(text_col), r"[.!?\n]+")).alias("at", "said"))
-    kind = F.when(any_of(F.col("said"), MENTIONED), "mentioned").when(any_of(F.col("said"), MUST), "must").when(any_of(F.col("said"), PREFERRED), "preferred").otherwise("mentioned")
-    words = sentence.withColumn("kind", kind).withColumn("either", any_of(F.concat(F.lit(" "), "said", F.lit(" ")), ALTERNATIVE))
-    words = words.select("doc", "at", "kind", "either", F.explode(F.array_distinct(F.split("said", "[^a-z0-9_+#]+"))).alias("variant"))
-    found = words.join(F.broadcast(terms.select("variant", "slug")), "variant")
-    order = F.when(F.col("kind") == "must", 0).when(F.col("kind") == "preferred", 1).otherwise(2)
-    first = F.row_number().over(Window.partitionBy("doc", "slug").orderBy(order, "at"))
-    group = F.when(F.col("either"), F.concat(F.lit("s"), F.col("at").cast("string"))).otherwise(F.col("slug"))
-    return found.withColumn("n", first).where("n = 1").select("doc", "slug", "kind", group.alias("group"))
-
-
-def argmax_votes(votes: DataFrame, key: str, label: str, weight: str) -> DataFrame:
-    """The label with the most weight for each key; ties go to the label first in the alphabet."""
-    total = votes.groupBy(key, label).agg(F.sum(weight).alias("w"))
-    best = total.groupBy(key).agg(F.min(F.struct((-F.col("w")).alias("m"), F.col(label).alias("label"))).alias("b"))
+    sentence = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text_col, r"[.!?\n]+")).alias("at", "said"))
+    folded = F.concat(F.lit(" "), text.matched(F.col("said")), F.lit(" "))
+    order = F.when(any_of(F.col("view"), MUST), 0).when(any_of(F.col("view"), PREFERRED), 1).when(any_of(F.col("view"), MENTIONED), 2)
+    hinted = sentence.select("doc", "at", folded.alias("view")).withColumn("order", order).where("order is not null")
+    named = skills.found(hinted, "view", terms, ["doc", "at", "order", "view"])
+    w = Window.partitionBy("doc", "slug").orderBy("at", "order")
+    seen = F.min("order").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = named.withColumn("before", seen).where(F.col("before").isNull() | (F.col("order") < F.col("before")))
+    kind = F.element_at(F.array(F.lit("must"), F.lit("preferred"), F.lit("mentioned")), F.col("order") + 1)
+    group = F.when((F.col("order") == 0) & any_of(F.col("view"), ALTERNATIVE), F.concat(F.lit("s"), F.col("at").cast("string"))).otherwise(F.col("slug"))
+    return first.select("doc", "slug", kind.alias("kind"), group.alias("group"))
+
+
+def argmax_votes(votes: DataFrame, key: str, label: str, weight: str, order: str) -> DataFrame:
+    """The label with the most weight for each key; ties go to the label that comes first by order."""
+    total = votes.groupBy(key, label).agg(F.sum(weight).alias("w"), F.min(order).alias("o"))
+    best = total.groupBy(key).agg(F.min(F.struct((-F.col("w")).alias("m"), "o", F.col(label).alias("label"))).alias("b"))
     return best.select(key, F.col("b.label").alias(label), (-F.col("b.m")).alias("weight"))
 
 
@@ -99,15 +107,36 @@ def experience_score(shown: Column, asked: Column, claimed: Column, progressed:
     return F.least(F.lit(100.0), kept + F.when(progressed, 10.0).otherwise(0.0))
 
 
-def comparison(rows: DataFrame, key: str, skills: str, asked: str, k: int) -> DataFrame:
-    """The k best of the compared rows with matched and missing skills, scores and rank; only k rows are gathered to be numbered."""
-    matched, missing = F.array_intersect(asked, skills), F.array_except(asked, skills)
-    fit = F.when(F.size(asked) == 0, 0.0).otherwise(100.0 * F.size(matched) / F.size(asked))
-    breadth = F.least(F.lit(100.0), F.size(skills) * 10.0)
-    total = F.round(fit * 0.35 + breadth * 0.35 + (100.0 - fit) * 0.30, 2)
-    scored = rows.select(key, F.array_sort(matched).alias("matched"), F.array_sort(missing).alias("missing"), F.round(fit, 2).alias("fit"), breadth.alias("breadth"), total.alias("total"))
-    best = scored.orderBy(F.desc("total"), F.desc("fit"), key).limit(k)
-    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), F.desc("fit"), key)))
+#: What shows years of experience and a degree in a profile's text, and the most profiles of one comparison.
+YEARS, DEGREE, COMPARED = r"(?iu)\b([2-9]|1[0-5])\s*(năm|years?)\b", r"(?iu)(đại học|cử nhân|thạc sĩ|kỹ sư|bachelor|master|university)", 5
+
+
+def contained(skill: Column, wanted: Column) -> Column:
+    """True for a skill that holds, or is held by, one of the wanted ones, case aside."""
+    return F.exists(wanted, lambda w: F.contains(F.lower(skill), F.lower(w)) | F.contains(F.lower(w), F.lower(skill)))
+
+
+def comparison(rows: DataFrame, group: str, key: str, skills_col: str, asked: str, text_col: str) -> DataFrame:
+    """Each compared profile with its matched skills, four scores of 0 to 10, their total and its rank within the group.
+
+    rows: one a profile, group: its comparison, key: the order in which profiles were asked for. The rules of a comparison without a
+    model: skills by share of the wanted ones, experience by years said and order, education by a degree.
+    """
+    real = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
+    own, wanted = real(F.col(skills_col)), real(F.col(asked))
+    hint = F.row_number().over(Window.partitionBy(group).orderBy(key))
+    out = rows.withColumns({"_hint": hint, "_own": own, "_wanted": wanted}).withColumn("matched", F.filter("_own", lambda s: contained(s, F.col("_wanted"))))
+    bound = lambda c, low: F.least(F.lit(9.5), F.greatest(F.lit(low), F.round(c, 1)))
+    t = F.coalesce(text_col, F.lit(""))
+    skill = F.when(F.size("_wanted") == 0, 7.5).otherwise(bound(4.0 + F.size("matched") / F.greatest(F.size("_wanted"), F.lit(1)) * 5.5, 3.5))
+    out = out.withColumns({
+        "skills": skill, "experience": bound(6.0 + F.when(t.rlike(YEARS), 1.5).otherwise(0.5) + F.col("_hint") * 0.2, 4.0),
+        "education": bound(7.0 + F.when(t.rlike(DEGREE), 1.5).otherwise(0.5), 5.0),
+    })
+    out = out.withColumn("overall", F.round(0.35 * F.col("skills") + 0.35 * F.col("experience") + 0.30 * F.col("education"), 1))
+    out = out.withColumn("total", F.round(F.col("skills") + F.col("experience") + F.col("education") + F.col("overall"), 1))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), F.desc("overall"), "_hint"))
+    return out.withColumn("place", place).select(group, key, "matched", "skills", "experience", "education", "overall", "total", "place")
 
 
 def repositories(text: Column) -> Column:
@@ -141,3 +170,23 @@ def guarded(old: DataFrame, new: DataFrame, key: str, column: str, role: str) ->
     """Updates that change a guarded column without the admin's role."""
     both = new.join(old.select(key, F.col(column).alias("_was")), key)
     return both.where(~F.col(column).eqNullSafe(F.col("_was")) & ~F.col(role).eqNullSafe(F.lit("admin"))).drop("_was")
+
+
+def anonymized(rows: DataFrame, group: list[str], identity: list[str], *order: Column, prefix: str = "CAND_") -> tuple[DataFrame, DataFrame]:
+    """(rows without their identity, names): each list's rows under running aliases, and the table that restores them.
+
+    A list is a group: its rows are numbered in the given order, as a reader sees them.
+    """
+    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    named = rows.withColumn("alias", F.concat(F.lit(prefix), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0"))))
+    return named.drop(*identity), named.select(*group, "alias", *identity)
+
+
+def restored(said: DataFrame, names: DataFrame, group: list[str]) -> DataFrame:
+    """said with the identity behind each alias; an alias that nobody has keeps its row, without one."""
+    return said.join(names, [*group, "alias"], "left")
+
+
+def readable(said: Column) -> Column:
+    """A text with aliases read out: candidate #7 for CAND_007, position #7 for JOB_007."""
+    return F.regexp_replace(F.regexp_replace(said, r"\bCAND_0*([1-9][0-9]*)\b", "candidate #$1"), r"\bJOB_0*([1-9][0-9]*)\b", "position #$1")

@@ -54,12 +54,34 @@ def slot_problems(rows: DataFrame, key: str, start: str, end: str, gap_hours: fl
 
 
 def apportioned(counts: DataFrame, group: str, n: str, seats: int) -> DataFrame:
-    """Seats by group: one each, and the rest in proportion with leftovers to the largest; counts is one row a group."""
-    every = counts.agg(F.sum(n).alias("_all"), F.count("*").alias("_groups"))
-    share = counts.crossJoin(F.broadcast(every)).withColumn("_base", F.floor((seats - F.col("_groups")) * F.col(n) / F.col("_all")))
-    used = share.agg((seats - F.first("_groups") - F.sum("_base")).alias("_left"))
+    """Seats by group: one each, and one more for the largest groups while seats are left; counts is one row a group."""
     place = F.row_number().over(Window.orderBy(F.desc(n), group))
-    return share.crossJoin(F.broadcast(used)).withColumn("_place", place).select(group, n, (1 + F.col("_base") + (F.col("_place") <= F.col("_left")).cast("long")).alias("seats"))
+    every = counts.agg(F.count("*").alias("_groups"))
+    return counts.withColumn("_place", place).crossJoin(F.broadcast(every)).select(group, n, (1 + (F.col("_place") <= seats - F.col("_groups")).cast("long")).alias("seats"))
+
+
+def shared_out(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, quota): a total split evenly over the distinct keys, what is left over to the first ones."""
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    place = F.row_number().over(Window.orderBy(key)) - 1
+    n = keys.agg(F.count("*").alias("_n"))
+    return keys.withColumn("_at", place).crossJoin(F.broadcast(n)).select(key, (F.floor(total / F.col("_n")) + (F.col("_at") < total % F.col("_n")).cast("long")).alias("quota"))
+
+
+def diverse_sample(rows: DataFrame, group: str, profile: str, key: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows of each group, first one of each profile (profiles in order), then any: by a seeded hash of the key."""
+    order = [F.xxhash64(key, F.lit(seed)), F.col(key)]
+    of_profile = F.row_number().over(Window.partitionBy(group, profile).orderBy(*order))
+    first = F.when(F.col("_p") == 1, 0).otherwise(1)
+    out = rows.withColumn("_p", of_profile)
+    n = F.row_number().over(Window.partitionBy(group).orderBy(first, F.when(F.col("_p") == 1, F.col(profile)), *order))
+    return out.withColumn("place", n).where(F.col("place") <= k).drop("_p")
+
+
+def requested_order(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with place, that of their key in an array ``keys`` of the one row of wanted; keys that are not asked for come last, as 999."""
+    places = wanted.select(F.posexplode("keys").alias("_at", "_key")).groupBy("_key").agg(F.min("_at").alias("_at"))
+    return rows.join(places, F.col(key) == F.col("_key"), "left").withColumn("place", F.coalesce("_at", F.lit(999))).drop("_at", "_key")
 
 
 def similar(rows: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
@@ -82,13 +104,31 @@ def changes(rows: DataFrame, key: str, state: str, *order: Column) -> DataFrame:
     return rows.withColumn("before", before).where(F.col("before").isNotNull() & ~F.col("before").eqNullSafe(F.col(state)))
 
 
-def greedy_budget(rows: DataFrame, key: str, size: str, budget: int, *fields: str) -> DataFrame:
-    """Of each key's items in the order of fields, those that still fit when taken one after another; too large ones are passed over.
+#: Paths that mark the files to read first.
+ENTRY_PATTERNS = [
+    r"\.py$", r"\.ts$", r"\.tsx$", r"\.js$", r"\.jsx$", "^src/", "^lib/", "^app/", "^backend/", "^frontend/", "^tests?/", "^specs?/", r"^main\.py$", r"^index\.(ts|js|tsx|jsx)$",
+    "^Makefile$", r"^package\.json$", r"^requirements\.txt$", r"^pyproject\.toml$", r"^setup\.py$", r"^setup\.cfg$", "^Dockerfile$", "^docker-compose", r"\.md$", r"\.txt$",
+]
+
+
+def key_files(rows: DataFrame, repo: str, path: str, content: str, budget: int = 80_000, most: int = 10_000) -> DataFrame:
+    """(repo, path, content, size, entry): files of each repository while they fit into a budget of bytes, entry points and short paths first.
 
-    A key's items are folded in one row, so they must be few (a repository's files).
+    A file is cut to ``most`` characters. One that doesn't fit is passed over, but an entry point is cut to what is left; nothing follows
+    once nothing is left. A repository's files are folded in one row: they are few, and cut before they are gathered.
     """
-    items = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields, F.col(size).cast("long").alias("_size")))).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(items.schema["items"].dataType).alias("taken"))
-    fits = lambda s, x: s["used"] + x["_size"] <= budget
-    step = lambda s, x: F.when(fits(s, x), F.struct((s["used"] + x["_size"]).alias("used"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s)
-    return items.select(key, F.aggregate("items", zero, step).alias("got")).select(key, F.col("got.used").alias("used"), F.size("got.taken").cast("long").alias("taken"))
+    entry = F.col(path).rlike("|".join(ENTRY_PATTERNS))
+    f = F.struct((~entry).alias("later"), F.length(path).alias("len"), F.col(path).alias("path"), F.substring(F.coalesce(content, F.lit("")), 1, most).alias("content"))
+    items = rows.groupBy(F.col(repo).alias("repo")).agg(F.array_sort(F.collect_list(f)).alias("items"))
+    taken = "array<struct<path:string,content:string,size:bigint,entry:boolean>>"
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(taken).alias("taken"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = budget - s["used"]
+        cut = F.when(F.octet_length(x["content"]) <= left, x["content"]).when(~x["later"], F.substring(x["content"], F.lit(1), left.cast("int")))
+        size = F.octet_length(cut).cast("long")
+        got = F.struct((s["used"] + size).alias("used"), F.array_append(s["taken"], F.struct(x["path"].alias("path"), cut.alias("content"), size.alias("size"), (~x["later"]).alias("entry"))).alias("taken"))
+        fits = F.octet_length(x["content"]) <= left
+        return F.when(fits | ((left > 0) & ~x["later"]), got).otherwise(s)
+
+    return items.select("repo", F.explode(F.aggregate("items", zero, step)["taken"]).alias("f")).select("repo", "f.*")

@@ -2,35 +2,175 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import numbers, text
+from rankweave.sources.tables import spread
 
 K1, B = 1.5, 0.75
-#: Query terms whose table may be broadcast; beyond, the join is left to adaptive execution.
-BROADCAST_TERMS = 200_000
-#: Query vectors broadcast at once.
-QUERY_BLOCK = 10_000
+#: (query, term) weights and query vectors that are broadcast at once; further queries are taken in further blocks.
+BLOCK_TERMS, BLOCK_VECTORS = 200_000, 10_000
+#: Cells of a (documents x queries) score matrix, and rows of best hits, that a task holds.
+CELLS, HELD = 1 << 20, 1 << 18
+PLACES = 6
+
+
+def _codes(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of ids."""
+    values = np.asarray(ids)
+    return values if values.dtype != object else np.unique(values.astype(str), return_inverse=True)[1]
+
+
+class Best:
+    """The k rows of the least value of each query, ties by id, over all that a task has seen."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, query: np.ndarray, value: np.ndarray, doc: pa.Array) -> None:
+        order = np.lexsort((_codes(doc), value, query))
+        q = query[order]
+        first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+        starts = np.flatnonzero(first)
+        place = np.arange(len(q)) - np.repeat(starts, np.diff([*starts, len(q)]))
+        keep = order[place < self.k]
+        self.parts.append((query[keep], value[keep], doc.take(pa.array(keep))))
+        self.size += len(keep)
+        if self.size > HELD and len(self.parts) > 1:
+            parts, self.parts, self.size = self.parts, [], 0
+            self.add(*_joined(parts))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+        if not self.parts:
+            return None
+        parts, self.parts, self.size = self.parts, [], 0
+        self.add(*_joined(parts))
+        return self.parts[0]
+
+
+def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])
+
+
+class _Weights:
+    """The queries' term weights: a row of queries for each term."""
+
+    def __init__(self, rows: list):
+        self.queries = sorted({r["query"] for r in rows})
+        number = {q: i for i, q in enumerate(self.queries)}
+        terms = sorted({r["term"] for r in rows})
+        of = {t: i for i, t in enumerate(terms)}
+        at = np.array([of[r["term"]] for r in rows], np.int64)
+        order = np.argsort(at, kind="stable")
+        self.terms, self.starts = pa.array(terms, pa.string()), np.searchsorted(at[order], np.arange(len(terms) + 1))
+        self.query = np.array([number[r["query"]] for r in rows], np.int64)[order]
+        self.weight = np.array([r["idf"] for r in rows], float)[order]
+
+    def scores(self, tokens: pa.ListArray, mean: float) -> np.ndarray:
+        """(documents x queries) BM25 scores of token lists."""
+        lengths = np.diff(tokens.offsets.to_numpy())
+        at = pc.index_in(tokens.flatten(), self.terms)
+        known = ~np.asarray(at.is_null())
+        key, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths)[known] * len(self.terms) + at.drop_null().to_numpy(), return_counts=True)
+        doc, term = key // max(len(self.terms), 1), key % max(len(self.terms), 1)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+        size = self.starts[term + 1] - self.starts[term]
+        ends = np.cumsum(size)
+        entry = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.starts[term], size)
+        cell = np.repeat(doc, size) * len(self.queries) + self.query[entry]
+        made = np.bincount(cell, weights=np.repeat(part, size) * self.weight[entry], minlength=len(lengths) * len(self.queries))
+        return made.reshape(len(lengths), len(self.queries))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
-    """(query, doc, score) of all pairs that share a term, over statistics of all of docs.
+def _bm25_blocks(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str) -> tuple[DataFrame, float, Iterator[_Weights]]:
+    """(documents with tokens, their mean length, blocks of at most about BLOCK_TERMS query weights).
 
-    Postings are cut to the queries' terms before anything is shuffled, and each task sums a document's terms first;
-    a term that is in every document still costs one row a document and query that has it, which is the result's size.
+    One pass counts documents, lengths and the document frequencies of the queries' terms; those terms alone are shuffled, summed in
+    the tasks first.
     """
     terms = queries.select(F.col(query_id).alias("query"), F.explode(text.query_tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    tokened = docs.select(F.col(doc_id).alias("doc"), text.tokens(F.col(text_col)).alias("tokens"))
-    stats = tokened.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    wanted = terms.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
-    found = tokened.select("doc", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = found.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms.join(df, "term").crossJoin(stats).select("query", "term", "mean", (F.col("times") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return postings.join(weights, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    tokened = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text_col))).select("doc", F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
+    stats = docs.select(text.tokens(F.col(text_col)).alias("tokens")).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
+    found = tokened.select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    n = F.lit(float(stats["n"]))
+    weights = terms.join(df, "term").select("query", "term", (F.col("times") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
+    count = terms.count()
+    blocks = -(-count // BLOCK_TERMS)
+
+    def each() -> Iterator[_Weights]:
+        for k in range(blocks):
+            rows = (weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)).collect()
+            if rows:
+                yield _Weights(rows)
+
+    return tokened, float(stats["mean"] or 1.0), each()
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, text_col: str = "text") -> DataFrame:
+    """(query, doc, score): the k best documents of each query, among those that share a term, equal scores by doc.
+
+    A task scores its documents against all queries as one sparse product and keeps k a query, so that what is shuffled follows the
+    number of tasks, not that of (query, document) pairs. Scores are rounded to PLACES.
+    """
+    tokened, mean, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
+    schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("doc", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
+    out = None
+    for made in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(made)
+
+        def run(batches, shared=shared):
+            own, best, names = shared.value, Best(k), None
+            step = max(1, CELLS // max(len(own.queries), 1))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    score = np.round(own.scores(part.column(1), mean), PLACES)
+                    doc, query = np.nonzero(score > 0)
+                    best.add(query, -score[doc, query], part.column(0).take(pa.array(doc)))
+                    names = part.column(0).type
+            rows = best.rows() if names is not None else None
+            if rows:
+                query, value, doc = rows
+                yield pa.RecordBatch.from_arrays([pa.array([own.queries[i] for i in query], to_arrow_type(schema["query"].dataType)), doc, pa.array(-value)], names=["query", "doc", "score"])
+
+        found = top(tokened.mapInArrow(run, schema), k).select("query", "doc", "score")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def bm25_summary(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
+    """(query, docs, best, total): how many documents share a term with each query, the best score and the sum, added up in the tasks."""
+    tokened, mean, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
+    schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("docs", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("total", T.DoubleType())])
+    out = None
+    for made in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(made)
+
+        def run(batches, shared=shared):
+            own = shared.value
+            step = max(1, CELLS // max(len(own.queries), 1))
+            n, best, total = np.zeros(len(own.queries), np.int64), np.zeros(len(own.queries)), np.zeros(len(own.queries))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    score = np.round(own.scores(batch.slice(at, step).column(1), mean), PLACES)
+                    n += (score > 0).sum(0)
+                    best = np.maximum(best, score.max(0, initial=0))
+                    total += score.sum(0)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([own.queries[i] for i in some], to_arrow_type(schema["query"].dataType)), pa.array(n[some]), pa.array(best[some]), pa.array(total[some])], names=schema.names)
+
+        found = tokened.select("doc", "tokens").mapInArrow(run, schema).groupBy("query").agg(F.sum("docs").alias("docs"), F.max("best").alias("best"), F.sum("total").alias("total"))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc", descending: bool = True) -> DataFrame:
@@ -40,22 +180,58 @@ def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie:
     return scored.withColumn("place", ordinal).where(F.col("place") <= k).withColumn("rank", F.rank().over(w))
 
 
-def dense(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str = "embedding") -> DataFrame:
-    """(query, doc, distance) of every query of a stated set against every usable document vector.
+def dense_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, vector: str = "embedding", below: float | None = None, label: str | None = None) -> DataFrame:
+    """(query, doc, distance): the k nearest usable vectors of each query of a stated set, itself excepted, equal distances by doc.
 
-    Queries are broadcast in blocks of at most QUERY_BLOCK, so that what is broadcast has a bound however many are asked.
+    Queries go out in blocks of at most BLOCK_VECTORS; a task takes the distances of its vectors to a block as one matrix product and
+    keeps k a query. ``below``: only distances under it; ``label``: only vectors whose label equals the query's and is not null.
+    Distances are rounded to PLACES; vectors of different lengths are not compared.
     """
-    q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("qv")).where(numbers.usable(F.col("qv")))
-    q = q.select("query", "qv", numbers.norm(F.col("qv")).alias("qn"))
-    d = docs.select(F.col(doc_id).alias("doc"), F.col(vector).alias("dv")).where(numbers.usable(F.col("dv")))
-    d = d.select("doc", "dv", numbers.norm(F.col("dv")).alias("dn"))
-    blocks = -(-q.count() // QUERY_BLOCK) or 1
-    pairs = None
-    for k in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
-        found = d.join(F.broadcast(block), (F.size("qv") == F.size("dv")) & (F.col("doc") != F.col("query")))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.select("query", "doc", (1 - numbers.dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn"))).alias("distance"))
+    side = lambda df, key: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(label) if label else F.lit(0)).alias("l")).where(numbers.usable(F.col("v")) & F.col("l").isNotNull())
+    q, d = side(queries, query_id), side(docs, doc_id)
+    blocks = -(-q.count() // BLOCK_VECTORS)
+    schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("doc", docs.schema[doc_id].dataType), T.StructField("distance", T.DoubleType())])
+    out = None
+    for b in range(blocks):
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(len(r["v"]), []).append(r)
+        made = {n: ([r["id"] for r in g], _units(np.array([r["v"] for r in g], float)), np.array([r["l"] for r in g])) for n, g in by.items()}
+        shared = docs.sparkSession.sparkContext.broadcast(made)
+
+        def run(batches, shared=shared):
+            ids, best, number = [i for n in sorted(shared.value) for i in shared.value[n][0]], Best(k), {}
+            for n in sorted(shared.value):
+                number[n] = sum(len(shared.value[m][0]) for m in shared.value if m < n)
+            for batch in batches:
+                vectors, labels = batch.column(1), np.asarray(batch.column(2))
+                sizes = np.diff(vectors.offsets.to_numpy())
+                for n, (own, units, asked) in shared.value.items():
+                    rows = np.flatnonzero(sizes == n)
+                    step = max(1, CELLS // len(own))
+                    for at in range(0, len(rows), step):
+                        part = rows[at : at + step]
+                        here = batch.column(0).take(pa.array(part))
+                        x = _units(vectors.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n))
+                        far = np.round(1 - x @ units.T, PLACES)
+                        keep = (labels[part][:, None] == asked[None]) & (np.asarray(here)[:, None] != np.asarray(own)[None])
+                        if below is not None:
+                            keep &= far < below
+                        doc, query = np.nonzero(keep)
+                        best.add(query + number[n], far[doc, query], here.take(pa.array(doc)))
+            rows = best.rows()
+            if rows:
+                query, value, doc = rows
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in query], to_arrow_type(schema["query"].dataType)), doc, pa.array(value)], names=["query", "doc", "distance"])
+
+        found = top(d.mapInArrow(run, schema), k, score="distance", descending=False).select("query", "doc", "distance")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def fuse(rankings: list[DataFrame], weights: list[float] | None = None) -> DataFrame:
@@ -70,29 +246,69 @@ def fuse(rankings: list[DataFrame], weights: list[float] | None = None) -> DataF
     return fused.select("query", "doc", "raw", numbers.rrf_normalized(F.col("raw"), len(rankings)).alias("norm"), place.alias("place"))
 
 
+def _finite(distance: Column) -> Column:
+    return F.coalesce(distance.isNotNull() & ~F.isnan(distance) & (F.abs(distance) < float("inf")), F.lit(False))
+
+
+def _fused(rows: DataFrame) -> DataFrame:
+    """rows with raw, the fused reciprocal ranks of their distances and BM25 scores by query; 0 where a row is in neither list."""
+    w, k, finite = Window.partitionBy("query"), numbers.RRF_K, _finite(F.col("distance"))
+    r1 = F.rank().over(w.orderBy(F.when(finite, F.col("distance")).asc_nulls_last()))
+    r2 = F.rank().over(w.orderBy(F.when(F.col("bm25") > 0, F.col("bm25")).desc_nulls_last()))
+    raw = F.when(finite, 1.0 / (k + F.col("_r1"))).otherwise(0.0) + F.when(F.col("bm25") > 0, 1.0 / (k + F.col("_r2"))).otherwise(0.0)
+    semantic = F.when(finite, numbers.semantic_score(F.col("distance"))).otherwise(0.0)
+    return rows.withColumns({"_r1": r1, "_r2": r2}).withColumns({"raw": F.round(raw, 12), "semantic": semantic}).drop("_r1", "_r2")
+
+
+_NONE = "array<string>"
+
+
 def score_candidates(rows: DataFrame) -> DataFrame:
     """The composite ranking of rows (query, doc, distance, bm25, wanted, owned, verified, must, excluded, confirmed, evidence).
 
-    Dense and lexical lists are ranked and fused, rows in neither list go, skill gaps are penalised, and rows are grouped by their
-    constraints' status where the query's are confirmed, else ordered by raw score, soft bonus and id.
+    Dense and lexical lists are ranked and fused, rows in neither list go (so do distances that are not finite), skill gaps are
+    penalised, and rows are grouped by their constraints' status where the query's are confirmed, else ordered by raw score, soft
+    bonus and id. Coverage is that of the verified skills, or of the owned ones where no skill is verified.
     """
-    w = Window.partitionBy("query")
-    finite = F.col("distance").isNotNull() & ~F.isnan("distance")
-    by_distance = F.rank().over(w.orderBy(F.when(finite, F.col("distance")).asc_nulls_last()))
-    by_bm25 = F.rank().over(w.orderBy(F.when(F.col("bm25") > 0, F.col("bm25")).desc_nulls_last()))
-    k = numbers.RRF_K
-    raw = F.when(finite, 1.0 / (k + F.col("r1"))).otherwise(0.0) + F.when(F.col("bm25") > 0, 1.0 / (k + F.col("r2"))).otherwise(0.0)
-    owned = F.coalesce("verified", "owned", F.array().cast("array<string>"))
-    out = rows.withColumns({"r1": by_distance, "r2": by_bm25}).withColumn("raw", F.round(raw, 12)).where("raw > 0")
-    out = out.withColumns({
-        "coverage": numbers.coverage(F.col("wanted"), owned), "semantic": numbers.semantic_score(F.col("distance")),
-        "soft": F.round(F.size(F.array_intersect(F.coalesce("verified", F.array().cast("array<string>")), "wanted")) * numbers.SOFT_STEP, 6),
-        "status": numbers.constraint_status(F.col("confirmed"), F.col("evidence"), F.col("excluded"), F.col("must"), F.coalesce("verified", F.array().cast("array<string>"))),
+    none = F.array().cast(_NONE)
+    verified, owned = F.coalesce("verified", none), F.coalesce("owned", none)
+    owned = F.when(F.size(owned) > 0, owned).otherwise(verified)
+    shown = F.when(F.size(verified) > 0, verified).otherwise(owned)
+    out = _fused(rows).where("raw > 0").withColumns({
+        "coverage": numbers.coverage(F.col("wanted"), shown), "soft": F.round(F.size(F.array_intersect(verified, "wanted")) * numbers.SOFT_STEP, 6),
+        "status": numbers.constraint_status(F.col("confirmed"), F.col("evidence"), F.col("excluded"), F.col("must"), verified),
     })
     out = out.withColumn("score", numbers.skill_penalty(numbers.rrf_normalized(F.col("raw")), F.col("wanted"), owned, F.col("coverage")))
-    group = F.when(F.col("confirmed"), numbers.status_rank(F.col("status"))).otherwise(0)
+    group = F.when(F.col("confirmed"), numbers.partition_rank(F.col("status"))).otherwise(0)
     soft = F.when(F.col("confirmed"), 0.0).otherwise(F.col("soft"))
-    place = F.row_number().over(w.orderBy(group, F.desc("raw"), soft.desc(), "doc"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(group, F.desc("raw"), soft.desc(), "doc"))
+    return out.select("query", "doc", "raw", "coverage", "semantic", "soft", "status", "score", place.alias("place"))
+
+
+def score_jobs(rows: DataFrame) -> DataFrame:
+    """The reverse ranking of jobs for a profile: rows (query, doc, distance, bm25, skills, cv_skills, cv_verified, cv_evidence, must, excluded, confirmed).
+
+    Coverage divides by the job's own skills; constraints and their confirmation are the job's, the evidence the profile's. A keyword
+    score of 1 or more is not penalised. A query none of whose rows is in a list keeps them all, in the order of doc, with falling scores.
+    """
+    none = F.array().cast(_NONE)
+    skills, own, verified = (F.coalesce(c, none) for c in ("skills", "cv_skills", "cv_verified"))
+    w = Window.partitionBy("query")
+    out = _fused(rows).withColumns({"_any": F.max("raw").over(w) > 0, "_n": F.row_number().over(w.orderBy("doc"))}).where("raw > 0 or not _any")
+    cover = numbers.coverage(skills, own)
+    norm = numbers.rrf_normalized(F.col("raw"))
+    low, mid = F.least(norm * 0.1, F.lit(0.08)), F.least(norm * 0.2, F.lit(0.15))
+    penalised = (
+        F.when(F.col("bm25") >= 1.0, norm).when((F.size(own) == 0) & (F.size(verified) == 0) & ~F.col("cv_evidence"), low)
+        .when((F.size(skills) > 0) & (F.size(own) == 0), low).when((F.size(skills) > 0) & (cover == 0), mid).otherwise(norm)
+    )
+    status = numbers.constraint_status(F.col("confirmed"), F.col("cv_evidence"), F.col("excluded"), F.col("must"), verified)
+    out = out.withColumns({
+        "coverage": cover, "soft": F.round(F.size(F.array_intersect(verified, skills)) * numbers.SOFT_STEP, 6), "status": status,
+        "score": F.when(F.col("_any"), penalised).otherwise(F.greatest(0.5 - F.col("_n") * 0.02, F.lit(0.1))),
+        "raw": F.when(F.col("_any"), F.col("raw")).otherwise(F.round(1.0 / (numbers.RRF_K + F.col("_n")), 12)),
+    })
+    place = F.row_number().over(w.orderBy(numbers.partition_rank(F.col("status")), F.desc("raw"), "doc"))
     return out.select("query", "doc", "raw", "coverage", "semantic", "soft", "status", "score", place.alias("place"))
 
 
@@ -113,7 +329,33 @@ def rerank(rows: DataFrame, window: int = 50) -> DataFrame:
     return out.withColumn("new_place", place)
 
 
-def keyword_boost(title, skills, company, body, place, words):
-    """Points for the query words that each part of a job has."""
-    has = lambda c: F.size(F.filter(words, lambda w: F.contains(F.lower(c), w)))
-    return has(title) * 2.0 + has(skills) * 1.5 + has(company) * 1.2 + has(body) * 1.0 + has(place) * 0.5
+#: Words of a request that say nothing about a job, and the points of the parts that hold another word.
+REQUEST_STOPWORDS = "tìm việc làm các những hiện có cho tại ở công và hoặc là thì".split()
+BOOSTS = {"title": 2.0, "skills": 1.5, "company": 1.2, "body": 1.0, "location": 0.5}
+
+
+def request_words(request: Column) -> Column:
+    """The words of a request that count: lower case, without outer punctuation, of two letters or more."""
+    bare = F.transform(F.split(F.lower(request), r"\s+"), lambda w: F.btrim(w, F.lit("#,?.!:;()[]\"'")))
+    return F.filter(bare, lambda w: (F.length(w) > 1) & ~w.isin(REQUEST_STOPWORDS))
+
+
+def keyword_boost(request: Column, parts: dict[str, Column], direct: Column, near: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Points for a request: 5 for its `#number` in the title or id, twice its direct BM25 score, and each word's points for every part that has it.
+
+    parts: title, skills, company, body, location and id. Words match whole words, or, of four letters and more, ``near`` ones if that
+    test (word, words) is given.
+    """
+    tokens = {k: F.regexp_extract_all(F.lower(F.coalesce(parts[k], F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)) for k in BOOSTS}
+    has = lambda w, ts: F.array_contains(ts, w) | (((F.length(w) >= 4) & near(w, ts)) if near else F.lit(False))
+    points = lambda w: sum((F.when(has(w, tokens[k]), p).otherwise(0.0) for k, p in BOOSTS.items()), F.lit(0.0))
+    words = F.aggregate(request_words(request), F.lit(0.0), lambda total, w: total + points(w))
+    number = F.regexp_extract(F.lower(request), r"#([0-9]+)", 1)
+    tag = F.concat(F.lit("#"), number)
+    exact = F.when((number != "") & (F.contains(F.lower(parts["title"]), tag) | F.contains(parts["id"], tag)), 5.0).otherwise(0.0)
+    return exact + F.coalesce(direct, F.lit(0.0)) * 2.0 + words
+
+
+def boosted(bm25: Column, boost: Column) -> Column:
+    """A BM25 score with a boost, from 0.5 where the score is none."""
+    return F.when(boost > 0, F.when(bm25 > 0, bm25).otherwise(0.5) + boost).otherwise(bm25)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.functions import text
+from rankweave.sources.tables import spread
 
 FUZZY_RATIO, FUZZY_LENGTH, RELATED = 88, 4, 8
 
@@ -25,10 +26,24 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TAXONOMY, "variant string, slug string, category string, role string")
 
 
+def found(rows: DataFrame, view: str, terms: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep.., slug): the skills that a matched text (``text.matched``) names by a variant of any number of words, each once a row.
+
+    terms is a small dimension table: its variants are gathered into one array and one row, so that only the words that a text has of
+    theirs are exploded.
+    """
+    sizes = terms.agg(F.coalesce(F.max(F.size(F.split("variant", " "))), F.lit(1)).alias("most"), F.collect_set("variant").alias("variants"))
+    words = rows.crossJoin(F.broadcast(sizes)).withColumn("_w", F.filter(F.split(view, " "), lambda w: w != ""))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.col("most")), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(-1)) + 1), lambda i: F.array_join(F.slice("_w", i + 1, n), " "))))
+    several = F.when(F.col("most") == 1, F.col("_w")).otherwise(grams)
+    named = words.select(*keep, F.explode(F.array_intersect(several, F.col("variants"))).alias("variant"))
+    return named.join(F.broadcast(terms.select("variant", "slug")), "variant").select(*keep, "slug").distinct()
+
+
 def extract(docs: DataFrame, terms: DataFrame, doc_id: str, text_col: str = "text") -> DataFrame:
     """(doc, slug): each skill a document names by one of its variants; terms is a small dimension table."""
-    words = docs.select(F.col(doc_id).alias("doc"), F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("variant"))
-    return words.join(F.broadcast(terms.select("variant", "slug")), "variant").select("doc", "slug").distinct()
+    views = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text_col))).select("doc", text.matched(F.col(text_col)).alias("view"))
+    return found(views, "view", terms, ["doc"])
 
 
 def related(terms: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -112,23 +111,3 @@ def due(outbox: DataFrame, as_of: Column, most_attempts: int) -> DataFrame:
 def to_ingest(sources: DataFrame, stored: DataFrame, key: str, versions: list[str]) -> DataFrame:
     """Sources whose hash or versions are not the stored ones."""
     return sources.join(stored.select(key, *versions), [key, *versions], "left_anti")
-
-
-def breaker(frames: pd.DataFrame) -> list[str]:
-    """State after each call of a circuit breaker: open after 5 failures, half-open after 30 s, closed again after 3 successes."""
-    state, failures, successes, opened, out = "closed", 0, 0, 0.0, []
-    for t, ok in zip(frames["t"], frames["ok"], strict=True):
-        if state == "open" and t - opened >= 30:
-            state, successes = "half_open", 0
-        if state == "closed":
-            failures = 0 if ok else failures + 1
-            if failures >= 5:
-                state, opened = "open", t
-        elif state == "half_open":
-            successes = successes + 1 if ok else 0
-            if not ok:
-                state, opened = "open", t
-            elif successes >= 3:
-                state, failures = "closed", 0
-        out.append(state)
-    return out

@@ -26,7 +26,7 @@ def _metrics(spark, sf_dir):
     """Relevance: vectors of the query's label, of grade 2 where the id is divisible by 3."""
     v = table(spark, sf_dir, "embeddings")
     asked = v.where("vec_id % 100 = 0")
-    near = retrieval.dense(v, asked, "vec_id", "vec_id").withColumn("distance", F.round("distance", 6))
+    near = retrieval.dense_top(v, asked, "vec_id", "vec_id", 20)
     grades = v.join(asked.select(F.col("vec_id").alias("query"), "label"), "label").where("vec_id <> query")
     grades = grades.select("query", F.col("vec_id").alias("doc"), F.when(F.col("vec_id") % 3 == 0, 2).otherwise(1).alias("grade"))
     return evaluation.ranking_metrics(retrieval.top(near, 20, score="distance", descending=False).select("query", "doc", "place"), grades, [5, 10])
@@ -88,14 +88,17 @@ def overall_score(spark, sf_dir):
     return rows.select("c_custkey", F.round(overall, 2).alias("overall"), numbers.steps(F.col("ev"), numbers.PERCENTILES, 15.0).alias("percentile"))
 
 
-@query("""WITH s AS (SELECT c_custkey, 10 AS skills, c_custkey % 9 AS ghosts, c_custkey % 8 AS claimed, c_custkey % 5 AS shown, CASE WHEN c_custkey % 17 = 0 THEN 2 ELSE 0 END AS ana, (c_custkey % 101)::DOUBLE AS depth, c_custkey % 11 = 0 AS conflict FROM customer),
-p AS (SELECT *, ghosts / 10.0::DOUBLE AS g, CASE WHEN claimed >= 3 THEN greatest((claimed - shown)::DOUBLE / claimed, 0) ELSE 0 END AS d, claimed >= 5 AND depth < 40 AS hollow FROM s),
-t AS (SELECT *, round(greatest(0.05, least(1.0, 1.0::DOUBLE - CASE WHEN conflict THEN 0.25 ELSE 0 END - CASE WHEN g > 0.5 THEN g * 0.35 WHEN g > 0.3 THEN g * 0.15 ELSE 0 END - CASE WHEN d > 0.6 THEN 0.35 WHEN d > 0.3 THEN 0.15 ELSE 0 END - least(ana, 3) * 0.25 - CASE WHEN hollow THEN 0.25 ELSE 0 END)), 2) AS score, (g > 0.5)::INT + hollow::INT AS flags FROM p)
+@query("""WITH s AS (SELECT c_custkey, 10 AS skills, c_custkey % 9 AS ghosts, c_custkey % 8 AS claimed, (c_custkey % 50) / 10.0::DOUBLE AS shown, c_custkey % 4 AS projects, 2026 - c_custkey % 12 AS graduated, CASE WHEN c_custkey % 17 = 0 THEN 2 ELSE 0 END AS ana, (c_custkey % 101)::DOUBLE AS depth, c_custkey % 3 AS boasts FROM customer),
+f AS (SELECT *, claimed > greatest(2026 - graduated, 0) + 2 AS conflict, (projects = 0 OR (claimed >= 5 AND shown < 1) OR (claimed >= 3 AND shown * 2.5 < claimed))::INT + CASE WHEN shown < 3 THEN boasts ELSE 0 END AS time_flags FROM s),
+p AS (SELECT *, ghosts / 10.0::DOUBLE AS g, CASE WHEN claimed >= 3 THEN greatest((claimed - shown)::DOUBLE / claimed, 0) ELSE 0 END AS d, claimed >= 5 AND depth < 40 AS hollow FROM f),
+t AS (SELECT *, greatest(0.05, least(1.0, round(1.0::DOUBLE - CASE WHEN conflict THEN 0.25 ELSE 0 END - CASE WHEN g > 0.5 THEN g * 0.35 WHEN g > 0.3 THEN g * 0.15 ELSE 0 END - CASE WHEN d > 0.6 THEN 0.35 WHEN d > 0.3 THEN 0.15 ELSE 0 END - least(ana, 3) * 0.25 - CASE WHEN hollow THEN 0.25 ELSE 0 END, 2))) AS score, time_flags + ana + conflict::INT + (g > 0.5)::INT + hollow::INT AS flags FROM p)
 SELECT c_custkey, score AS trust_score, CASE WHEN score < 0.45 OR flags >= 2 OR ana > 0 THEN 'HIGH_INFLATION_RISK' WHEN score < 0.75 OR flags >= 1 THEN 'QUESTIONABLE' ELSE 'VERIFIED' END AS trust_status FROM t""")
 def trust_score(spark, sf_dir):
-    """Credibility of claims from ghost skills, year gaps, anachronisms and depth."""
+    """Credibility of claims from ghost skills, the years' timeline, anachronisms and depth."""
     k = F.col("c_custkey")
-    made = numbers.trust(F.lit(10), k % 9, k % 8, k % 5, F.when(k % 17 == 0, 2).otherwise(0), (k % 101).cast("double"), k % 11 == 0)
+    shown = (k % 50) / 10.0
+    flags = numbers.timeline_flags(k % 8, shown, k % 4, 2026 - k % 12, F.lit(2026), k % 3)
+    made = numbers.trust(F.lit(10), k % 9, k % 8, shown, F.when(k % 17 == 0, 2).otherwise(0), (k % 101).cast("double"), flags["conflict"], flags["evidence"].cast("int") + flags["boasts"])
     return table(spark, sf_dir, "customer").select("c_custkey", made["trust_score"].alias("trust_score"), made["trust_status"].alias("trust_status"))
 
 

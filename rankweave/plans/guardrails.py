@@ -4,47 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.functions import text
+from rankweave.functions import guardrails, text
 from rankweave.plans.registry import query
-from rankweave.sources.tables import table
+from rankweave.sources.tables import spread, table
 
+_q = guardrails.q
+_NORMAL = guardrails.sql_normalized("coalesce(text, '')")
 
-def _q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
 
+def _clean_sql(source: str, key: str) -> str:
+    return f"SELECT {key}, t, {guardrails.sql_sanitized('t')} AS clean FROM (SELECT {key}, {_NORMAL} AS t FROM {source})"
 
-_ANY_SECRET = " OR ".join(f"regexp_matches(text, {_q(p)})" for p in text.SECRETS.values())
-_REDACTED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(text.EMAIL)}, '[REDACTED_EMAIL]', 'g'), {_q(text.URL)}, '[REDACTED_URL]', 'g'), {_q(text.UUID)}, '[REDACTED_ID]', 'g'), {_q(text.PHONE)}, '\\1[REDACTED_PHONE]\\4', 'g')"
-_INJECTED = " OR ".join(f"regexp_matches(text, {_q(p)})" for p in text.INJECTIONS.values())
+
+def _signals_sql(source: str, key: str) -> str:
+    return f"SELECT *, {guardrails.sql_signals('low', 'view')} AS signals FROM (SELECT {key}, t, lower(t) AS low, {guardrails.sql_folded('t')} AS view FROM (SELECT {key}, {_NORMAL} AS t FROM {source}))"
 
 
 @query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_q(p)}))::BIGINT AS {k}" for k, p in {"emails": text.EMAIL, "phones": text.PHONE, "urls": text.URL, "births": text.BIRTH}.items()) + " FROM documents")
 def pii_counts(spark, sf_dir):
     counts = text.pii_counts(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in counts.items()))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(c.alias(k) for k, c in counts.items()))
 
 
-@query(f"SELECT doc_id, sha256({_REDACTED}) AS redacted_sha256, ({_REDACTED}) <> text AS changed FROM documents")
+@query(f"SELECT doc_id, sha256(clean) AS redacted_sha256, clean <> t AS changed FROM ({_clean_sql('documents', 'doc_id')})")
 def pii_redact(spark, sf_dir):
-    clean = text.redact(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("redacted_sha256"), (clean != F.col("text")).alias("changed"))
+    clean = guardrails.let(guardrails.normalized(F.coalesce("text", F.lit(""))), guardrails.sanitized)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean.alias("c")).select("doc_id", F.sha2("c.value", 256).alias("redacted_sha256"), "c.changed")
 
 
-@query("SELECT * FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN '{k}' END" for k, p in text.SECRETS.items()) + ") AS secrets FROM documents) WHERE secrets <> ''")
+@query(f"SELECT * FROM (SELECT doc_id, array_to_string({guardrails.sql_secrets('t')}, ',') AS secrets FROM (SELECT doc_id, {_NORMAL} AS t FROM documents)) WHERE secrets <> ''")
 def secret_scan(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.matching(F.col("text"), text.SECRETS), ",").alias("secrets"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(guardrails.secrets(guardrails.normalized(F.col("text"))), ",").alias("secrets"))
     return found.where("secrets <> ''")
 
 
-@query("SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN '{k}' END" for k, p in text.INJECTIONS.items()) + ") AS signals FROM conversations")
+@query(f"SELECT conv_id, turn, array_to_string(signals, ',') AS signals FROM ({_signals_sql('conversations', 'conv_id, turn')})")
 def injection_signals(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.matching(F.col("text"), text.INJECTIONS), ",").alias("signals"))
+    found = guardrails.injection_signals(guardrails.normalized(F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("signals"))
+
+
+_GATED = f"""cut AS (SELECT doc_id, CASE WHEN length(n) > 20000 THEN rtrim(substr(n, 1, 20000), ' ') ELSE n END AS t, length(n) > 20000 AS over FROM (SELECT doc_id, {_NORMAL} AS n FROM documents)),
+seen AS (SELECT doc_id, t, over, {guardrails.sql_sanitized("t")} AS clean, len({guardrails.sql_secrets("t")}) > 0 AS secret, len({guardrails.sql_signals("lower(t)", "view")}) > 0 AS flagged FROM (SELECT *, {guardrails.sql_folded("t")} AS view FROM cut)),
+line AS (SELECT doc_id, count(*) FILTER (trim(l) <> '' AND len({guardrails.sql_signals("lower(l)", "view")}) = 0) AS kept FROM (SELECT doc_id, l, {guardrails.sql_folded("l")} AS view FROM (SELECT doc_id, trim(unnest(string_split(clean, chr(10))), {_q(guardrails.SPACES)}) AS l FROM seen WHERE flagged)) GROUP BY doc_id)"""
 
 
-@query(f"SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'degrade' WHEN {_ANY_SECRET} THEN 'block' WHEN ({_REDACTED}) <> text OR {_INJECTED} THEN 'sanitize' WHEN length(text) > 20000 THEN 'degrade' ELSE 'pass' END AS action, count(*) AS n FROM documents GROUP BY 1")
+@query(f"""WITH {_GATED} SELECT CASE WHEN t = '' THEN 'degrade' WHEN secret THEN 'block' WHEN clean = '' OR (flagged AND coalesce(kept, 0) = 0) THEN 'degrade' WHEN flagged THEN 'sanitize' WHEN over THEN 'degrade' WHEN clean <> t THEN 'sanitize' ELSE 'pass' END AS action, count(*) AS n
+FROM seen LEFT JOIN line USING (doc_id) GROUP BY 1""")
 def gate_decision(spark, sf_dir):
-    """How many documents a text gate passes, sanitizes, degrades or blocks."""
-    return table(spark, sf_dir, "documents").select(text.gate(F.col("text"))["action"].alias("action")).groupBy("action").agg(F.count("*").alias("n"))
+    """How many documents a context gate passes, sanitizes, degrades or blocks."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(guardrails.gate(F.col("text"))["action"].alias("action")).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN t = '' THEN 'degrade' WHEN len({guardrails.sql_secrets("t")}) > 0 THEN 'block' WHEN len(signals) > 0 THEN 'block' WHEN {guardrails.sql_sanitized("t")} <> t THEN 'sanitize' ELSE 'pass' END AS action
+FROM ({_signals_sql("conversations", "conv_id, turn")}) WHERE length(t) <= 20000""")
+def chat_gate(spark, sf_dir):
+    """The gate of what people say in a chat: any signal blocks it."""
+    rows = table(spark, sf_dir, "conversations").where(F.length(guardrails.normalized(F.coalesce("text", F.lit("")))) <= 20_000)
+    return rows.select("conv_id", "turn", guardrails.gate(F.col("text"), "chat")["action"].alias("action"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages")

@@ -38,18 +38,25 @@ def durations(spark, sf_dir):
     return rows.select("p_partkey", "months", profiles.seniority(F.col("months") / 12.0).alias("seniority"))
 
 
-@query(f"""WITH s AS (SELECT item_id AS doc, generate_subscripts(p, 1) - 1 AS sentence, unnest(p) AS said FROM (SELECT item_id, regexp_split_to_array(lower(text), '[.!?\\n]+') AS p FROM benchmark)),
-k AS (SELECT *, CASE WHEN contains(said, 'team') THEN 'mentioned' WHEN contains(said, 'required') OR contains(said, 'must have') THEN 'must' WHEN contains(said, 'plus') OR contains(said, 'preferred') THEN 'preferred' ELSE 'mentioned' END AS kind, contains(' ' || said || ' ', ' or ') OR contains(' ' || said || ' ', ' either ') AS either FROM s),
-w AS (SELECT DISTINCT doc, sentence, kind, either, slug FROM (SELECT doc, sentence, kind, either, unnest(regexp_split_to_array(said, '[^a-z0-9_+#]+')) AS variant FROM k) JOIN {_TAXONOMY} USING (variant))
-SELECT doc, slug, kind, CASE WHEN either THEN 's' || sentence ELSE slug END AS "group" FROM w QUALIFY row_number() OVER (PARTITION BY doc, slug ORDER BY CASE kind WHEN 'must' THEN 0 WHEN 'preferred' THEN 1 ELSE 2 END, sentence) = 1""")
+_HINT = lambda hints: " OR ".join(f"contains(view, '{h}')" for h in hints)
+
+
+@query(f"""WITH s AS (SELECT item_id AS doc, generate_subscripts(p, 1) - 1 AS sentence, unnest(p) AS said FROM (SELECT item_id, regexp_split_to_array(text || ' one required. inoran attion or thatin must have', '[.!?\\n]+') AS p FROM benchmark)),
+v AS (SELECT doc, sentence, ' ' || {text.sql_matched("said")} || ' ' AS view FROM s),
+k AS (SELECT *, CASE WHEN {_HINT(profiles.MUST)} THEN 0 WHEN {_HINT(profiles.PREFERRED)} THEN 1 WHEN {_HINT(profiles.MENTIONED)} THEN 2 END AS kind, {_HINT(profiles.ALTERNATIVE)} AS either FROM v),
+w AS (SELECT DISTINCT doc, sentence, kind, either, slug FROM k JOIN {_TAXONOMY} ON contains(view, ' ' || variant || ' ') WHERE kind IS NOT NULL),
+b AS (SELECT *, min(kind) OVER (PARTITION BY doc, slug ORDER BY sentence, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w)
+SELECT doc, slug, ['must', 'preferred', 'mentioned'][kind + 1] AS kind, CASE WHEN kind = 0 AND either THEN 's' || sentence ELSE slug END AS "group" FROM b WHERE before IS NULL OR kind < before""")
 def proposed_constraints(spark, sf_dir):
-    return profiles.proposed_constraints(table(spark, sf_dir, "benchmark"), "item_id", "text", skills.taxonomy(spark))
+    """Constraints that a text proposes; the last sentences are added here, so that every kind of group occurs."""
+    rows = table(spark, sf_dir, "benchmark").withColumn("text", F.concat("text", F.lit(" one required. inoran attion or thatin must have")))
+    return profiles.proposed_constraints(rows, "item_id", "text", skills.taxonomy(spark))
 
 
-@query("WITH v AS (SELECT o_custkey, o_orderpriority AS label, sum(CASE o_orderstatus WHEN 'O' THEN 3 ELSE 1 END) AS w FROM orders GROUP BY ALL) SELECT o_custkey, label, w::BIGINT AS weight FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY w DESC, label) = 1")
+@query("WITH v AS (SELECT o_custkey, o_orderpriority AS label, sum(CASE o_orderstatus WHEN 'O' THEN 3 ELSE 1 END) AS w, min(o_orderkey) AS first FROM orders GROUP BY ALL) SELECT o_custkey, label, w::BIGINT AS weight FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY w DESC, first) = 1")
 def vote_argmax(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("label"), F.when(F.col("o_orderstatus") == "O", 3).otherwise(1).alias("w"))
-    return profiles.argmax_votes(rows, "o_custkey", "label", "w")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("label"), F.when(F.col("o_orderstatus") == "O", 3).otherwise(1).alias("w"))
+    return profiles.argmax_votes(rows, "o_custkey", "label", "w", "o_orderkey")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS query, l_partkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place, l_quantity AS score, (l_linenumber + l_partkey) % 3 AS g FROM lineitem),
@@ -80,16 +87,19 @@ def project_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", depth.alias("depth"), F.round(experience, 6).alias("experience"))
 
 
-@query(f"""WITH o AS (SELECT doc_id, list(DISTINCT slug) AS s FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{text.TOKEN_SEPARATOR}')) AS variant FROM documents) JOIN {_TAXONOMY} USING (variant) GROUP BY doc_id),
-c AS (SELECT doc_id, s, list_sort(list_intersect(['attion', 'inthe', 'mente', 'thing'], s)) AS m, list_sort(list_filter(['attion', 'inthe', 'mente', 'thing'], lambda x: NOT list_contains(s, x))) AS x FROM o),
-t AS (SELECT *, 25.0::DOUBLE * len(m) AS fit, least(100.0, len(s) * 10.0)::DOUBLE AS breadth FROM c)
-SELECT doc_id, array_to_string(m, ',') AS matched, array_to_string(x, ',') AS missing, fit, round(fit * 0.35 + breadth * 0.35 + (100 - fit) * 0.3, 2) AS total, row_number() OVER (ORDER BY round(fit * 0.35 + breadth * 0.35 + (100 - fit) * 0.3, 2) DESC, fit DESC, doc_id) AS place FROM t ORDER BY place LIMIT 10""")
-def comparison_top(spark, sf_dir):
-    """The ten best documents of a comparison against four skills."""
-    owned = skills.extract(table(spark, sf_dir, "documents"), skills.taxonomy(spark), "doc_id").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("slug").alias("s"))
-    rows = owned.withColumn("asked", F.array(*(F.lit(x) for x in ("attion", "inthe", "mente", "thing"))))
-    best = profiles.comparison(rows, "doc_id", "s", "asked", 10)
-    return best.select("doc_id", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "fit", "total", "place")
+@query(f"""WITH o AS (SELECT doc_id, list(DISTINCT slug) AS s FROM (SELECT doc_id, ' ' || {text.sql_matched("text")} || ' ' AS view FROM documents) JOIN {_TAXONOMY} ON contains(view, ' ' || variant || ' ') GROUP BY doc_id),
+c AS (SELECT doc_id // 5 AS grp, doc_id, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) AS hint, list_sort(list_filter(coalesce(s, []), lambda x: list_contains(['attion', 'inthe', 'ment', 'thing'], x) OR x = 'mente')) AS m, coalesce(text, '') AS t FROM documents LEFT JOIN o USING (doc_id)),
+x AS (SELECT *, least(9.5, greatest(3.5, round(4.0 + len(m) / 4.0::DOUBLE * 5.5, 1)))::DOUBLE AS skills, least(9.5, greatest(4.0, round(6.0 + CASE WHEN regexp_matches(lower(t), '\\b([2-9]|1[0-5])\\s*(năm|years?)\\b') THEN 1.5 ELSE 0.5 END + hint * 0.2::DOUBLE, 1)))::DOUBLE AS experience,
+  round(7.0 + CASE WHEN regexp_matches(lower(t), '(đại học|cử nhân|thạc sĩ|kỹ sư|bachelor|master|university)') THEN 1.5 ELSE 0.5 END, 1)::DOUBLE AS education FROM c),
+y AS (SELECT *, round(0.35::DOUBLE * skills + 0.35::DOUBLE * experience + 0.30::DOUBLE * education, 1) AS overall FROM x)
+SELECT grp, doc_id, array_to_string(m, ',') AS matched, skills, overall, round(skills + experience + education + overall, 1) AS total, row_number() OVER (PARTITION BY grp ORDER BY round(skills + experience + education + overall, 1) DESC, overall DESC, hint) AS place FROM y""")
+def comparison(spark, sf_dir):
+    """Documents compared five at a time against four skills."""
+    docs = table(spark, sf_dir, "documents")
+    owned = skills.extract(docs, skills.taxonomy(spark), "doc_id").groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("slug")).alias("s"))
+    rows = docs.join(owned, "doc_id", "left").withColumns({"grp": F.floor(F.col("doc_id") / 5), "asked": F.array(*(F.lit(x) for x in ("Attion", "inthe", "ment", "thing")))})
+    found = profiles.comparison(rows, "grp", "doc_id", "s", "asked", "text")
+    return found.select("grp", "doc_id", F.array_join("matched", ",").alias("matched"), "skills", "overall", "total", "place")
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([a-z]+)', 1) || '/repo' || (page_id % 7) AS repo FROM pages")

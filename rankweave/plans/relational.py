@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.operators import relational
+from rankweave.operators import profiles, relational
 from rankweave.plans.registry import query
 from rankweave.sources import tables
 from rankweave.sources.tables import table
@@ -94,10 +94,30 @@ def ladder_pick(spark, sf_dir):
     return relational.top_per_group(rows, ["n_regionkey"], 2, (F.col("c_mktsegment") == "BUILDING").desc(), ladder, F.desc("c_acctbal"), F.col("c_custkey")).select("n_regionkey", "c_custkey")
 
 
-@query("""WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT *, floor((40 - count(*) OVER ()) * n / sum(n) OVER ())::BIGINT AS base, row_number() OVER (ORDER BY n DESC, c_mktsegment) AS place, count(*) OVER () AS k FROM c)
-SELECT c_mktsegment, n, (1 + base + (place <= 40 - k - sum(base) OVER ())::INT)::BIGINT AS seats FROM b""")
+@query("""WITH c AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT n_name, n, (1 + (row_number() OVER (ORDER BY n DESC, n_name) <= 40 - count(*) OVER ())::INT)::BIGINT AS seats FROM c""")
 def seat_apportionment(spark, sf_dir):
-    return relational.apportioned(table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")), "c_mktsegment", "n", 40)
+    named = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return relational.apportioned(named.groupBy("n_name").agg(F.count("*").alias("n")), "n_name", "n", 40)
+
+
+@query("SELECT c_nationkey, ((1000 // count(*) OVER ()) + (row_number() OVER (ORDER BY c_nationkey) <= 1000 % count(*) OVER ())::INT)::BIGINT AS quota FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey IS NOT NULL)")
+def quota_split(spark, sf_dir):
+    """A thousand queries dealt evenly over the nations."""
+    return relational.shared_out(table(spark, sf_dir, "customer"), "c_nationkey", 1000)
+
+
+@query()
+def diverse_sample(spark, sf_dir):
+    """Four parts of each brand, of different types first; the seeded order is a hash that SQL doesn't have."""
+    return relational.diverse_sample(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_partkey", 4, 42).select("p_brand", "p_partkey", "p_type", "place")
+
+
+@query("SELECT c_custkey, coalesce(list_position([30, 7, 19, 3], c_custkey) - 1, 999)::INT AS place FROM customer WHERE c_custkey < 40")
+def requested_order(spark, sf_dir):
+    """Rows by the order in which their keys were asked for."""
+    wanted = spark.createDataFrame([([30, 7, 19, 3],)], "keys array<bigint>")
+    return relational.requested_order(table(spark, sf_dir, "customer").where("c_custkey < 40"), "c_custkey", wanted).select("c_custkey", "place")
 
 
 @query("""SELECT c_custkey, c_name, n_name, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS pending FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
@@ -149,12 +169,13 @@ def similar_items(spark, sf_dir):
     return relational.similar(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type", "p_size"], 3).select("p_partkey", "other", "place")
 
 
-@query("SELECT c_custkey, 'CAND_' || lpad(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::VARCHAR, 3, '0') AS alias, c_mktsegment FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+@query("""WITH a AS (SELECT o_custkey, o_orderkey, 'CAND_' || lpad(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::VARCHAR, 3, '0') AS alias FROM orders)
+SELECT o_custkey, o_orderkey, alias, 'candidate #' || ltrim(substr(alias, 6), '0') || ' fits' AS reason FROM a""")
 def anonymized(spark, sf_dir):
-    """The 50 rows that a report shows, by running alias instead of name."""
-    shown = table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select(F.collect_list(F.struct((-F.col("c_acctbal")).alias("o"), "c_custkey", "c_mktsegment")).alias("r"))
-    each = shown.select(F.posexplode(F.array_sort("r")).alias("at", "r"))
-    return each.select("r.c_custkey", F.format_string("CAND_%03d", F.col("at") + 1).alias("alias"), "r.c_mktsegment")
+    """Every list's rows by running alias instead of key, and the keys restored to what was said about the aliases."""
+    hidden, names = profiles.anonymized(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], F.desc("o_totalprice"), F.col("o_orderkey"))
+    said = hidden.select("o_custkey", "alias", F.concat("alias", F.lit(" fits")).alias("reason"))
+    return profiles.restored(said, names, ["o_custkey"]).select("o_custkey", "o_orderkey", "alias", profiles.readable(F.col("reason")).alias("reason"))
 
 
 @query("""WITH j AS (SELECT c_custkey, n_name, r_name, sum(o_totalprice) AS total, count(o_orderkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY ALL) SELECT c_custkey, n_name, r_name, round(coalesce(total, 0), 2) AS total, n FROM j""")
@@ -181,7 +202,19 @@ def upsert(spark, sf_dir):
     return tables.upserted(orders.where("o_orderstatus = 'F'").select("id", F.lit("old").alias("version")), orders.where("id % 3 = 0").select("id", F.lit("new").alias("version")), ["id"])
 
 
-@query()
-def greedy_budget(spark, sf_dir):
-    """Lines of each order taken while their quantities fit into 60."""
-    return relational.greedy_budget(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", 60, "l_linenumber", "l_partkey")
+_FILES = """files AS (SELECT l_orderkey AS repo, CASE l_partkey % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'data/' ELSE '' END || l_partkey || '-' || l_linenumber || CASE l_partkey % 3 WHEN 0 THEN '.py' ELSE '.bin' END AS path, repeat('x', l_quantity::INT) AS content FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_FILES},
+ranked AS (SELECT *, regexp_matches(path, '\\.py$|^src/') AS entry, row_number() OVER (PARTITION BY repo ORDER BY regexp_matches(path, '\\.py$|^src/') DESC, length(path), path) AS n FROM files),
+walk AS (SELECT repo, 0::BIGINT AS n, 0::BIGINT AS used, NULL::VARCHAR AS path, 0::BIGINT AS size, FALSE AS taken FROM (SELECT DISTINCT repo FROM files)
+  UNION ALL SELECT r.repo, r.n, w.used + s.size, r.path, s.size, s.taken FROM walk w JOIN ranked r ON r.repo = w.repo AND r.n = w.n + 1,
+  LATERAL (SELECT CASE WHEN w.used + length(r.content) <= 60 THEN length(r.content) WHEN r.entry AND w.used < 60 THEN 60 - w.used ELSE 0 END AS size, w.used + length(r.content) <= 60 OR (r.entry AND w.used < 60) AS taken) s)
+SELECT repo, path, size FROM walk WHERE taken""")
+def key_files(spark, sf_dir):
+    """Files of each repository (orders' lines in their place) that a budget of 60 bytes takes."""
+    k = F.col("l_partkey")
+    folder = F.when(k % 4 == 0, "src/").when(k % 4 == 1, "data/").otherwise("")
+    path = F.concat(folder, k.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.when(k % 3 == 0, ".py").otherwise(".bin"))
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", path.alias("path"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("content"))
+    return relational.key_files(files, "l_orderkey", "path", "content", 60).select("repo", "path", "size")

@@ -52,18 +52,18 @@ def expired_batch(spark, sf_dir):
     """The hundred oldest pending rows past their deadline, as of the last date in the table."""
     orders = table(spark, sf_dir, "orders")
     rows = orders.withColumns({"status": F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done"), "deadline": F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")})
-    as_of = orders.agg(F.max("o_orderdate")).first()[0]
-    found = stateful.expired(rows, "deadline", F.lit(as_of), 100, "o_orderkey")
+    rows = rows.crossJoin(F.broadcast(orders.agg(F.max("o_orderdate").alias("as_of"))))
+    found = stateful.expired(rows, "deadline", F.col("as_of"), 100, "o_orderkey")
     return found.select("o_orderkey", "o_custkey", F.concat(F.lit("recruiter_timeout:"), F.col("o_orderkey").cast("string")).alias("idempotency_key"))
 
 
 @query("SELECT event_id, attempts FROM (SELECT event_id, (event_id % 6)::INT AS attempts, ['pending', 'failed', 'sent'][1 + event_id % 3] AS status, ts + to_minutes((event_id % 50)::BIGINT) AS next_retry_at FROM events) WHERE status IN ('pending', 'failed') AND attempts < 5 AND next_retry_at <= (SELECT max(ts) FROM events)")
 def outbox_due(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
-    as_of = rows.agg(F.max("ts")).first()[0]
     status = F.element_at(F.array(F.lit("pending"), F.lit("failed"), F.lit("sent")), (F.col("event_id") % 3 + 1).cast("int"))
     box = rows.select("event_id", (F.col("event_id") % 6).cast("int").alias("attempts"), status.alias("status"), (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 50).cast("int"))).alias("next_retry_at"))
-    return stateful.due(box, F.lit(as_of), 5).select("event_id", "attempts")
+    box = box.crossJoin(F.broadcast(rows.agg(F.max("ts").alias("as_of"))))
+    return stateful.due(box, F.col("as_of"), 5).select("event_id", "attempts")
 
 
 @query("SELECT user_id, event_type, arg_min(event_id, {'ts': ts, 'event_id': event_id}) AS event_id FROM events GROUP BY ALL")

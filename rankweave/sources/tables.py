@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over at least as many partitions as the session has cores, for work that costs far more than a shuffle of its input;
+    a table with as many splits stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.rdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV file with a header (a byte order mark is skipped) and quoted line breaks."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
@@ -45,7 +52,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, modified, text) of files; the text of those that are text."""
     raw = spark.read.format("binaryFile").load(path)
     kind = sniffed(F.col("content"), F.col("path"))
-    return raw.select("path", kind.alias("kind"), F.col("modificationTime").alias("modified"), F.when(kind == "text", F.decode("content", F.lit("UTF-8"))).alias("text"))
+    return raw.select("path", kind.alias("kind"), F.col("modificationTime").alias("modified"), F.when(kind == "text", F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
