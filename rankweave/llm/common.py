@@ -33,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (local tests) a temporary folder becomes the session's checkpoint folder.
+    Only where that is unset in a local session (tests) a temporary folder becomes the session's checkpoint folder; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='rankweave-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -84,6 +86,27 @@ def map_batches(df: DataFrame, inputs: Sequence[str], outputs: Sequence[T.Struct
     return source.mapInArrow(run, schema)
 
 
+#: Rows of one key from which a join splits the key; with more rows in all, a 10,000th of them, so that at most 10,000 keys are split.
+SPLIT_ROWS = 512
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique, with left's hot keys dealt over many tasks.
+
+    A key of more than SPLIT_ROWS rows (or a 10,000th of all rows, if that is more) gets a salt from a hash of the row; right's row of it
+    is repeated for each salt. The table of hot keys is broadcast: it has at most 10,000 rows whatever the data.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_all"))
+    most = F.greatest(F.lit(SPLIT_ROWS), F.ceil(F.col("_all") / 10_000))
+    hot = counts.where(F.col("_rows") > SPLIT_ROWS).crossJoin(F.broadcast(total)).where(F.col("_rows") > most).select(*keys, F.ceil(F.col("_rows") / most).cast("int").alias("_salts"))
+    hot = F.broadcast(stored(hot, "hot-keys"))
+    salts = F.coalesce("_salts", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_salt", F.when(salts > 1, F.pmod(F.xxhash64(*left.columns), salts)).otherwise(0).cast("int")).drop("_salts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def held_out(id_col: str, modulus: int, remainder: int = 2):
     """True on rows that a fit must not see: crc32 of the id's decimal text leaves the remainder; a null id counts as not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))

@@ -29,6 +29,14 @@ def invented(rng, n, words="the of and thing ation eron lyst hathe inor under".s
     return " ".join(rng.choice(words) + rng.choice(["", "er", "ing", "s"]) for _ in range(n))
 
 
+def test_a_split_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPLIT_ROWS", 5)
+    rows = [(k, i) for i in range(40) for k in ([1] if i % 2 else [i % 7, None])]
+    left, right = spark.createDataFrame(rows, "k int, i int"), spark.createDataFrame([(k, k * 10) for k in range(1, 9)], "k int, v int")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, common.split_join(left, right, ["k"], how).select("k", "i", "v").collect()), key=repr) == sorted(map(tuple, left.join(right, "k", how).select("k", "i", "v").collect()), key=repr)
+
+
 # --- 1: decontamination
 
 
@@ -361,8 +369,22 @@ def test_lm_trains_on_every_text(spark):
     size = len(vocabulary.splitlines()) + 1
     first = lm.start(np.ones(size))
     for text in ("alpha beta", "gamma delta", "one more text", None):  # a text alone changes the model
-        after = lm.train(spark.createDataFrame([(text,)], "text string"), "text", first, ranks, public_tokenizers.PATTERN)
-        assert any((after[k] != first[k]).any() for k in first if k != "rank")
+        after, share = lm.train(spark.createDataFrame([(text,)], "text string"), "text", first, ranks, public_tokenizers.PATTERN)
+        assert 0 < share < 1 and any((after[k] != first[k]).any() for k in first if k != "rank")
+
+
+def test_lm_averages_trainers_by_what_they_saw(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    rows = [(p, t, t + 1, np.array([t, p], np.float32).tobytes()) for p in range(2) for t in range(5)]
+    got = {r["piece"]: np.frombuffer(r["numbers"], np.float32).tolist() for r in lm.averaged(spark.createDataFrame(rows, "piece long, trainer long, seen long, numbers binary"), 5).collect()}
+    mean = sum(t * (t + 1) for t in range(5)) / 15
+    assert all(np.allclose(got[p], [mean, p], atol=1e-5) for p in range(2))
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    scored = queries.op9_lm_score(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored) * 0.98
+    assert sum(r["score"] > r["base_score"] for r in scored) > 0.9 * len(scored)
 
 
 def test_lm_windows_score_each_token_once_and_causally():
@@ -451,7 +473,7 @@ def test_pipeline_stages(spark, sf_dir):
         after = common.stored(stage(spark, docs, sf_dir), name)
         if name == "near_copies":
             ids, texts = zip(*sorted(map(tuple, docs.select("doc_id", "text").collect())), strict=True)
-            assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == [ids[i] for i, (_, c) in enumerate(groups(texts)) if c == i]
+            assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == [ids[i] for i, (_, c) in enumerate(groups(texts, cp.NEAR_PERCENT)) if c == i]
         kept.append(after.count())
         if name != "tokens":
             assert after.columns == list(cp.COLUMNS)
