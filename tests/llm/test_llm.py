@@ -49,8 +49,8 @@ def test_decontamination_equals_brute_force(spark):
     items = [(i, invented(rng, rng.choice([3, 9, 10, 14, 30]))) for i in range(30)] + [(30, None), (31, ""), (32, "short item"), (None, "no id at all")]
     texts = [invented(rng, 40) + " " + rng.choice(items[:30])[1].upper() + "! " + invented(rng, 5) for _ in range(60)] + ODD + ["a short,item here"]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (32 << 20, 700):  # one automaton, and a chain of them
-        got = {r["doc_id"]: r for r in decontaminate.find_leaks(frame(spark, texts), bench, block_chars=block).collect()}
+    for nodes in (2_000_000, 700):  # one automaton, and several one after another
+        got = {r["doc_id"]: r for r in decontaminate.find_leaks(frame(spark, texts), bench, most_nodes=nodes).collect()}
         for d, t in enumerate(texts):
             w, hit, found = words_of(t), set(), set()
             for i, x in items:
