@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import stored
+from rankweave.llm.common import dropped, split_join, stored
 
 #: The template's marks, and what stands for its control characters inside a text or a role. A turn is
 #: OPEN role MIDDLE text CLOSE; every mark has a character that an escaped text cannot have.
@@ -59,7 +59,8 @@ def pack(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs: run (its number, in depth-first order), tree, offset (its place in the tree's packed sequence), size, text,
     position_start (positions count on from there), attends (ancestors' intervals [start, end) of the packed sequence) and
     loss (intervals [start, end) of the run's own text under the loss mask: what assistants said, still escaped).
-    paths: conv_id and path, the (run, size of the part of it) pairs that make the conversation up.
+    ends: where each of the run's turns ends in its text. paths: conv_id and path, the (run, size of the part of it, turns in that part)
+    triples that make the conversation up.
 
     Rows are ordered by turn (null first), then role, then text; null roles and texts count as empty; null conv_ids are one
     conversation; repeated rows are repeated turns. Other columns are left out. An empty table gives no runs and no paths.
@@ -67,16 +68,19 @@ def pack(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = stored(turns(rows), "turns")
     convs = of.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k1", "k2"))), lambda x: F.struct(x["k1"], x["k2"])).alias("keys"))
     ranked = stored(convs.orderBy("keys", "conv_id").select("conv_id", F.monotonically_increasing_id().alias("rank"), F.col("keys")[0].alias("tree")), "ranked")
-    on = of.join(ranked.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
-    owner = on.groupBy("k1", "k2").agg(F.min("rank").alias("run"))
-    placed = stored(on.join(owner, ["k1", "k2"]), "placed")
+    on = stored(of.join(ranked.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id"), "on")
+    dropped(of)
+    dropped(ranked)
+    owner = on.select("k1", "k2", "rank").groupBy("k1", "k2").agg(F.min("rank").alias("run"))
+    placed = stored(split_join(on, owner, ["k1", "k2"]), "placed")
+    dropped(on)
 
     own = placed.where("run = rank").withColumn("first", F.min("start").over(Window.partitionBy("run")))
     loss = F.when(F.col("loss").isNotNull(), F.struct((F.col("start") - F.col("first") + F.col("loss.skip")).alias("start"), (F.col("start") - F.col("first") + F.col("loss.skip") + F.col("loss.n")).alias("end")))
     runs = own.groupBy("run").agg(
         F.sum("size").alias("size"), F.min("start").alias("position_start"), F.first("tree").alias("tree"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "segment"))), lambda x: x["segment"]), "").alias("text"),
-        F.array_sort(F.collect_list(loss)).alias("loss"),
+        F.array_sort(F.collect_list(loss)).alias("loss"), F.array_sort(F.collect_list((F.col("start") - F.col("first") + F.col("size")).alias("end"))).alias("ends"),
     )
     runs = stored(runs, "runs")
     part = F.shiftright("run", 33)
@@ -87,22 +91,28 @@ def pack(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = at.join(at.groupBy("tree").agg(F.min("at").alias("tree_at")), "tree").select("run", (F.col("at") - F.col("tree_at")).alias("offset"))
     place = stored(place, "place")
 
-    parts = placed.groupBy("conv_id", "rank", "run").agg(F.sum("size").alias("n"), F.min("start").alias("start"))
-    seen = parts.where("run <> rank").join(place, "run").groupBy(F.col("rank").alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("n")).alias("end")))).alias("attends"))
+    parts = stored(placed.groupBy("conv_id", "rank", "run").agg(F.sum("size").alias("n"), F.min("start").alias("start"), F.count("*").alias("turns")), "parts")
+    dropped(placed)
+    seen = split_join(parts.where("run <> rank").select("rank", "run", "n"), place, ["run"]).groupBy(F.col("rank").alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("n")).alias("end")))).alias("attends"))
     packed = runs.join(place, "run").join(seen, "run", "left").withColumn("attends", F.coalesce("attends", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    paths = parts.groupBy("rank").agg(F.first("conv_id").alias("conv_id"), F.transform(F.array_sort(F.collect_list(F.struct("start", "run", "n"))), lambda x: F.struct(x["run"], x["n"])).alias("path"))
+    paths = parts.groupBy("rank").agg(F.first("conv_id").alias("conv_id"), F.transform(F.array_sort(F.collect_list(F.struct("start", "run", "n", "turns"))), lambda x: F.struct(x["run"], x["n"], x["turns"])).alias("path"))
     return packed, paths.select("conv_id", "path")
 
 
 def unpack(runs: DataFrame, paths: DataFrame) -> DataFrame:
-    """Reads conversations back: conv_id, formatted text, turns (role, text) and learned (unescaped texts under the loss mask)."""
-    steps = paths.select("conv_id", F.posexplode("path").alias("k", "step")).select("conv_id", "k", "step.run", "step.n")
-    got = steps.join(runs.select("run", "text", "loss"), "run")
-    got = got.select(
-        "conv_id", "k", F.substring("text", F.lit(1), F.col("n").cast("int")).alias("part"),
-        F.transform(F.filter("loss", lambda m: m["end"] <= F.col("n")), lambda m: F.substring("text", (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))).alias("masked"),
-    )
-    whole = got.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "part", "masked"))).alias("parts"))
+    """Reads conversations back: conv_id, formatted text, turns (role, text) and learned (unescaped texts under the loss mask).
+
+    Runs are cut into turns first, and a path's steps ask for the turns that they take: what is joined is each conversation's own text,
+    whatever the length of the run that it branches from, and the turns that many share are dealt over tasks.
+    """
+    ends = runs.select("run", "text", "loss", F.posexplode("ends").alias("t", "end"), F.col("ends").alias("_ends"))
+    begin = F.when(F.col("t") > 0, F.element_at("_ends", F.col("t"))).otherwise(0)
+    masked = F.filter("loss", lambda m: (m["start"] >= begin) & (m["end"] <= F.col("end")))
+    cut = lambda m: F.substring("text", (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))
+    said = ends.select("run", "t", F.substring("text", (begin + 1).cast("int"), (F.col("end") - begin).cast("int")).alias("part"), F.transform(masked, cut).alias("masked"))
+    steps = paths.select("conv_id", F.posexplode("path").alias("k", "step")).select("conv_id", "k", "step.run", F.explode(F.sequence(F.lit(0), F.col("step.turns").cast("int") - 1)).alias("t"))
+    got = split_join(steps, said, ["run", "t"])
+    whole = got.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "t", "part", "masked"))).alias("parts"))
     formatted = F.array_join(F.transform("parts", lambda p: p["part"]), "")
     whole = whole.select("conv_id", formatted.alias("formatted"), F.flatten(F.transform("parts", lambda p: p["masked"])).alias("masked"))
     marks = F.filter(F.split("formatted", CLOSE), lambda s: s != "")
