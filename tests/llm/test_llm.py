@@ -288,7 +288,24 @@ def test_language_parses_into_longest_phrases():
     parser = langid.Parser(samples)
     for text in ("hello", "holla world", "mundo hello holla"):
         counts, _ = parser.phrases([text])
-        assert counts[0].tolist() == [phrases(text, samples[k][0]) for k in ("a", "b")]
+        assert counts[0].tolist() == [phrases(f"{text} ", f"{samples[k][0]} ") for k in ("a", "b")]
+
+
+def test_language_with_more_letters_than_a_table_has(spark):
+    rng = random.Random(11)
+    one, two = ([chr(0x4E00 + i) for i in range(k, 2000, 2)] for k in (0, 1))
+    text = lambda letters, n: "".join(rng.choice(letters) + (" " if rng.random() < 0.1 else "") for _ in range(n))
+    samples = {"one": [text(one, 3000)], "two": [text(two, 3000)], "latin": [invented(rng, 300)]}
+    parser = langid.Parser(samples)
+    for _ in range(20):
+        given = [text(one, 80), text(two, 80), text(one, 80) + text(two, 10), invented(rng, 10)]
+        counts, _ = parser.phrases(given)
+        squeeze = lambda t: re.sub(r"[^\w]+", " ", t).strip() + " "
+        assert counts.tolist() == [[phrases(squeeze(t), squeeze(samples[k][0])) for k in parser.languages] for t in given]
+        assert parser.predict(given)[0] == ["one", "two", "one", "latin"]
+    assert parser.predict(["", "12", one[0] + two[0]])[0][:2] == ["und", "und"]
+    tie = langid.Parser({"b": ["xy"], "a": ["xy"]}).predict(["xyxy"])
+    assert tie == (["a"], [0.5])
 
 
 def test_language_held_out_and_odd(spark):
