@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import components, dropped, forest, map_batches, stored
+from rankweave.llm.common import components, dropped, forest, map_batches, split_join, stored
 
 CHUNKS, CHUNK, BITS = 7, 4, 16
 #: How often a pair at the threshold may be further apart than the allowed distance.
 BEYOND = 1.5e-5
 #: Members of one leader that one task holds against each other or another block, and columns of a matrix at once.
 BLOCK, COLUMNS = 1024, 4096
+#: Shingles by which the members in a block may differ from their leader, in all.
+WEIGHT = 4 << 20
 PERCENT = 85
 WORDS = 5
 
@@ -184,7 +186,7 @@ def against_leaders(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_co
     wanted = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
     sets = with_sets(wanted, text_col, []).join(named.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     sets = stored(sets, "sets")
-    both = pairs.join(sets, "cls").join(sets.select(F.col("cls").alias("lead"), F.col("shingles").alias("of_lead")), "lead")
+    both = split_join(pairs, sets.select(F.col("cls").alias("lead"), F.col("shingles").alias("of_lead")), ["lead"]).join(sets, "cls")  # a leader may have any number of members
     made = both.select(
         "lead", "cls", F.size("of_lead").alias("n_lead"), F.size("shingles").alias("n"),
         F.concat(F.array_except("shingles", "of_lead"), F.array_except("of_lead", "shingles")).alias("diff"),
@@ -224,13 +226,16 @@ def linked_pairs(t: dict[str, np.ndarray], diffs: list[np.ndarray], a: np.ndarra
 def further_links(led: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join members of one leader in different components, as forests."""
     named = led.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    apart = named.groupBy("lead").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("lead", "members")
-    named = stored(named.join(apart, "lead"), "apart")
-    small = named.where(F.col("members") <= BLOCK).count()
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("cls", F.lit(5)), blocks).cast("int")).otherwise(F.lit(0))
-    gang = F.when(F.col("members") > BLOCK, F.col("lead")).otherwise(F.pmod(F.xxhash64("lead", F.lit(6)), F.lit(max(1, small // BLOCK))))
-    rows = named.select("lead", "cls", "comp", "n_lead", "n", "shared", "diff", gang.alias("gang"), own.alias("own"), (F.col("members") > BLOCK).alias("large"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    weight = F.sum(F.size("diff") + 1).alias("weight")
+    apart = named.groupBy("lead").agg(F.count("*").alias("members"), weight, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("lead", "members", "weight")
+    named = stored(split_join(named, apart, ["lead"]), "apart")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    large = blocks > 1
+    small = named.where(~large).agg(F.count("*"), F.coalesce(F.sum(F.size("diff") + 1), F.lit(0))).first()
+    gangs = max(1, small[0] // BLOCK, small[1] // WEIGHT)
+    own = F.when(large, F.pmod(F.xxhash64("cls", F.lit(5)), blocks).cast("int")).otherwise(F.lit(0))
+    gang = F.when(large, F.col("lead")).otherwise(F.pmod(F.xxhash64("lead", F.lit(6)), F.lit(gangs)))
+    rows = named.select("lead", "cls", "comp", "n_lead", "n", "shared", "diff", gang.alias("gang"), own.alias("own"), large.alias("large"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
     def search(table: pa.Table) -> pa.Table:
