@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import held, held_out, map_batches, stored
+from rankweave.llm.common import dropped, held, held_out, map_batches, stored
 
 #: Bounds of the fit: labelled rows (a share of them by hash beyond this), lexicon entries, words of the character model.
 SAMPLE_ROWS = 24_000
@@ -33,9 +33,13 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = re.compile(r"(?<![\w@$!|+(])(?=[\w@$!|+(]*[^\W\d_])[\w@$!|+(]{3,}")
-_SPACED = re.compile(r"(?<!\w)[\w@$!](?:[ .\-_*]{1,2}[\w@$!(|+])+(?!\w)")
+#: What may stand between the letters of a word that is spaced out.
+_APART = frozenset(" .-_*/\\,;:~'\"\u00b7\u2022\t")
+_GAP = "[" + re.escape("".join(sorted(_APART))) + "]"
+_SPACED = re.compile(rf"(?<!\w)[\w@$!](?:{_GAP}{{1,4}}[\w@$!(|+])+(?!\w)")
+_PIECES = re.compile(rf"(?<!\w)\w{{1,4}}(?:{_GAP}{{1,3}}\w{{1,4}})+(?!\w)")
+_GAPS = re.compile(f"{_GAP}+")
 _RUN = re.compile(r"(.)\1")
-_APART = frozenset(" .-_*")
 #: Longer tokens are read each time, not remembered.
 MEMO_CHARS = 64
 _ODD = re.compile(r"[\d@$!|+(]")
@@ -71,9 +75,10 @@ class Letters:
 SIGN_COST, DROP_COST, KEEP_COST, BREAK_COST = 0.7, 0.3, 1.5, 0.7
 
 
-def restored(token: str, model: Letters) -> str:
-    """The likeliest words behind a token, with spaces between them, by Viterbi over (last two letters)."""
-    lattice: list[list[tuple[str, float]]] = []
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each place of a token the letters it may stand for, with the channel's costs: a sign one of its letters, a run of one sign one, two
+    or three of it, a separator nothing or the end of a word."""
+    out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
         c = token[i]
@@ -81,19 +86,24 @@ def restored(token: str, model: Letters) -> str:
         while run < len(token) and (token[run] == c or (c in _APART and token[run] in _APART)):
             run += 1
         if c in _APART:
-            if lattice and run < len(token):
-                lattice.append([("", 0.0), (" ", BREAK_COST)])
+            if out and run < len(token):
+                out.append([("", 0.0), (" ", BREAK_COST)])
             i = run
             continue
         reads = [(x, SIGN_COST) for x in SIGNS.get(c, "")] or [(c, 0.0)]
         n = run - i
         if n == 1:
-            lattice.append(reads)
+            out.append(reads)
         else:
-            lattice.append([(x * k, cost * k + (DROP_COST if k < n else KEEP_COST * (n > 2))) for x, cost in reads for k in {1, 2, min(n, 3)} if k <= n])
+            out.append([(x * k, cost * k + (DROP_COST if k < n else KEEP_COST * (n > 2))) for x, cost in reads for k in {1, 2, min(n, 3)} if k <= n])
         i = run
+    return out
+
+
+def restored(token: str, model: Letters) -> str:
+    """The likeliest words behind a token, with spaces between them, by Viterbi over (last two letters)."""
     best: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}  # a word is (word before, letters), so that long tokens take linear time
-    for reads in lattice:
+    for reads in lattice(token):
         after: dict[str, tuple[float, tuple]] = {}
         for state, (cost, word) in best.items():
             for letters, channel in reads:
@@ -120,6 +130,7 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, float], model_words: dict[str, int], base: float, memo_size: int = 200_000):
         self.lexicon, self.base, self.letters, self.memo, self.memo_size = lexicon, base, Letters(model_words), {}, memo_size
+        self.known = set(model_words)
         self.heads = {f[:4] for f in lexicon}
         self.stems = {f[:-1]: p for f, p in lexicon.items() if f.endswith("*")}
 
@@ -131,10 +142,12 @@ class Scorer:
         if _ODD.search(low):
             odd.update(m.group() for m in _LEET.finditer(low) if _ODD.search(m.group()))
         odd.update(m.group() for m in _SPACED.finditer(low))
+        if any(len(w) <= 4 and w not in self.known for w in found):
+            odd.update(self.pieces(low))
         for token in odd:
             got = self.memo.get(token)
             if got is None:
-                stripped = token.strip("!|+( .-_*")
+                stripped = token.strip("!|+( .-_*/,;:~")
                 got = tuple({w for t in {token, stripped} for w in restored(t, self.letters).split()})
                 if len(token) <= MEMO_CHARS:
                     if len(self.memo) >= self.memo_size:
@@ -143,6 +156,18 @@ class Scorer:
             found.update(got)
         return found
 
+    def pieces(self, low: str):
+        """Runs of two and more short pieces, none of them a known word: a word with a break inside, perhaps."""
+        for m in _PIECES.finditer(low):
+            run: list[str] = []
+            for piece in [*_GAPS.split(m.group()), ""]:
+                if piece and piece not in self.known:
+                    run.append(piece)
+                    continue
+                if len(run) > 1:
+                    yield " ".join(run)
+                run = []
+
     def share(self, word: str) -> float:
         """The toxic share of the longest entry that the word matches, or 0."""
         if word[:4] not in self.heads:
@@ -172,7 +197,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     """Lexicon, character model words and base rate from labelled rows (nulls in either column are left out).
 
     The rows given are a bounded sample already; counts are made in the tasks, added up by Spark, and only entries that
-    pass the thresholds, at most LEXICON of them, and the MODEL_WORDS commonest words reach the driver.
+    pass the thresholds, at most LEXICON of them, and the MODEL_WORDS commonest words reach the driver. A word's beginning is an entry only
+    beside a whole word: copies of a toxic text share other rare beginnings. The base rate is that of the rows without an entry.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).alias("t"), (F.col(label_col) > 0).alias("y")).distinct()
 
@@ -192,9 +218,21 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     counts = stored(counts, "features")
     entries = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= F.col("n") * LEAST_SHARE)).orderBy(F.desc("toxic"), "feature").limit(LEXICON).collect()
     words = counts.where(~F.col("feature").endswith("*")).orderBy(F.desc("n"), "feature").limit(MODEL_WORDS).collect()
-    lexicon = {r["feature"]: r["toxic"] / (r["n"] + 1) for r in entries}
-    total = rows.count()
-    return {"lexicon": lexicon, "words": {r["feature"]: r["n"] for r in words} | {r["feature"]: 20 * r["n"] for r in entries if not r["feature"].endswith("*")}, "base": 1 / (total + 20)}
+    whole = {r["feature"] for r in entries if not r["feature"].endswith("*")}
+    begun = {w[:n] + "*" for w in whole for n in STEMS}
+    lexicon = {r["feature"]: r["toxic"] / (r["n"] + 1) for r in entries if r["feature"] in whole or r["feature"] in begun}
+    model = {r["feature"]: r["n"] for r in words} | {w: 20 * r["n"] for r in entries if (w := r["feature"]) in whole}
+
+    def without(batches):
+        scorer = Scorer(lexicon, model, 0.0)
+        for batch in batches:
+            left = [y for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if scorer.score(text) == 0]
+            yield pa.RecordBatch.from_arrays([pa.array([len(left)], pa.int64()), pa.array([sum(left)], pa.int64())], names=["n", "toxic"])
+
+    left = rows.mapInArrow(without, "n bigint, toxic bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    dropped(rows)
+    dropped(counts)
+    return {"lexicon": lexicon, "words": model, "base": (left[1] + 1) / (left[0] + 20)}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> DataFrame:

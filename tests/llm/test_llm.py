@@ -2,6 +2,7 @@
 
 import hashlib
 import html as entities
+import itertools
 import random
 import re
 import zlib
@@ -166,6 +167,48 @@ def test_restoring_keeps_words_apart_and_takes_every_token():
     assert scorer.score("hello good street 2024 and 1234567") == scorer.score(None)
 
 
+def test_spacing_and_repetition_are_read_off_the_lattice():
+    words = {w: 50 for w in "you are such a an idiot stupid moron hello street good see all off the book".split()}
+    scorer = toxicity.Scorer({"idiot": 0.9, "stupid": 0.9, "moron": 0.9}, words, 0.01)
+    for text in ("you are a i d i o t", "iidioott", "ssttuuppiidd", "i/d/i/o/t", "i,d,i,o,t", "i   d   i   o   t", "idi ot", "such a m-o-r-o-n", "m0r0n", "you stu pid"):
+        assert scorer.score(text) >= 0.3, (text, scorer.words(text))
+    for text in ("hello good street", "see all off the book", "a e i o u", "1 2 3 4 5 6", "you are good"):
+        assert scorer.score(text) < 0.3, (text, scorer.words(text))
+
+
+def test_viterbi_equals_all_readings():
+    model = toxicity.Letters({w: 40 for w in "idiot stupid moron hello good street see a an".split()})
+
+    def cost(reading):
+        total, s = sum(c for _, c in reading), "^^"
+        for letters, _ in reading:
+            for c in letters:
+                total, s = (total + model.cost(s, "$"), "^^") if c == " " else (total + model.cost(s, c), s[1] + c)
+        return total + model.cost(s, "$")
+
+    rng = random.Random(13)
+    tokens = ["1d10t", "i d i o t", "sstupid", "m.0.r.0.n", "a m o r o n"] + ["".join(rng.choice("idot10 .sme") for _ in range(7)) for _ in range(60)]
+    for token in tokens:
+        every = list(itertools.product(*toxicity.lattice(token)))
+        least = min(map(cost, every))
+        assert any(abs(cost(x) - least) < 1e-9 and "".join(t for t, _ in x) == toxicity.restored(token, model) for x in every), token
+
+
+def test_toxicity_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.op3_toxicity(spark, sf).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r["predicted"] for r in rows if r["toxic"]], [r["predicted"] for r in rows if not r["toxic"]]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_with_clashing_columns_and_no_labels(spark):
+    docs = spark.createDataFrame([(1, "hello there", 7.0), (None, None, None)], "doc_id long, text string, tox_score double")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.fit(toxicity.labelled_sample(docs, labels))).collect()
+    assert all(abs(r["tox_score"] - 0.05) < 1e-9 for r in got) and got[0]["doc_id"] == 1
+
+
 def test_toxicity_learns_and_scores(spark):
     rng = random.Random(3)
     bad = ["zorgle", "blaxter"]
