@@ -30,7 +30,9 @@ WIDE = re.compile(r"[^\x00-\u024f]")
 
 #: A vocabulary file beyond this is not a tokenizer to broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-NONE = 1 << 62
+#: The rank of a pair that doesn't merge, and a key that no pair which does has.
+NONE = 1 << 48
+END = 1 << 48
 #: Children of a node of the segment tree.
 NODE = 16
 
@@ -61,55 +63,40 @@ class Bpe:
         self.words, self.memo, self.older, self.memo_words = regex.compile(WORDS), {}, {}, memo_words
 
     def merge(self, data: bytes) -> list[int]:
-        """Token ids of one word, by the segment tree; a word of up to NODE pairs is one node."""
-        ids = [self.first[b] for b in data]
-        get, merged = self.pairs.get, self.merged
-        ranks = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
-        if len(ranks) > NODE:
-            return self.merge_long(ids, ranks)
-        while ranks:
-            low = min(ranks)
-            if low == NONE:
-                break
-            i = ranks.index(low)
-            ids[i] = merged[low]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], NONE)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
-        return ids
-
-    def merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
-        """The same with a tree of inner nodes, each the least of NODE children; a merge changes three leaves and their paths."""
-        n, get, merged = len(ids), self.pairs.get, self.merged
-        shift = n.bit_length()  # a key is the rank, then the place: the least key is the leftmost of the lowest rank
+        """Token ids of one word, by a segment tree over its pairs' keys (rank, then place): an inner node is the least of NODE children,
+        so the root is the leftmost pair of the lowest rank; a merge updates three leaves and their paths."""
+        ids, get, merged = [self.first[b] for b in data], self.pairs.get, self.merged
+        n = len(ids)
+        shift = n.bit_length()
         mask = (1 << shift) - 1
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        levels = [[r << shift | i if r != NONE else NONE for i, r in enumerate(ranks)]]
-        while len(levels[-1]) > 1:
+        levels = [[get(ids[i] << 20 | ids[i + 1], NONE) << shift | i for i in range(n - 1)]]
+        while len(levels) < 2 or len(levels[-1]) > 1:
             below = levels[-1]
-            levels.append([min(below[k : k + NODE]) for k in range(0, len(below), NODE)])
-        while (root := levels[-1][0]) != NONE:
+            levels.append([min(below[k : k + NODE]) for k in range(0, len(below), NODE)] or [END])
+        leaves, top, flat = levels[0], levels[-1], len(levels) == 2
+        if top[0] >= END:
+            return ids
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while (root := top[0]) < END:
             i = root & mask
             j = following[i]
-            ids[i] = merged[root >> shift]
+            x = ids[i] = merged[root >> shift]
             ids[j] = -1
             after = following[i] = following[j]
-            key = NONE
             if after < n:
                 before[after] = i
-                r = get(ids[i] << 20 | ids[after], NONE)
-                key = r << shift | i if r != NONE else NONE
-            changes = [(i, key)]
+                leaves[i] = get(x << 20 | ids[after], NONE) << shift | i
+            else:
+                leaves[i] = END
             if j < n - 1:
-                changes.append((j, NONE))
+                leaves[j] = END
             if (p := before[i]) >= 0:
-                r = get(ids[p] << 20 | ids[i], NONE)
-                changes.append((p, r << shift | p if r != NONE else NONE))
-            for k, key in changes:
-                for level, above in zip(levels, levels[1:]):
-                    level[k] = key
+                leaves[p] = get(ids[p] << 20 | x, NONE) << shift | p
+            if flat:  # the leaves' only parent is the root
+                top[0] = min(leaves)
+                continue
+            for k in (i, min(j, n - 2), p):
+                for level, above in zip(levels, levels[1:]) if k >= 0 else ():
                     k //= NODE
                     key = min(level[k * NODE : k * NODE + NODE])
                     if above[k] == key:
