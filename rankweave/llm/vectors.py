@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from rankweave.llm.common import components, forest, map_batches, stored
 
 THRESHOLD = 0.98
-#: Bounds of the fit: sampled vectors, lists, vectors a list is meant to hold, subspaces and codewords of each.
-SAMPLE, MOST_LISTS, LIST_SIZE, SUBSPACES, CODEWORDS = 16_384, 1024, 1024, 8, 256
+#: Bounds of the fit: sampled vectors, centres of the first and of a further level of the coarse quantiser, vectors a list is meant to hold,
+#: subspaces and codewords of each. There are as many levels as the count asks for, so lists grow with it.
+SAMPLE, FIRST_CENTRES, NEXT_CENTRES, LIST_SIZE, SUBSPACES, CODEWORDS = 16_384, 1024, 64, 1024, 8, 256
 #: Vectors and queries that one task holds against each other; larger lists are split into so many blocks.
 BLOCK = 2048
 #: Probing allows for a neighbour's offset across a list's border of so many standard deviations, were its direction uniform.
@@ -40,37 +41,50 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     return centres
 
 
+def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of x to the centres."""
+    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
+
+
 class Index:
-    """Coarse centres and codebooks for vectors of one dimension; without a sample one list, and codes that leave all out."""
+    """A coarse quantiser and codebooks for vectors of one dimension; without a sample one list, and codes that leave all out.
+
+    The coarse quantiser has levels: each further one has centres for what the former ones leave of a vector, so that a list is a path of
+    centres. A list's number is that path, its centre the path's sum.
+    """
 
     def __init__(self, dim: int, sample: np.ndarray, total: int):
-        self.dim = dim
-        if len(sample):
-            self.centres = kmeans(sample, int(min(MOST_LISTS, max(1, total // LIST_SIZE))))
-        else:
-            self.centres = np.zeros((1, dim))
-        self.between = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 1e-12)) if len(self.centres) <= 256 else None
+        self.dim, self.levels, rest, wanted = dim, [], sample, max(1, total // LIST_SIZE) if len(sample) else 1
+        while wanted > 1:
+            centres = kmeans(rest, int(min(wanted, NEXT_CENTRES if self.levels else FIRST_CENTRES)))
+            self.levels.append((centres, np.sqrt(np.maximum(squared(centres, centres), 1e-12))))
+            rest = rest - centres[squared(rest, centres).argmin(1)]
+            wanted = -(-wanted // max(len(centres), 2))
         self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
-        self.books = None
-        if len(sample):
-            rest = sample - self.centres[self.distances(sample).argmin(1)]
-            self.books = [kmeans(rest[:, a:b], CODEWORDS) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x**2).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(1), 0)
-
-    def gap(self, near: np.ndarray) -> np.ndarray:
-        if self.between is not None:
-            return self.between[near]
-        return np.sqrt(np.maximum(((self.centres[near] ** 2).sum(1)[:, None] - 2 * self.centres[near] @ self.centres.T + (self.centres**2).sum(1)), 1e-12))
-
-    def place(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's own list, and a mask of the lists it probes: a neighbour within reach lies beyond a border at most
-        min(1, BORDER_DEVIATIONS / sqrt(dim)) of the reach away."""
-        d = self.distances(x)
-        near = d.argmin(1)
-        over = d - d[np.arange(len(x)), near][:, None]
-        return near, over <= 2 * reach * min(1.0, BORDER_DEVIATIONS / math.sqrt(self.dim)) * self.gap(near) + 1e-9
+        self.books = [kmeans(rest[:, a:b], CODEWORDS) for a, b in zip(self.cuts, self.cuts[1:], strict=False)] if len(sample) else None
+
+    def centre(self, number: int) -> np.ndarray:
+        """The centre of a list."""
+        out = np.zeros(self.dim)
+        for centres, _ in reversed(self.levels):
+            number, at = divmod(number, len(centres))
+            out += centres[at]
+        return out
+
+    def place(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's own list; and (rows, lists), the lists that it probes. A neighbour within reach lies beyond a border at most
+        min(1, BORDER_DEVIATIONS / sqrt(dim)) of the reach away, at every level."""
+        own, rest = np.zeros(len(x), np.int64), x
+        rows, lists, left = np.arange(len(x)), np.zeros(len(x), np.int64), x
+        allowed = 2 * reach * min(1.0, BORDER_DEVIATIONS / math.sqrt(self.dim))
+        for centres, between in self.levels:
+            near = squared(rest, centres).argmin(1)
+            own, rest = own * len(centres) + near, rest - centres[near]
+            d = squared(left, centres)
+            best = d.argmin(1)
+            path, c = np.nonzero(d - d[np.arange(len(left)), best][:, None] <= allowed * between[best] + 1e-9)
+            rows, lists, left = rows[path], lists[path] * len(centres) + c, left[path] - centres[c]
+        return own, rows, lists
 
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and the lengths of what they leave out."""
@@ -160,21 +174,22 @@ def group(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id")
 
         def work(embeddings):
             vectors = _matrix(embeddings)
-            own, probes = np.zeros(len(vectors), np.int32), [[0]] * len(vectors)
+            own, probes = np.zeros(len(vectors), np.int64), [[0]] * len(vectors)
             sizes = np.array([len(v) for v in vectors])
             for dim in np.unique(sizes):
                 if dim in known:
                     at = np.flatnonzero(sizes == dim)
                     x = np.stack([vectors[i] for i in at]).astype(float)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    own[at], mask = known[dim].place(x, reach)
-                    for i, m in zip(at, mask, strict=True):
-                        probes[i] = np.flatnonzero(m).tolist()
-            return [pa.array(own, pa.int32()), pa.array(probes, pa.list_(pa.int32()))]
+                    own[at], rows, lists = known[dim].place(x, reach)
+                    cuts = np.searchsorted(rows, np.arange(len(at) + 1))
+                    for k, i in enumerate(at):
+                        probes[i] = lists[cuts[k] : cuts[k + 1]]
+            return [pa.array(own, pa.int64()), pa.array(probes, pa.list_(pa.int64()))]
 
         return work
 
-    placed = stored(map_batches(classes, ["embedding"], [T.StructField("own", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType()))], make).withColumn("dim", F.size("embedding")), "placed")
+    placed = stored(map_batches(classes, ["embedding"], [T.StructField("own", T.LongType()), T.StructField("probes", T.ArrayType(T.LongType()))], make).withColumn("dim", F.size("embedding")), "placed")
     cols = ["cls", "copies", "embedding", "label", "dim"]
     members = placed.select(*cols, F.col("own").alias("list"))
     queries = placed.select(*cols, F.explode("probes").alias("list"))
@@ -193,7 +208,7 @@ def group(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id")
         side = {"cls": t.column("cls").to_numpy(), "copies": t.column("copies").to_numpy(), "v": v, "norm": np.linalg.norm(v, axis=1)}
         asks = t.column("asks").to_numpy(zero_copy_only=False)
         x, y = ({k: a[m] for k, a in side.items()} for m in (~asks, asks))
-        n, a, b = link_block(index, index.centres[place], x, y, threshold) if len(x["cls"]) else (np.zeros(len(y["cls"]), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n, a, b = link_block(index, index.centre(place), x, y, threshold) if len(x["cls"]) else (np.zeros(len(y["cls"]), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         some = n > 0
         return pa.table({"a": pa.array(np.concatenate([y["cls"][some], a]), pa.int64()), "b": pa.array(np.concatenate([y["cls"][some], b]), pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)]), pa.int64())})
 

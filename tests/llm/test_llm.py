@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import itertools
+import math
 import random
 import re
 import zlib
@@ -395,6 +396,28 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.group(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [16, 64])
+def test_planted_pairs_are_found_over_many_lists(spark, monkeypatch, dim):
+    monkeypatch.setattr(vectors, "LIST_SIZE", 16)
+    monkeypatch.setattr(vectors, "FIRST_CENTRES", 24)
+    monkeypatch.setattr(vectors, "NEXT_CENTRES", 4)  # two and more levels
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(18)
+    base = rng.normal(size=(1200, dim)) + rng.normal(size=(20, dim))[rng.integers(20, size=1200)] * 2
+    near = base[:600] + rng.normal(size=(600, dim)) * np.linalg.norm(base[:600], axis=1)[:, None] / math.sqrt(dim) * rng.uniform(0.02, 0.25, size=(600, 1))
+    x = np.concatenate([base, near]).astype(np.float32).astype(float)
+    label = np.concatenate([np.arange(1200) % 2, np.arange(600) % 2])
+    index = vectors.Index(dim, x / np.linalg.norm(x, axis=1, keepdims=True), len(x))
+    assert len(index.levels) >= 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(hit, False)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.group(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    want = hit.sum(1)
+    assert all(got[i] <= want[i] for i in range(len(x))) and sum(got.values()) >= 0.98 * want.sum() > 300
+
+
 # --- 9: language model
 
 
