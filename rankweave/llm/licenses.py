@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.common import split_join, stored
+
 WORDS, WINDOW, BANDS, LEAST_SHARE = 5, 20, 6, 0.8
-#: The templates become literals of the plan; more words than this in all are refused.
-MOST_WORDS = 20_000
+#: Template windows that may be literals of the plan; of a larger set the bands are joined by hash.
+MOST_LITERALS = 256
 
 #: Well-known license notices by SPDX-style name.
 TEMPLATES: list[tuple[str, str]] = [
@@ -56,34 +58,35 @@ def least(window: Column, band: int) -> Column:
     return F.array_min(F.transform(window, lambda x: F.struct(order(x, band).alias("o"), x.alias("x"))))["x"]
 
 
-def template_windows(spark, templates: list[tuple[str, str]]) -> list:
-    """(name, window's shingles, the least shingle of each band), computed by Spark so that hashes agree."""
-    if sum(len(t.split()) for _, t in templates) > MOST_WORDS:
-        raise ValueError(f"templates of more than {MOST_WORDS} words in all")
-    if not templates:
-        return []
-    df = _shingled(spark.createDataFrame(templates, "name string, text string"), "text", "sh").where(F.size("sh") > 0)
+def template_windows(spark, templates: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(name, w, mins): a template window's shingles and the least shingle of each band; templates is a list or table of (name, text)."""
+    given = templates if isinstance(templates, DataFrame) else spark.createDataFrame(templates, "name string, text string")
+    df = _shingled(given.select("name", "text"), "text", "sh").where(F.size("sh") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("sh") - WINDOW + 1))
     cut = df.select("name", F.explode(F.transform(starts, lambda i: F.slice("sh", i, WINDOW))).alias("w"))
-    return cut.select("name", "w", F.array(*(least(F.col("w"), k) for k in range(BANDS))).alias("mins")).distinct().collect()
+    return cut.select("name", "w", F.array(*(least(F.col("w"), k) for k in range(BANDS))).alias("mins")).distinct()
 
 
 def _longs(values) -> Column:
     return F.lit([int(v) for v in values]) if len(values) else F.array().cast("array<bigint>")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds licenses to every row: an array of (name, at, share), a template's name, the number of the first word (from 0) of the
     window that holds most of it, and the share of the template window's shingles found there, at least LEAST_SHARE.
 
     One entry a name and row: that of the greatest share, then the first. Null, empty and short texts have none, nor has any row if
-    there is no template. Rows stay as they are, repeated ones too; a column named licenses is replaced. Nothing is shuffled.
+    there is no template. Rows stay as they are, repeated ones too; a column named licenses is replaced. Up to MOST_LITERALS template
+    windows are part of the plan, and nothing is shuffled; more are a table that the texts' shingles are joined with.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c != "licenses"]
     empty = F.array().cast("array<struct<name:string,at:int,share:double>>")
-    windows = template_windows(docs.sparkSession, templates)
+    made = template_windows(docs.sparkSession, templates)
+    windows = made.limit(MOST_LITERALS + 1).collect()
     if not windows:
         return docs.select(*carry, empty.alias("licenses"))
+    if len(windows) > MOST_LITERALS:
+        return _joined(docs, made, text_col, carry, empty)
     known = F.array(*(F.struct(F.lit(w["name"]).alias("name"), _longs(w["w"]).alias("w"), _longs(w["mins"]).alias("mins")) for w in windows))
     leasts = _longs(sorted({m for w in windows for m in w["mins"]}))
 
@@ -112,3 +115,29 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text_col
     out = F.transform(F.arrays_zip(names.alias("n"), best.alias("b")), lambda z: F.struct(z["n"].alias("name"), (-z["b"]["before"]).alias("at"), z["b"]["share"].alias("share")))
     # The generator keeps a later filter on licenses from being pushed below, where it would repeat all of the above.
     return df.select(*carry, F.explode(F.array(out)).alias("licenses"))
+
+
+def _joined(docs: DataFrame, windows: DataFrame, text_col: str, carry: list[str], empty: Column) -> DataFrame:
+    """scan with any number of template windows: shingles that are some window's least are joined with the windows by their hash, and
+    what collides is verified on the text's own shingles. Texts are keyed by 128 bits of hash, equal ones once."""
+    windows = stored(windows.withColumn("id", F.xxhash64("name", "w")), "license-windows")
+    keyed = docs.withColumns({"_k1": F.xxhash64(text_col), "_k2": F.xxhash64(text_col, F.lit(5))})
+    texts = _shingled(keyed.select("_k1", "_k2", F.col(text_col).alias("_text")).dropDuplicates(["_k1", "_k2"]), "_text", "_sh").drop("_text").where(F.size("_sh") > 0)
+    leasts = windows.select(F.explode(F.array_distinct("mins")).alias("x"), "id").groupBy("x").agg(F.collect_set("id").alias("ids"))
+    places = texts.select("_k1", "_k2", F.posexplode("_sh").alias("i", "x"))
+    hits = split_join(places, leasts, ["x"]).select("_k1", "_k2", "i", "x", F.explode("ids").alias("id"))
+    named = split_join(hits, windows, ["id"]).select("_k1", "_k2", "i", "x", "name", "w", "mins")
+    met = named.join(texts, ["_k1", "_k2"])
+    size = F.size("w")
+    same = lambda a: F.exists(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda k: (F.get("mins", k) == F.col("x")) & F.forall(F.slice("_sh", a + 1, size), lambda y: (y == F.col("x")) | (F.xxhash64(y, k) > F.xxhash64("x", k))),
+    )
+    starts = F.filter(F.sequence(F.greatest(F.lit(0), F.col("i") - size + 1), F.col("i")), same)
+    found = met.select("_k1", "_k2", "name", "w", "_sh", F.explode(starts).alias("at"))
+    share = F.size(F.array_intersect("w", F.slice("_sh", F.col("at") + 1, size))) / F.size(F.array_distinct("w"))
+    verified = found.select("_k1", "_k2", "name", "at", share.alias("share")).where(F.col("share") >= LEAST_SHARE)
+    best = verified.groupBy("_k1", "_k2", "name").agg(F.max(F.struct("share", (-F.col("at")).alias("before"))).alias("b"))
+    each = F.array_sort(F.collect_list(F.struct("name", (-F.col("b.before")).alias("at"), F.col("b.share").alias("share"))))
+    of_text = best.groupBy("_k1", "_k2").agg(each.alias("_found"))
+    return keyed.join(of_text, ["_k1", "_k2"], "left").select(*carry, F.coalesce("_found", empty).alias("licenses"))

@@ -243,7 +243,17 @@ def test_bpe_equals_the_library(spark):
 # --- 5: licenses
 
 
-def test_license_scan_equals_brute_force(spark):
+#: The conditions and disclaimers of two well-known licenses.
+FULL_TEXTS = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+]
+
+
+@pytest.mark.parametrize("literals", [256, 3])
+def test_license_scan_equals_brute_force(spark, monkeypatch, literals):
+    monkeypatch.setattr(licenses, "MOST_LITERALS", literals)  # as literals of the plan, and joined
+    monkeypatch.setattr(licenses, "TEMPLATES", [*licenses.TEMPLATES, *FULL_TEXTS])
     rng = random.Random(5)
     texts = list(ODD)
     for name, t in licenses.TEMPLATES:
@@ -251,7 +261,7 @@ def test_license_scan_equals_brute_force(spark):
         texts += [invented(rng, 30) + " " + t.upper() + " " + invented(rng, 9), " ".join(w[: len(w) // 2])]
         if len(w) > 14:
             texts.append(invented(rng, 4) + " " + " ".join(w[:-1] + ["changed"]))
-    got = {r["doc_id"]: {x["name"]: round(x["share"], 9) for x in r["licenses"]} for r in licenses.scan(frame(spark, texts)).collect()}
+    got = {r["doc_id"]: {x["name"]: round(x["share"], 9) for x in r["licenses"]} for r in licenses.scan(frame(spark, texts), licenses.TEMPLATES).collect()}
 
     def shingles(t):
         w = [x for x in re.split("[^a-z0-9]+", (t or "").lower()) if x]
@@ -300,6 +310,24 @@ def test_html_differencing_finds_unmarked_furniture(spark):
     assert all(got[i] == " ".join(t) for i, t in enumerate(own[:5]))
 
 
+def test_differencing_decides_where_nothing_is_marked(spark):
+    """The test table's articles between unmarked lines of their hosts, article elements taken away."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    hosts, rows, want = Counter(), [], {}
+    for r in pages:
+        host = re.sub(r"^[a-z]+://", "", r["url"]).split("/")[0]
+        hosts[host] += 1
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        rows.append((r["page_id"], r["url"], f"<body><div><p>Welcome to {host}</p><p>Sign in to go on</p></div><div>{inner}</div><div><p>{host} is ours</p></div></body>"))
+        want[r["page_id"]] = host, html.main_text(f"<article>{inner}</article>", None)
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    alone = {p: html.main_text(page, None) for p, _, page in rows}
+    several = [p for p, (host, _) in want.items() if hosts[host] > 1]
+    changed = [p for p in several if got[p] != alone[p]]
+    right = [p for p in several if got[p] == want[p][1]]
+    assert len(several) > 200 and len(changed) > 0.95 * len(several) and len(right) > 0.8 * len(several), (len(several), len(changed), len(right))
+
+
 def test_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(200):
