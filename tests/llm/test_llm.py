@@ -593,6 +593,22 @@ def test_pipeline_stages(spark, sf_dir):
     assert cp.run(spark, sf_dir).count() == kept[-1]
 
 
+def test_pipeline_stages_with_odd_rows(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"word{i} thing{i % 7}" for i in range(8000))
+    rows = [(1, None, None, None, None), (None, "some words of a text here", "en", "s", 1), (2, "", "en", "s", 0), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (4, long, "en", None, 1), (5, "12 !!", "en", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES:
+        empty = stage(spark, spark.createDataFrame([], schema), sf_dir)
+        assert empty.count() == 0
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+        left = sorted((r["doc_id"] or 0) for r in docs.collect())
+        assert left == ([0, 3, 3, 4] if name in ("language", "toxicity") else [0, 3, 3]), (name, left)
+    assert all(r["n_tokens"] > 0 for r in docs.collect())
+
+
 def test_page_text_of_the_test_table(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in queries.op6_html_text(spark, sf_dir).collect():
