@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import bpe, decontaminate, langid, near, toxicity
-from rankweave.llm.common import stored, table
+from rankweave.llm.common import dropped, stored, table
 from rankweave.llm.queries import TOKENIZER
 
 #: Near copies are linked from this similarity (percent of shared five-word shingles) on; the 85 of op2_near_dedup is that query's contract only.
@@ -42,7 +42,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (binary, little-endian unsigned 32-bit) of the documents that are left."""
+    """Token ids (binary, little-endian unsigned 32-bit) of the documents that are left, a row each; a null text has none."""
     return bpe.encode_decode(docs, TOKENIZER, carry=["doc_id", "lang", "source"]).drop("decoded")
 
 
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    """All stages over documents, each written as Parquet in the shared folder and read again. Null, empty and letterless texts go in the
+    first stage; rows that repeat stay or go together, but for near copies of different ids; an empty table gives no rows."""
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, read = stored(stage(spark, docs, sf_dir), f"pipeline-{name}"), before
+        if read is not None:
+            dropped(read)  # what the stage before this one wrote has been read for the last time
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
