@@ -36,11 +36,11 @@ class Symbols:
     def __init__(self, samples: list[str]):
         counts = Counter(c for s in samples for c in s if c.isalpha())
         letters = sorted(counts, key=lambda c: (-counts[c], c))
-        self.of = np.zeros(0x110000, np.int32)
+        self.pad = len(letters) + 2
+        self.of = np.zeros(0x110000, np.min_scalar_type(self.pad))
         self.of[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
         for k, c in enumerate(letters):
             self.of[ord(c)] = k + 2
-        self.pad = len(letters) + 2
         self.size = self.pad + 1
         self.dense = min(self.size, DENSE)
 
@@ -124,7 +124,7 @@ class Parser:
         at = np.arange(len(symbols)) - starts[owner]
         per_text = -(-lengths // BLOCK)
         first = np.concatenate([[0], np.cumsum(per_text)])
-        grid = np.full((BLOCK, int(first[-1])), pad, np.int32)
+        grid = np.full((BLOCK, int(first[-1])), pad, symbols.dtype)
         grid[at % BLOCK, first[owner] + at // BLOCK] = symbols
         of_block = np.repeat(np.arange(len(texts)), per_text)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
