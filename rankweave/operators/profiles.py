@@ -190,3 +190,9 @@ def restored(said: DataFrame, names: DataFrame, group: list[str]) -> DataFrame:
 def readable(said: Column) -> Column:
     """A text with aliases read out: candidate #7 for CAND_007, position #7 for JOB_007."""
     return F.regexp_replace(F.regexp_replace(said, r"\bCAND_0*([1-9][0-9]*)\b", "candidate #$1"), r"\bJOB_0*([1-9][0-9]*)\b", "position #$1")
+
+
+def listed(words: str, texts: list[Column], kinds: dict[str, list], *tests: Column) -> Column:
+    """Whether a row is shown: one of its texts holds the words (case aside), its kinds are among those asked for, and all tests hold."""
+    ok = reduce(lambda a, b: a | b, (F.contains(F.lower(t), F.lit(words.lower())) for t in texts)) if words else F.lit(True)
+    return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), [*(F.col(k).isin(v) for k, v in kinds.items() if v), *tests], ok)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +57,40 @@ def related(terms: DataFrame) -> DataFrame:
     return siblings.select("slug", F.slice("all", 1, RELATED).alias("related"))
 
 
+def categories(terms: DataFrame) -> DataFrame:
+    """(slug, categories, variants): each skill's name, category and role, each once, and all its variants."""
+    by = terms.groupBy("slug").agg(F.first("category").alias("c"), F.first("role").alias("r"), F.array_sort(F.collect_set("variant")).alias("variants"))
+    return by.select("slug", F.array_distinct(F.filter(F.array("slug", "c", "r"), lambda x: x.isNotNull() & (x != ""))).alias("categories"), "variants")
+
+
+def _natural(slug: Column) -> Column:
+    return F.replace(slug, F.lit("_"), F.lit(" "))
+
+
+def expanded(query: Column, found: Column) -> Column:
+    """A query with the words of the categories (an array for each skill found) on a line below."""
+    extra = F.array_distinct(F.transform(F.flatten(found), _natural))
+    return F.when(F.size(extra) > 0, F.concat(query, F.lit("\n"), F.array_join(extra, " "))).otherwise(query)
+
+
+def bm25_document(body: Column, slugs: Column) -> Column:
+    """A text with its skills' names as they are and in words."""
+    return F.trim(F.concat(body, F.lit("\n"), F.array_join(F.concat(slugs, F.transform(slugs, _natural)), " ")))
+
+
+def bm25_query(title: Column, slugs: Column) -> Column:
+    return F.trim(F.array_join(F.filter(F.concat(F.array(title), slugs, F.transform(slugs, _natural)), lambda x: x.isNotNull() & (x != "")), " "))
+
+
+def protected(matched: Column, terms: list[tuple]) -> Column:
+    """A matched text (lower case, words between single spaces) with each alias replaced by its skill's name, longer aliases first.
+
+    terms: rows that begin with (variant, slug), few enough to be written in the plan.
+    """
+    aliases = sorted({(v, s) for v, s, *_ in terms if v != s and len(v) >= 2}, key=lambda p: (-len(p[0]), p[0]))
+    return reduce(lambda c, p: F.regexp_replace(c, rf"(?<![a-z0-9_]){re.escape(p[0])}(?![a-z0-9_])", p[1]), aliases, matched)
+
+
 def indel_ratio(a: str, b: str) -> float:
     """Normalised insert-delete similarity in percent: 200 * longest common subsequence / both lengths."""
     row = [0] * (len(b) + 1)
