@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 os.environ["PYTHONPATH"] = f"{sys.path[0]}:{os.environ.get('PYTHONPATH', '')}"
 
 HEADLINE = (
-    "bm25_topk dense_topk skill_extract_exact ranking_metrics landing_stats latest_per_key session_rollup interval_merge notification_fanout "
+    "bm25_topk rrf_fusion score_candidates dense_topk skill_extract_exact ranking_metrics landing_stats latest_per_key session_rollup interval_merge notification_fanout "
     "pii_redact gate_decision reputation_fold status_state rate_limit_fold"
 ).split()
 

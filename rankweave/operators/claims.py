@@ -7,12 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Verbs of use, words of complexity, and patterns of measured impact and of exercise projects.
+# Verbs of use.
 ACTIONS = "xây dựng|thiết kế|tối ưu|triển khai|phát triển|tích hợp|xử lý|build|design|optimize|implement|develop|integrate|refactor".split("|")
-COMPLEXITY = (
-    "microservices|distributed system|hệ thống phân tán|concurrency|sharding|partitioning|replication|caching|redis cluster|load balancing|high availability|ha|fault tolerance|failover|message queue|"
-    "event-driven|kafka|rabbitmq|ci/cd|unit test|integration test|benchmark|profiling|indexing|database tuning|bottleneck|thread safe|asyncio|goroutine|rate limiting|circuit breaker|idempotency|grpc|graphql"
-).split("|")
 # Bands of a repository's stars with the scores of completeness, optimisation and cleanliness, and the languages in wide use.
 STARS = [(1000, 8.0, 7.5, 7.5), (100, 7.0, 6.5, 6.5), (10, 5.5, 5.5, 5.5)]
 WIDE = ["python", "typescript", "javascript", "go", "rust", "java"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.functions import guardrails, text
+from rankweave.functions import guardrails, redaction, text
 from rankweave.plans.registry import query
 from rankweave.sources.tables import spread, table
 
@@ -92,6 +92,37 @@ def intents(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", rule.alias("intent"))
 
 
-@query()
+@query("""SELECT doc_id, contains(text, '�') OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') OR len(list_filter(l, lambda x: length(trim(x, ' ')) <= 2)) * 10 > len(l) AS corrupted
+FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents)""")
 def corruption(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.looks_corrupted(F.col("text")).alias("corrupted"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '## Summary' || chr(10) || 'Born  and of ' || lower(c_mktsegment) WHEN c_custkey % 3 = 1 THEN '## Skills' || chr(10) || '- spark ' || c_custkey ELSE 'works at' END AS clean,
+  'own' || c_custkey || '/r.x' AS repos, CASE WHEN c_custkey % 2 = 0 THEN 'me' || c_custkey ELSE '' END AS profiles, 'own' || c_custkey || '/r.x' AS parsed FROM customer""")
+def person_redaction(spark, sf_dir):
+    """Profiles without their person, and the code repositories and profiles that they link to."""
+    k, n = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    said = (
+        F.when(k % 3 == 0, F.concat(F.lit("An Van NGUYEN\nBinh\nEmail: a@b.org\n## Summary\nBorn 01/02/1990 and of "), F.lower("c_mktsegment")))
+        .when(k % 3 == 1, F.concat(F.lit("# Tran An\n## Contact\nHue\n0912345678\n## Skills\n- spark "), n, F.lit("\n- \n- www.x.org/y"))).otherwise("works at a.b@c.org")
+    )
+    links = F.concat(F.lit("see https://GitHub.com/own"), n, F.lit("/r.x.git and github.com/Own"), n, F.lit("/R.x, github.com/topics/x "), F.when(k % 2 == 0, F.concat(F.lit("github.com/me"), n)).otherwise("github.com/about"))
+    found = redaction.harvested(links)
+    read = redaction.repository(F.concat(F.lit("git@github.com:own"), n, F.lit("/r.x.git")))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", redaction.without_person(said).alias("clean"), F.array_join(found["repositories"], ",").alias("repos"), F.array_join(found["profiles"], ",").alias("profiles"),
+        F.concat_ws("/", read["owner"], read["repo"]).alias("parsed"),
+    )
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 82 WHEN 2 THEN 55 ELSE 23 END::DOUBLE AS depth, CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 18 WHEN 2 THEN 24 ELSE 7 END AS months FROM part""")
+def project_facts(spark, sf_dir):
+    """Depth and months read from a project's description."""
+    k = F.col("p_size") % 4
+    said = (
+        F.when(k == 0, "todo app").when(k == 1, "Sharding and caching of a message queue, 40% faster, 01/2020 - 06/2021 in all of it")
+        .when(k == 2, "Reduced the load time of pages by 20 ms for all of the users, duration: 2 years").otherwise("A crud api that took 7 months and is described at some length here")
+    )
+    skills = F.when(k == 1, 3).when(k == 2, 1).otherwise(0)
+    return table(spark, sf_dir, "part").select("p_partkey", redaction.project_depth(said, skills).alias("depth"), redaction.project_months(said, 2026).alias("months"))

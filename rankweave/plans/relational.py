@@ -156,11 +156,18 @@ def evidence_rows(spark, sf_dir):
     return tables.run_with_evidence(runs, "run", "evidence")[1].select("run", "place", "part")
 
 
-@query("SELECT event_id, round(0.20 * k + 0.25 * coalesce(value, 0) + 0.15 * least(k, 50), 6)::DOUBLE AS weighted_score FROM (SELECT event_id, value, coalesce((props->>'$.k')::DOUBLE, 0) AS k FROM events)")
+#: The weights of a run's score by property.
+WEIGHTS = {"k": 0.20, "depth": 0.25, "quality": 0.15, "clean": 0.20, "fit": 0.20}
+
+
+@query("SELECT event_id, round(0.20 * k + 0.25 * k * 2 + 0.20 * 7, 6)::DOUBLE AS weighted_score FROM (SELECT event_id, coalesce((props->>'$.k')::DOUBLE, 0) AS k FROM events)")
 def weighted_score(spark, sf_dir):
-    """A generated column over JSON properties."""
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
-    return table(spark, sf_dir, "events").select("event_id", F.round(0.20 * k + 0.25 * F.coalesce("value", F.lit(0.0)) + 0.15 * F.least(k, F.lit(50.0)), 6).alias("weighted_score"))
+    """A generated column: the weighted sum of JSON properties, 0 for one that is missing or no number; three of five are given here."""
+    k = F.get_json_object("props", "$.k")
+    body = F.to_json(F.struct(k.cast("double").alias("k"), (k.cast("double") * 2).alias("depth"), F.lit("none").alias("quality"), F.lit("7").alias("fit")))
+    number = lambda name: F.coalesce(F.get_json_object("body", f"$.{name}").try_cast("double"), F.lit(0.0))
+    total = sum((number(name) * w for name, w in WEIGHTS.items()), F.lit(0.0))
+    return table(spark, sf_dir, "events").withColumn("body", body).select("event_id", F.round(total, 6).alias("weighted_score"))
 
 
 @query("SELECT p_partkey, other, place FROM (SELECT a.p_partkey, b.p_partkey AS other, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS place FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (a.p_brand = b.p_brand OR a.p_type = b.p_type OR a.p_size = b.p_size)) WHERE place <= 3")

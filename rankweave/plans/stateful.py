@@ -95,16 +95,27 @@ def stream_dedup(spark, sf_dir):
     return streams.drained(streams.deduplicated(keyed, "idempotency_key"), "stream-dedup").agg(F.count("*").alias("n"))
 
 
-@query()
+_AT = "%Y-%m-%d %H:%M:%S"
+
+
+def _said(at: str):
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias(at)
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, TRUE) AS opens FROM events),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, strftime(min(ts), '{_AT}') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '{_AT}') AS "end", count(*) AS events FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(spark, sf_dir):
-    """Sessions that the watermark has closed."""
-    return streams.drained(streams.sessions(streams.read_events(spark, sf_dir)), "stream-sessions")
+    """Sessions that the watermark, an hour behind the last event, has closed."""
+    found = streams.drained(streams.sessions(streams.read_events(spark, sf_dir)), "stream-sessions")
+    return found.select("user_id", _said("start"), _said("end"), "events")
 
 
-@query()
+@query(f"SELECT strftime(h, '{_AT}') AS hour, event_type, count(*) AS n FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) GROUP BY h, event_type HAVING h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_hours(spark, sf_dir):
-    """Events an hour and kind, hours that the watermark has closed."""
-    return streams.drained(streams.hourly(streams.read_events(spark, sf_dir)), "stream-hours")
+    """Events an hour and kind, of the hours that the watermark, an hour behind the last event, has closed."""
+    found = streams.drained(streams.hourly(streams.read_events(spark, sf_dir)), "stream-hours")
+    return found.select(_said("hour"), "event_type", "n")
 
 
 @query()
