@@ -27,7 +27,7 @@ LOW_CONTENT = 600
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TOKEN_SEPARATOR), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_SEPARATOR), "")
 
 
 def query_tokens(text: Column) -> Column:

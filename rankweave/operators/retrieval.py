@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,10 +77,8 @@ class _Weights:
 
     def scores(self, tokens: pa.ListArray, mean: float) -> np.ndarray:
         """(documents x queries) BM25 scores of token lists."""
-        lengths = np.diff(tokens.offsets.to_numpy())
-        at = pc.index_in(tokens.flatten(), self.terms)
-        known = ~np.asarray(at.is_null())
-        key, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths)[known] * len(self.terms) + at.drop_null().to_numpy(), return_counts=True)
+        at, of, lengths = _known(tokens, self.terms)
+        key, tf = np.unique(of * len(self.terms) + at, return_counts=True)
         doc, term = key // max(len(self.terms), 1), key % max(len(self.terms), 1)
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
         size = self.starts[term + 1] - self.starts[term]
@@ -90,29 +89,47 @@ class _Weights:
         return made.reshape(len(lengths), len(self.queries))
 
 
-def _bm25_blocks(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str) -> tuple[DataFrame, float, Iterator[_Weights]]:
-    """(documents with tokens, their mean length, blocks of at most about BLOCK_TERMS query weights).
+def _bm25_blocks(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str) -> tuple[DataFrame, Iterator[tuple[_Weights, float]]]:
+    """(documents with tokens, blocks of at most about BLOCK_TERMS query weights with the documents' mean length).
 
-    One pass counts documents, lengths and the document frequencies of the queries' terms; those terms alone are shuffled, summed in
-    the tasks first.
+    A block's terms are counted in one pass over all documents, in the tasks; only a row a term and task is shuffled.
     """
     terms = queries.select(F.col(query_id).alias("query"), F.explode(text.query_tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     tokened = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text_col))).select("doc", F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
-    stats = docs.select(text.tokens(F.col(text_col)).alias("tokens")).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
-    found = tokened.select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.lit(float(stats["n"]))
-    weights = terms.join(df, "term").select("query", "term", (F.col("times") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
-    count = terms.count()
-    blocks = -(-count // BLOCK_TERMS)
-
-    def each() -> Iterator[_Weights]:
+    blocks = -(-terms.count() // BLOCK_TERMS)
+
+    def counted(vocabulary: list[str]) -> tuple[dict[str, int], int, float]:
+        shared = docs.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+
+        def run(batches):
+            df, n, total = np.zeros(len(shared.value), np.int64), 0, 0
+            for batch in batches:
+                at, doc, lengths = _known(batch.column(0), shared.value)
+                df += np.bincount(np.unique(doc * len(df) + at) % len(df), minlength=len(df))
+                n, total = n + len(lengths), total + int(lengths.sum())
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([df[some], [n, total]]))], names=["term", "n"])
+
+        made = {r["term"]: r["n"] for r in tokened.select("tokens").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        return {vocabulary[k]: n for k, n in made.items() if k >= 0}, made.get(-1, 0), made.get(-2, 0) / max(made.get(-1, 0), 1) or 1.0
+
+    def each() -> Iterator[tuple[_Weights, float]]:
         for k in range(blocks):
-            rows = (weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)).collect()
-            if rows:
-                yield _Weights(rows)
+            rows = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)).collect()
+            df, n, mean = counted(sorted({r["term"] for r in rows})) if rows else ({}, 0, 1.0)
+            weighed = [{"query": r["query"], "term": r["term"], "idf": r["times"] * math.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1)} for r in rows if r["term"] in df]
+            if weighed:
+                yield _Weights(weighed), mean
+
+    return tokened, each()
+
 
-    return tokened, float(stats["mean"] or 1.0), each()
+def _known(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term numbers, document numbers) of the tokens that are terms, and all documents' lengths."""
+    lengths = np.diff(tokens.offsets.to_numpy())
+    at = pc.index_in(tokens.flatten(), terms)
+    known = ~np.asarray(at.is_null())
+    return at.drop_null().to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)[known], lengths
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, text_col: str = "text") -> DataFrame:
@@ -121,13 +138,13 @@ def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k:
     A task scores its documents against all queries as one sparse product and keeps k a query, so that what is shuffled follows the
     number of tasks, not that of (query, document) pairs. Scores are rounded to PLACES.
     """
-    tokened, mean, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
+    tokened, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
     schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("doc", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
     out = None
-    for made in blocks:
+    for made, mean in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(made)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, mean=mean):
             own, best, names = shared.value, Best(k), None
             step = max(1, CELLS // max(len(own.queries), 1))
             for batch in batches:
@@ -149,13 +166,13 @@ def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k:
 
 def bm25_summary(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
     """(query, docs, best, total): how many documents share a term with each query, the best score and the sum, added up in the tasks."""
-    tokened, mean, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
+    tokened, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
     schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("docs", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("total", T.DoubleType())])
     out = None
-    for made in blocks:
+    for made, mean in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(made)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, mean=mean):
             own = shared.value
             step = max(1, CELLS // max(len(own.queries), 1))
             n, best, total = np.zeros(len(own.queries), np.int64), np.zeros(len(own.queries)), np.zeros(len(own.queries))
