@@ -224,7 +224,7 @@ def score_jobs(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT p_partkey, unnest(list_filter(['#12', 'steel', 'part', '1', 'brand#12', 'it'], lambda w: length(w) > 1)) AS word FROM part),
-t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS title, regexp_extract_all(lower(p_type), '[\p{L}\p{N}]+') AS skills, regexp_extract_all(lower(p_brand), '[\p{L}\p{N}]+') AS company FROM part),
+t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') AS title, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+') AS skills, regexp_extract_all(lower(p_brand), '[\\p{L}\\p{N}]+') AS company FROM part),
 p AS (SELECT p_partkey, sum(2.0 * list_contains(title, trim(word, '#'))::INT + 1.5 * list_contains(skills, trim(word, '#'))::INT + 1.2 * list_contains(company, trim(word, '#'))::INT)::DOUBLE AS words FROM w JOIN t USING (p_partkey) GROUP BY ALL)
 SELECT p_partkey, round(CASE WHEN contains(lower(p_name), '#12') OR contains('#' || p_partkey, '#12') THEN 5.0 ELSE 0.0 END + p_size % 3 * 2.0 + words, 6)::DOUBLE AS boost,
   round(CASE WHEN CASE WHEN contains(lower(p_name), '#12') OR contains('#' || p_partkey, '#12') THEN 5.0 ELSE 0.0 END + p_size % 3 * 2.0 + words > 0 THEN CASE WHEN p_size % 2 = 1 THEN 1.0 ELSE 0.5 END + CASE WHEN contains(lower(p_name), '#12') OR contains('#' || p_partkey, '#12') THEN 5.0 ELSE 0.0 END + p_size % 3 * 2.0 + words ELSE p_size % 2 END, 6)::DOUBLE AS bm25
