@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, chat, decontaminate, html, langid, licenses, lm, near, toxicity, vectors
+from rankweave.llm import bpe, chat, decontaminate, html, langid, licenses, lm, near, toxicity, variants, vectors
 from rankweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,15 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), least=7)  # a shorter run gives no word
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    place = (h % F.length("word")).cast("int")
+    rest = F.concat(F.substring("word", F.lit(1), place), F.substring("word", place + 2, F.length("word")))
+    words = runs.select(F.when(h % 31 == 0, rest).otherwise(F.col("word")).alias("word"))
+    return variants.group(variants.vocabulary(words, 7, 2)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -92,6 +101,7 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
     "op8_vector_dedup": op8_vector_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,4 +139,17 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, compone
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({len(chat.OPEN) + len(chat.MIDDLE) + len(chat.CLOSE)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars FROM said GROUP BY conv_id""",
+    "op13_spelling_variants": """WITH RECURSIVE crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS k FROM run GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END)) AS b FROM counted),
+hashed AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+cut AS (SELECT k, CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+less AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word)))::INT AS i FROM v)),
+pair AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word UNION SELECT word, d FROM less WHERE d IN (SELECT word FROM v) UNION SELECT d, word FROM less WHERE d IN (SELECT word FROM v)),
+best AS (SELECT a, count(*) AS n_near, arg_max({'b': b, 'n': n}, {'n': n, 'less': -rank}) AS best FROM pair JOIN (SELECT word, n, row_number() OVER (ORDER BY word) AS rank FROM v) ON b = word GROUP BY a),
+known AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * v.n THEN best.b END AS form, CASE WHEN best.n >= 10 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON a = word),
+path(word, place, steps) AS (SELECT word, word, 0 FROM known UNION ALL SELECT path.word, form, steps + 1 FROM path JOIN known ON known.word = place WHERE form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN (SELECT word, arg_max(place, steps) AS root FROM path GROUP BY word) USING (word)""",
 }
