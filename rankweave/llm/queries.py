@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, chat, decontaminate, html, langid, licenses, lm, near, toxicity, variants, vectors
+from rankweave.llm import bpe, chat, decontaminate, html, langid, licenses, lm, near, packing, toxicity, variants, vectors, whiten
 from rankweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -81,6 +82,16 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, keep_ids=False)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = whiten.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "own"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", F.col("own.whitened").alias("whitened"), F.col("own.explained").alias("explained"), "identity_error")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = variants.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), least=7)  # a shorter run gives no word
     h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
@@ -101,6 +112,8 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
     "op8_vector_dedup": op8_vector_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_whitening": op12_whitening,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
