@@ -20,15 +20,15 @@ SPACES = " \n\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u200
 
 # Personal data.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-PHONE = r"(\+?84|0)(3|5|7|8|9)\d([\s.-]?\d){7,8}"
-URL = r"(?i)\b(https?://|www\.)\S+|\b(linkedin|github|facebook|twitter|x)\.com/\S+"
+PHONE = r"(?:\+?84|0)(?:3|5|7|8|9)\d(?:[\s.-]?\d){7,8}"
+URL = r"(?i)\b(?:https?://|www\.)\S+|\b(?:linkedin|github|facebook|twitter|x)\.com/\S+"
 UUID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b"
 LABELLED = (
-    r"(?im)^\s*(full[ _-]?name|name|họ\s*(và\s*)?tên|ứng\s*viên|candidate|cccd|cmnd|passport|resume[ _-]?id|application[ _-]?id|user[ _-]?id|storage[ _-]?path)\s*[:=].*$"
+    r"(?im)^\s*(?:full[ _-]?name|name|họ\s*(?:và\s*)?tên|ứng\s*viên|candidate|cccd|cmnd|passport|resume[ _-]?id|application[ _-]?id|user[ _-]?id|storage[ _-]?path)\s*[:=].*$"
 )
 # Secrets.
 SECRETS = {
-    "assignment": r"(?i)\b(api[_-]?key|secret|password|token)\s*[:=]\s*[^\s,;]+",
+    "assignment": r"(?i)\b(?:api[_-]?key|secret|password|token)\s*[:=]\s*[^\s,;]+",
     "bearer": r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{12,}",
     "sk": r"\bsk-[A-Za-z0-9_-]{12,}\b",
     "aiza": r"\bAIza[0-9A-Za-z_-]{20,}\b",
@@ -38,50 +38,50 @@ SECRETS = {
 SECRET_ANCHORS = {"assignment": ["key", "secret", "password", "token"], "bearer": ["bearer"], "sk": ["sk-"], "aiza": ["aiza"], "gh": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "jwt": ["eyj"]}
 # Signals of an injection in the lower-cased text.
 INJECTIONS = {
-    "ignore_instructions": r"\b(ignore|disregard|forget|bỏ qua)\b.{0,40}\b(instruction|prompt|chỉ dẫn|yêu cầu)",
-    "reveal_prompt": r"\b(show|reveal|print|tiết lộ|hiển thị)\b.{0,40}\b(system prompt|developer message|prompt hệ thống)",
-    "role_override": r"\b(you are now|từ giờ bạn là)\b",
-    "external_action": r"\b(send|upload|exfiltrate|gửi|tải)\b.{0,50}\b(elsewhere|server|url|email|ra ngoài|máy chủ)\b",
-    "tool_override": r"\b(call|invoke|run|execute|gọi|chạy)\b.{0,30}\b(tool|command|shell|sql|công cụ|lệnh)\b",
+    "ignore_instructions": r"\b(?:ignore|disregard|forget|bỏ qua)\b.{0,40}\b(?:instruction|prompt|chỉ dẫn|yêu cầu)",
+    "reveal_prompt": r"\b(?:show|reveal|print|tiết lộ|hiển thị)\b.{0,40}\b(?:system prompt|developer message|prompt hệ thống)",
+    "role_override": r"\b(?:you are now|từ giờ bạn là)\b",
+    "external_action": r"\b(?:send|upload|exfiltrate|gửi|tải)\b.{0,50}\b(?:elsewhere|server|url|email|ra ngoài|máy chủ)\b",
+    "tool_override": r"\b(?:call|invoke|run|execute|gọi|chạy)\b.{0,30}\b(?:tool|command|shell|sql|công cụ|lệnh)\b",
 }
 # Signals in the folded text.
 FOLDED_INJECTIONS = {
-    "ignore_instructions": r"\b(bo qua|quen)\b.{0,40}\b(instruction|prompt|chi dan|yeu cau)\b",
-    "reveal_prompt": r"\b(tiet lo|hien thi|in|cho biet)\b.{0,40}\b(system prompt|prompt he thong)\b",
+    "ignore_instructions": r"\b(?:bo qua|quen)\b.{0,40}\b(?:instruction|prompt|chi dan|yeu cau)\b",
+    "reveal_prompt": r"\b(?:tiet lo|hien thi|in|cho biet)\b.{0,40}\b(?:system prompt|prompt he thong)\b",
     "role_override": r"\btu gio ban la\b",
-    "tool_override": r"\b(goi|chay)\b.{0,30}\b(tool|command|shell|sql|cong cu|lenh)\b",
-    "destructive_action": r"\b(drop\s+(table|database)|truncate\s+table|delete\s+from|alter\s+table)\b|\brm\s+-[a-z]*r[a-z]*f\b",
+    "tool_override": r"\b(?:goi|chay)\b.{0,30}\b(?:tool|command|shell|sql|cong cu|lenh)\b",
+    "destructive_action": r"\b(?:drop\s+(?:table|database)|truncate\s+table|delete\s+from|alter\s+table)\b|\brm\s+-[a-z]*r[a-z]*f\b",
     "encoded_instruction": (
-        r"\b(decode|base64|hex(adecimal)?)[-\s\w]{0,50}\b(follow|execute|run|instruction|command)\b|\b(follow|execute|run)[-\s\w]{0,50}\b(base64|hex(adecimal)?)[-\s]*(instruction|command)\b"
+        r"\b(?:decode|base64|hex(?:adecimal)?)[-\s\w]{0,50}\b(?:follow|execute|run|instruction|command)\b|\b(?:follow|execute|run)[-\s\w]{0,50}\b(?:base64|hex(?:adecimal)?)[-\s]*(?:instruction|command)\b"
     ),
 }
-DEFERRED = r"\b(remember|store|save|memorize|ghi nho|luu lai)\b.{0,80}\b(instruction|prompt|command|chi dan|yeu cau|lenh)\b.{0,80}\b(later|next|after|sau|lat nua|tiep theo)\b"
+DEFERRED = r"\b(?:remember|store|save|memorize|ghi nho|luu lai)\b.{0,80}\b(?:instruction|prompt|command|chi dan|yeu cau|lenh)\b.{0,80}\b(?:later|next|after|sau|lat nua|tiep theo)\b"
 # Requests for protected information, in the folded text.
 PROTECTED_REQUESTS = [
-    r"\b(show|give|send|tell|print|display|reveal|expose|dump|repeat|quote|translate|summari[sz]e|share|provide|can i see|may i see)\b.{0,60}"
-    r"\b(system prompt|developer (message|instruction)|prompt template|internal prompt|system (instruction|message|policy)|tool (schema|configuration|config)|your prompt|agent prompt)\b",
-    r"\b(what is|what are|describe|explain)\b.{0,30}\b(your|the internal|the configured|current)\b.{0,20}\b(system prompt|developer (message|instruction)|prompt|tool (schema|config))\b",
-    r"\b(show|give|send|tell|print|display|reveal|expose|dump|share|provide)\b.{0,40}\b(your|the|internal|configured|actual|real|current)\b.{0,12}\b(api key|secret|password|token)\b",
-    r"\b(give|send|provide|share)\b.{0,15}\b(me|us|to me|to us)\b.{0,15}\b(an?\s+|the\s+|your\s+)?(api key|secret|password|token)\b",
-    r"\b(what is|what are|where is|where are)\b.{0,30}\b(your|the internal|the configured|current)\b.{0,12}\b(api key|secret|password|token)\b",
-    r"\b(cho|dua|gui|noi|in|hien thi|tiet lo|lap lai|trich dan|dich|tom tat|chia se|cung cap|cho biet)\b.{0,60}"
-    r"\b(system prompt|developer message|developer instruction|prompt template|internal prompt|prompt he thong|prompt cua ban|chi dan he thong|thong diep developer|cau hinh cong cu|api key|secret|mat khau|token)\b",
-    r"\b(mo ta|giai thich|cho biet)\b.{0,40}\b(system prompt|prompt he thong|chi dan he thong)\b.{0,20}\b(cua ban|noi bo)\b",
-    r"\b(api key|secret|mat khau|token)\b.{0,20}\b(cua ban|he thong|noi bo)\b.{0,15}\b(la gi|o dau|cho toi|gui toi)\b",
+    r"\b(?:show|give|send|tell|print|display|reveal|expose|dump|repeat|quote|translate|summari[sz]e|share|provide|can i see|may i see)\b.{0,60}"
+    r"\b(?:system prompt|developer (?:message|instruction)|prompt template|internal prompt|system (?:instruction|message|policy)|tool (?:schema|configuration|config)|your prompt|agent prompt)\b",
+    r"\b(?:what is|what are|describe|explain)\b.{0,30}\b(?:your|the internal|the configured|current)\b.{0,20}\b(?:system prompt|developer (?:message|instruction)|prompt|tool (?:schema|config))\b",
+    r"\b(?:show|give|send|tell|print|display|reveal|expose|dump|share|provide)\b.{0,40}\b(?:your|the|internal|configured|actual|real|current)\b.{0,12}\b(?:api key|secret|password|token)\b",
+    r"\b(?:give|send|provide|share)\b.{0,15}\b(?:me|us|to me|to us)\b.{0,15}\b(?:an?\s+|the\s+|your\s+)?(?:api key|secret|password|token)\b",
+    r"\b(?:what is|what are|where is|where are)\b.{0,30}\b(?:your|the internal|the configured|current)\b.{0,12}\b(?:api key|secret|password|token)\b",
+    r"\b(?:cho|dua|gui|noi|in|hien thi|tiet lo|lap lai|trich dan|dich|tom tat|chia se|cung cap|cho biet)\b.{0,60}"
+    r"\b(?:system prompt|developer message|developer instruction|prompt template|internal prompt|prompt he thong|prompt cua ban|chi dan he thong|thong diep developer|cau hinh cong cu|api key|secret|mat khau|token)\b",
+    r"\b(?:mo ta|giai thich|cho biet)\b.{0,40}\b(?:system prompt|prompt he thong|chi dan he thong)\b.{0,20}\b(?:cua ban|noi bo)\b",
+    r"\b(?:api key|secret|mat khau|token)\b.{0,20}\b(?:cua ban|he thong|noi bo)\b.{0,15}\b(?:la gi|o dau|cho toi|gui toi)\b",
 ]
 PROTECTED_ASSET = (
-    r"\b((database|db)[\s._-]+(schema|structure)|(schema|structure)[\s._-]+(database|db)|data model|erd|entity relationship diagram|sql\s+ddl(\s+migrations?)?|rls\s+polic(y|ies)|database[_\s-]*url|"
-    r"connection string|environment variables?|env variables?|\.env|source tree|file paths?|project (url|reference|ref)|([a-z0-9]+[_-])*service[\s_-]*role[\s_-]*key|"
-    r"([a-z0-9]+[_-])*(api[_-]?key|anon[_-]?key|secret|password|token)|server\s+hostname|hostname\s+and\s+port|private openapi routes?|hidden internal instructions?|internal rules|"
-    r"(tables?|columns?|foreign keys?|indexes?|rpc|storage buckets?|bang|cot|khoa ngoai)|(store|luu)\s+(candidate|ung vien)\s+(records?|data|du lieu)|"
+    r"\b(?:(?:database|db)[\s._-]+(?:schema|structure)|(?:schema|structure)[\s._-]+(?:database|db)|data model|erd|entity relationship diagram|sql\s+ddl(?:\s+migrations?)?|rls\s+polic(?:y|ies)|database[_\s-]*url|"
+    r"connection string|environment variables?|env variables?|\.env|source tree|file paths?|project (?:url|reference|ref)|(?:[a-z0-9]+[_-])*service[\s_-]*role[\s_-]*key|"
+    r"(?:[a-z0-9]+[_-])*(?:api[_-]?key|anon[_-]?key|secret|password|token)|server\s+hostname|hostname\s+and\s+port|private openapi routes?|hidden internal instructions?|internal rules|"
+    r"(?:tables?|columns?|foreign keys?|indexes?|rpc|storage buckets?|bang|cot|khoa ngoai)|(?:store|luu)\s+(?:candidate|ung vien)\s+(?:records?|data|du lieu)|"
     r"cau truc\s+co\s+so\s+du\s+lieu|kien truc\s+du\s+lieu|bien\s+moi\s+truong|cay\s+ma\s+nguon|duong\s+dan\s+tep)\b"
 )
-PROTECTED_CONTEXT = r"\b(your|internal|private|production|actual|real|configured|current|system|agent|backend|supabase|used by|you use|internally|cua ban|cua he thong|noi bo|thuc te|that|dang dung)\b"
+PROTECTED_CONTEXT = r"\b(?:your|internal|private|production|actual|real|configured|current|system|agent|backend|supabase|used by|you use|internally|cua ban|cua he thong|noi bo|thuc te|that|dang dung)\b"
 PROTECTED_ACTION = (
-    r"\b(show|give|send|tell|print|display|reveal|expose|dump|list|export|translate|put|provide|share|summarize|what|how do you|"
+    r"\b(?:show|give|send|tell|print|display|reveal|expose|dump|list|export|translate|put|provide|share|summarize|what|how do you|"
     r"cho|dua|gui|noi|in|hien thi|tiet lo|liet ke|dich|cung cap|cho xem|cho toi)\b"
 )
-INHERENT_SECRET = r"\b(database[_\s-]*url|connection string|([a-z0-9]+[_-])*service[\s_-]*role[\s_-]*key|([a-z0-9]+[_-])*(api[_-]?key|anon[_-]?key|secret|password|token))\b|(^|\s)\.env\b"
+INHERENT_SECRET = r"\b(?:database[_\s-]*url|connection string|(?:[a-z0-9]+[_-])*service[\s_-]*role[\s_-]*key|(?:[a-z0-9]+[_-])*(?:api[_-]?key|anon[_-]?key|secret|password|token))\b|(?:^|\s)\.env\b"
 # Spelled-out words and frequent misspellings, with what they are read as, and the letters without which none occurs.
 RESPELLED = [
     (r"\bs[\s._-]{0,3}h[\s._-]{0,3}[o0][\s._-]{0,3}w\b", "show", "show"),
@@ -113,14 +113,14 @@ CONTEXTS = "your internal private production actual real configured current syst
 
 # What generated text must not disclose.
 DISCLOSURE = (
-    r"(?i)\b(system prompt|developer (message|instruction)|prompt template|internal prompt|your prompt|agent prompt|system (instruction|message|policy)|tool (schema|configuration)|prompt hệ thống|"
+    r"(?i)\b(?:system prompt|developer (?:message|instruction)|prompt template|internal prompt|your prompt|agent prompt|system (?:instruction|message|policy)|tool (?:schema|configuration)|prompt hệ thống|"
     r"prompt của bạn|chỉ dẫn hệ thống|thông điệp developer|cấu hình công cụ|prompt he thong|prompt cua ban|chi dan he thong|thong diep developer|cau hinh cong cu)\b"
 )
 ARCHITECTURE = (
-    r"(?i)(\b(database|db)\s+schema\s*:\s*[a-z_][\w.]*\s*\([^)]*\)|\binternal\s+tables?\s*:\s*[a-z_][\w.,\s-]*|\bdatabase[_\s-]*url\s*[:=]\s*\S+|\b(supabase\s+)?service[\s_-]*role[\s_-]*key\b|"
-    r"\b(internal|private|production)\s+(database|db)\s+(schema|structure)\b)"
+    r"(?i)(?:\b(?:database|db)\s+schema\s*:\s*[a-z_][\w.]*\s*\([^)]*\)|\binternal\s+tables?\s*:\s*[a-z_][\w.,\s-]*|\bdatabase[_\s-]*url\s*[:=]\s*\S+|\b(?:supabase\s+)?service[\s_-]*role[\s_-]*key\b|"
+    r"\b(?:internal|private|production)\s+(?:database|db)\s+(?:schema|structure)\b)"
 )
-STACK_TRACE = r"(?i)(traceback \(most recent call last\)|(file|module) [\"'][^\"']+\.py[\"'].*line \d+|(exception|error):\s+.*(backend/app|backend\\app))"
+STACK_TRACE = r"(?i)(?:traceback \(most recent call last\)|(?:file|module) [\"'][^\"']+\.py[\"'].*line \d+|(?:exception|error):\s+.*(?:backend/app|backend\\app))"
 
 _MARKS = "".join(chr(c) for c in range(0x300, 0x370))
 
@@ -346,6 +346,6 @@ def sql_sanitized(text: str) -> str:
     out = f"regexp_replace({text}, {q(LABELLED)}, '', 'g')"
     out = f"regexp_replace({out}, {q(EMAIL)}, '[REDACTED_EMAIL]', 'g')"
     for _ in range(2):
-        out = f"regexp_replace({out}, {phone}, '\\1[REDACTED_PHONE]\\6', 'g')"
+        out = f"regexp_replace({out}, {phone}, '\\1[REDACTED_PHONE]\\3', 'g')"
     out = f"regexp_replace(regexp_replace({out}, {q(URL)}, '[REDACTED_URL]', 'g'), {q(UUID)}, '[REDACTED_ID]', 'g')"
     return f"trim(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {q(SPACES)})"

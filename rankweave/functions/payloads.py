@@ -26,10 +26,11 @@ def constraints(raw: Column) -> Column:
 
 
 def string_map(raw: Column) -> Column:
-    """The text values of a model's JSON object, trimmed, without blank ones; empty for anything else, code fences aside."""
-    read = F.from_json(unfenced(raw), "map<string,string>")
-    trimmed = F.transform_values(F.coalesce(read, F.create_map().cast("map<string,string>")), lambda _, v: F.trim(v))
-    return F.map_filter(trimmed, lambda _, v: v.isNotNull() & (v != ""))
+    """The values of a model's JSON object that are strings, trimmed, without blank ones; empty for anything else, code fences aside."""
+    read = F.from_json(unfenced(raw), "map<string,variant>", {"allowSingleQuotes": "false"})
+    texts = F.map_filter(read, lambda _, v: F.schema_of_variant(v) == "STRING")
+    trimmed = F.transform_values(texts, lambda _, v: F.trim(v.cast("string")))
+    return F.coalesce(F.map_filter(trimmed, lambda _, v: v != ""), F.create_map().cast("map<string,string>"))
 
 
 def result_list(raw: Column, element: str, key: str = "comparison_results") -> Column:

@@ -21,15 +21,15 @@ NO_NAMES = ["cv", "resume", "curriculum vitae"]
 CONTACT_LINES = 15
 # Labelled lines, links, addresses, phone numbers and dates of birth, and bullets.
 LABELLED = (
-    r"(?iu)^\s*([-*+•] )?(email|e-mail|phone|tel|mobile|điện thoại|dien thoai|địa chỉ|dia chi|address|linkedin|github|facebook|twitter|ngày sinh|ngay sinh|date of birth|dob|giới tính|gioi tinh|gender|"
+    r"(?iu)^\s*(?:[-*+•] )?(?:email|e-mail|phone|tel|mobile|điện thoại|dien thoai|địa chỉ|dia chi|address|linkedin|github|facebook|twitter|ngày sinh|ngay sinh|date of birth|dob|giới tính|gioi tinh|gender|"
     r"cccd|cmnd|passport|họ và tên|ho va ten|full name|name)\s*[:：].*$"
 )
 LINK = r"\[[^\]]+\]\([^)]+\)"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-URL = r"(?i)https?://\S+|www\.\S+|github\.com/\S+|linkedin\.com/\S+|facebook\.com/\S+|\b[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.(com|net|io|dev|me|co|vn)/\S+"
-PHONE = r"(?<!\d)(\+?84[\s.-]?|0)(3|5|7|8|9)\d([\s.-]?\d){7,8}(?!\d)"
+URL = r"(?i)https?://\S+|www\.\S+|github\.com/\S+|linkedin\.com/\S+|facebook\.com/\S+|\b[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.(?:com|net|io|dev|me|co|vn)/\S+"
+PHONE = r"(?<!\d)(?:\+?84[\s.-]?|0)(?:3|5|7|8|9)\d(?:[\s.-]?\d){7,8}(?!\d)"
 BIRTH = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
-BULLET = r"^\s*([-*+•●▪◦‣–—]|(\d+)[.)])\s*"
+BULLET = r"^\s*(?:[-*+•●▪◦‣–—]|(?:\d+)[.)])\s*"
 
 
 def name_token(word: Column) -> Column:
@@ -112,33 +112,40 @@ COMPLEXITY = (
     "event-driven|kafka|rabbitmq|ci/cd|unit test|integration test|benchmark|profiling|indexing|database tuning|bottleneck|thread safe|asyncio|goroutine|rate limiting|circuit breaker|idempotency|grpc|graphql"
 ).split("|")
 IMPACT = [
-    r"\b\d+[\s]*(%|percent|phần trăm)", r"\b\d+[\s]*(ms|s|giây|milliseconds?)\b", r"\b\d+[\s]*(rps|qps|tps|req/s|requests?/s)\b", r"\b\d+[\s]*(k|m|million|triệu|nghìn|ngàn)[\s]*(users?|người dùng|dau|mau|ccu)\b",
-    r"\b(tối ưu|giảm|tăng|cải thiện|tiết kiệm|optimize|reduced?|increased?|improved?|saved)\b[\w\s]{1,30}\b\d+", r"\b(latency|throughput|load time|chi phí|cost|memory|cpu|bandwidth)\b",
+    r"\b\d+[\s]*(?:%|percent|phần trăm)\b", r"\b\d+[\s]*(?:ms|s|giây|milliseconds?)\b", r"\b\d+[\s]*(?:rps|qps|tps|req/s|requests?/s)\b", r"\b\d+[\s]*(?:k|m|million|triệu|nghìn|ngàn)[\s]*(?:users?|người dùng|dau|mau|ccu)\b",
+    r"\b(?:tối ưu|giảm|tăng|cải thiện|tiết kiệm|optimize|reduced?|increased?|improved?|saved)\b[\w\s]{1,30}\b\d+", r"\b(?:latency|throughput|load time|chi phí|cost|memory|cpu|bandwidth)\b",
 ]
 EXERCISES = [
-    r"web\s*(bán hàng|thương mại điện tử|e-commerce|shop)\s*(đơn giản|cơ bản)?.*(đăng nhập|giỏ hàng|thanh toán)", r"to-?do\s*(list|app|ứng dụng)", r"(clone|bản sao)\s*(facebook|trello|shopee|tik\s*tok|netflix)",
-    r"quản lý\s*(sinh viên|thư viện|nhân sự|nhà sách|bán sách|khách sạn)\s*(cơ bản|đơn giản)?", r"weather\s*app|ứng dụng thời tiết", r"crud\s*(api|app|cơ bản)",
+    r"web\s*(?:bán hàng|thương mại điện tử|e-commerce|shop)\s*(?:đơn giản|cơ bản)?.*(?:đăng nhập|giỏ hàng|thanh toán)", r"to-?do\s*(?:list|app|ứng dụng)", r"(?:clone|bản sao)\s*(?:facebook|trello|shopee|tik\s*tok|netflix)",
+    r"quản lý\s*(?:sinh viên|thư viện|nhân sự|nhà sách|bán sách|khách sạn)\s*(?:cơ bản|đơn giản)?", r"weather\s*app|ứng dụng thời tiết", r"crud\s*(?:api|app|cơ bản)",
 ]
 
 
+def metrics(description: Column) -> Column:
+    """The distinct snippets of a description that measure impact, in the order of the patterns."""
+    each = (F.regexp_extract_all(description, F.lit(f"(?iuU){p}"), F.lit(0)) for p in IMPACT)
+    return F.array_distinct(F.transform(F.concat(*each), lambda x: F.trim(x)))
+
+
 def project_depth(description: Column, skills: Column) -> Column:
     """A project's depth from 0 to 100, read from its description and the number of its skills."""
-    t = F.lower(F.coalesce(description, F.lit("")))
-    count = lambda tests: reduce(lambda a, b: a + b, (x.cast("int") for x in tests))
-    hits, metrics = count(F.contains(t, F.lit(w)) for w in COMPLEXITY), count(t.rlike(p) for p in IMPACT)
-    template = reduce(lambda a, b: a | b, (t.rlike(p) for p in EXERCISES))
+    said = F.coalesce(description, F.lit(""))
+    t = F.lower(said)
+    hits = reduce(lambda a, b: a + b, (F.contains(t, F.lit(w)).cast("int") for w in COMPLEXITY))
+    template = reduce(lambda a, b: a | b, (t.rlike(f"(?U){p}") for p in EXERCISES))
     total = (
-        30.0 - F.when(template, 15.0).otherwise(0.0) + F.least(hits * 8.0, F.lit(35.0)) + F.least(metrics * 10.0, F.lit(25.0)) + F.when(skills >= 6, 15.0).when(skills >= 3, 10.0).otherwise(0.0)
+        30.0 - F.when(template, 15.0).otherwise(0.0) + F.least(hits * 8.0, F.lit(35.0)) + F.least(F.size(metrics(said)) * 10.0, F.lit(25.0)) + F.when(skills >= 6, 15.0).when(skills >= 3, 10.0).otherwise(0.0)
         - F.when(F.length(F.trim(t)) < 60, 20.0).otherwise(0.0)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(total, 1)))
 
 
-def project_months(t: Column, as_of_year: int) -> Column:
-    """Months of a project: a range of dates, else months said, else years said after a word of duration, else three."""
+def project_months(t: Column, as_of_year: int | Column) -> Column:
+    """Months of a project: a range of dates, else months said, else years said after a word of duration, else three;
+    null for a number that is no integer."""
     span = r"(?iu)(\d{1,2})?[/-]?(\d{4})\s*[-–—]\s*(?:(\d{1,2})?[/-]?(\d{4})|present|hiện\s*tại|nay)"
-    part = lambda k, rest: F.coalesce(F.nullif(F.regexp_extract(t, span, k), F.lit("")).cast("int"), F.lit(rest))
+    part = lambda k, rest: F.coalesce(F.nullif(F.regexp_extract(t, span, k), F.lit("")).try_cast("int"), F.lit(rest))
     months = (part(4, as_of_year) - part(2, 0)) * 12 + part(3, 12) - part(1, 1)
     said = F.regexp_extract(t, r"(?iu)(\d+)\s*(?:tháng|months?|mos?)\b", 1)
     years = F.regexp_extract(t, r"(?iu)(?:thời\s*gian|thời\s*lượng|duration|kéo\s*dài)[:\s]+(\d+)\s*(?:năm|years?|yrs?)\b", 1)
-    return F.when(t.rlike(span), F.greatest(months, F.lit(1))).when(said != "", said.cast("int")).when(years != "", years.cast("int") * 12).otherwise(3)
+    return F.when(t.rlike(span), F.greatest(months, F.lit(1))).when(said != "", said.try_cast("int")).when(years != "", years.try_cast("int") * 12).otherwise(3)

@@ -116,7 +116,7 @@ def person_redaction(spark, sf_dir):
     )
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 82 WHEN 2 THEN 55 ELSE 23 END::DOUBLE AS depth, CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 17 WHEN 2 THEN 24 ELSE 7 END AS months FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 72 WHEN 2 THEN 55 ELSE 23 END::DOUBLE AS depth, CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 17 WHEN 2 THEN 24 ELSE 7 END AS months FROM part""")
 def project_facts(spark, sf_dir):
     """Depth and months read from a project's description."""
     k = F.col("p_size") % 4
