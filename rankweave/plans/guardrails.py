@@ -12,6 +12,9 @@ _q = guardrails.q
 _NORMAL = guardrails.sql_normalized("coalesce(text, '')")
 
 
+_LONG_SQL = "CASE WHEN conv_id % 50 = 0 THEN repeat(coalesce(text, '') || ' and ', 400) ELSE coalesce(text, '') END"
+
+
 def _clean_sql(source: str, key: str) -> str:
     return f"SELECT {key}, t, {guardrails.sql_sanitized('t')} AS clean FROM (SELECT {key}, {_NORMAL} AS t FROM {source})"
 
@@ -56,12 +59,14 @@ def gate_decision(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(guardrails.gate(F.col("text"))["action"].alias("action")).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN t = '' THEN 'degrade' WHEN len({guardrails.sql_secrets("t")}) > 0 THEN 'block' WHEN len(signals) > 0 THEN 'block' WHEN {guardrails.sql_sanitized("t")} <> t THEN 'sanitize' ELSE 'pass' END AS action
-FROM ({_signals_sql("conversations", "conv_id, turn")}) WHERE length(t) <= 20000""")
+@query(f"""WITH n AS (SELECT conv_id, turn, {guardrails.sql_normalized(_LONG_SQL)} AS n FROM conversations), c AS (SELECT conv_id, turn, length(n) > 20000 AS over, CASE WHEN length(n) > 20000 THEN rtrim(substr(n, 1, 20000), ' ') ELSE n END AS t FROM n),
+v AS (SELECT *, {guardrails.sql_folded("t")} AS view FROM c)
+SELECT conv_id, turn, CASE WHEN t = '' THEN 'degrade' WHEN len({guardrails.sql_secrets("t")}) > 0 THEN 'block' WHEN len({guardrails.sql_signals("lower(t)", "view")}) > 0 THEN 'block' WHEN clean = '' OR over THEN 'degrade' WHEN clean <> t THEN 'sanitize' ELSE 'pass' END AS action
+FROM (SELECT *, {guardrails.sql_sanitized("t")} AS clean FROM v)""")
 def chat_gate(spark, sf_dir):
-    """The gate of what people say in a chat: any signal blocks it."""
-    rows = table(spark, sf_dir, "conversations").where(F.length(guardrails.normalized(F.coalesce("text", F.lit("")))) <= 20_000)
-    return rows.select("conv_id", "turn", guardrails.gate(F.col("text"), "chat")["action"].alias("action"))
+    """The gate of what people say in a chat: any signal blocks it, and a text beyond the budget is cut. One turn in fifty is repeated until it is beyond."""
+    said = F.when(F.col("conv_id") % 50 == 0, F.repeat(F.concat(F.coalesce("text", F.lit("")), F.lit(" and ")), F.lit(400))).otherwise(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", guardrails.gate(said, "chat")["action"].alias("action"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages")

@@ -110,13 +110,17 @@ def json_payloads(spark, sf_dir):
     )
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN v = '' OR length(v) > 400 THEN 'OUTPUT_INVALID_SCHEMA' WHEN s <> v THEN 'OUTPUT_PII_DETECTED' WHEN NOT contains(lower(v), 'the') THEN 'OUTPUT_UNGROUNDED' END AS code
-FROM (SELECT conv_id, turn, v, {guardrails.sql_sanitized(guardrails.sql_normalized("v"))} AS s FROM (SELECT conv_id, turn, trim(coalesce(text, ''), {guardrails.q(guardrails.SPACES)}) AS v FROM conversations WHERE role = 'assistant')
-  WHERE len({guardrails.sql_secrets("v")}) = 0 AND NOT regexp_matches(v, {guardrails.q(guardrails.DISCLOSURE)}) AND NOT regexp_matches(v, {guardrails.q(guardrails.ARCHITECTURE)}) AND NOT regexp_matches(v, {guardrails.q(guardrails.STACK_TRACE)}))
-WHERE NOT (s <> v AND NOT contains(lower(s), 'the'))""")
+_TAILS = ["", "", "", " Traceback (most recent call last): x", " my system prompt says", " api_key=abcdef0123", " internal tables: a, b", " own-credential-0123", " mail a.b@c.org", ' File "x.py", line 3']
+_TAILED = "trim(coalesce(text, '') || [" + ", ".join(guardrails.q(t) for t in _TAILS) + f"][(conv_id * 3 + turn) % {len(_TAILS)} + 1], {guardrails.q(guardrails.SPACES)})"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN contains(v, 'own-credential-0123') THEN 'OUTPUT_SECRET_DETECTED' WHEN regexp_matches(v, {guardrails.q(guardrails.STACK_TRACE)}) THEN 'OUTPUT_INTERNAL_ERROR_LEAK'
+  WHEN regexp_matches(v, {guardrails.q(guardrails.DISCLOSURE)}) OR regexp_matches(v, {guardrails.q(guardrails.ARCHITECTURE)}) THEN 'OUTPUT_PROMPT_LEAKAGE' WHEN len({guardrails.sql_secrets("v")}) > 0 THEN 'OUTPUT_PII_DETECTED'
+  WHEN v = '' OR length(v) > 400 THEN 'OUTPUT_INVALID_SCHEMA' WHEN s <> n AND s = '' THEN 'OUTPUT_PII_DETECTED' WHEN NOT contains(lower(CASE WHEN s <> n THEN s ELSE v END), 'the') THEN 'OUTPUT_UNGROUNDED' WHEN s <> n THEN 'OUTPUT_PII_DETECTED' END AS code
+FROM (SELECT *, {guardrails.sql_sanitized("n")} AS s FROM (SELECT *, {guardrails.sql_normalized("v")} AS n FROM (SELECT conv_id, turn, {_TAILED} AS v FROM conversations WHERE role = 'assistant')))""")
 def output_checks(spark, sf_dir):
-    """What is wrong with the answers of a chat as generated texts that must rest on the word `the`."""
+    """What is wrong with the answers of a chat as generated texts that must rest on the word `the`; endings that break each rule are put behind some."""
+    tail = F.get(F.array(*map(F.lit, _TAILS)), F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(len(_TAILS))).cast("int"))
     said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    found = said.select("conv_id", "turn", guardrails.checked_output(F.col("text"), F.array(F.lit("the")), 400, "").alias("o"))
-    codes = ["OUTPUT_INVALID_SCHEMA", "OUTPUT_PII_DETECTED", "OUTPUT_UNGROUNDED"]
-    return found.where(F.col("o.code").isNull() | F.col("o.code").isin(codes)).select("conv_id", "turn", F.col("o.code").alias("code"))
+    checked = guardrails.checked_output(F.concat(F.coalesce("text", F.lit("")), tail), F.array(F.lit("the")), 400, "", ["own-credential-0123", "short"])
+    return said.select("conv_id", "turn", checked["code"].alias("code"))
