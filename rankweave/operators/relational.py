@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rankweave.sources.tables import kept
 
 
 def latest_per_key(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -68,6 +73,54 @@ def shared_out(rows: DataFrame, key: str, total: int) -> DataFrame:
     return keys.withColumn("_at", place).crossJoin(F.broadcast(n)).select(key, (F.floor(total / F.col("_n")) + (F.col("_at") < total % F.col("_n")).cast("long")).alias("quota"))
 
 
+def quota_across(rows: DataFrame, groups: str, key: str, quotas: list[tuple[int, int]], *order: Column) -> DataFrame:
+    """rows with the group that takes them, and their place in it: each group in turn takes the first rows by order, up to its quota, of keys that no
+    earlier group has taken, one row a key.
+
+    groups: an array column of the groups that a row may go to; quotas: (group, quota) in their turn, a list written in the code. No turn waits for
+    another: every group holds the first keys of its own order, a key that several hold goes to the earliest, the others move on to their next, until nobody loses
+    one. As all keys prefer the earliest group, that is what taking turns gives. No group can need more keys than all quotas together, so only
+    so many of each are kept, and rounds work on these. Rows without a key or group are never taken; an empty table gives no rows.
+    """
+    total = sum(q for _, q in quotas)
+    turn = F.create_map(*(F.lit(x) for i, (g, _) in enumerate(quotas) for x in (g, i)))
+    quota = F.create_map(*(F.lit(x) for i, (_, q) in enumerate(quotas) for x in (i, q)))
+    each = rows.withColumn("_turn", F.explode(F.array_distinct(F.array_compact(F.transform(groups, lambda g: F.try_element_at(turn, g)))))).where(F.col(key).isNotNull())
+    ordered = [F.struct(*order).alias("_order")]
+    best = each.select("_turn", F.col(key).alias("_key"), *ordered, F.struct(*rows.columns).alias("_row"))
+    best = best.groupBy("_turn", "_key").agg(F.min(F.struct("_order", "_row")).alias("b")).select("_turn", "_key", "b.*")
+    place = F.row_number().over(Window.partitionBy("_turn").orderBy("_order", "_key"))
+    now = kept(best.withColumn("_at", place).where(F.col("_at") <= total).withColumn("_lost", F.lit(False)), "quota")
+    while True:
+        left = F.sum((~F.col("_lost")).cast("int")).over(Window.partitionBy("_turn").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+        held = now.withColumn("_holds", ~F.col("_lost") & (left <= F.element_at(quota, F.col("_turn"))))
+        first = F.min(F.when(F.col("_holds"), F.col("_turn"))).over(Window.partitionBy("_key"))
+        after = kept(held.withColumn("_loses", F.col("_holds") & (F.col("_turn") > first)).withColumn("_lost", F.col("_lost") | F.col("_loses")), "quota")
+        if after.where("_loses").isEmpty():
+            break
+        now = after.drop("_holds", "_loses")
+    group = F.element_at(F.create_map(*(F.lit(x) for i, (g, _) in enumerate(quotas) for x in (i, g))), F.col("_turn"))
+    taken = after.where("_holds").withColumn("place", F.row_number().over(Window.partitionBy("_turn").orderBy("_at")))
+    return taken.select("_row.*", group.alias("taken_by"), "place")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with at, their number from 0 by order, over any number of tasks: sorted by range, numbered within tasks, shifted by the counts of the tasks
+    before. Rows that are equal by order get any of their numbers; an empty table gives none."""
+    schema = T.StructType([*rows.schema, T.StructField("_task", T.IntegerType()), T.StructField("_n", T.LongType())])
+
+    def run(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([task] * b.num_rows, pa.int32()), pa.array(range(n, n + b.num_rows), pa.int64())], names=schema.names)
+            n += b.num_rows
+
+    held = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "numbered")
+    before = F.sum("count").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))  # one row a task
+    shift = held.groupBy("_task").count().select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(shift), "_task").select(*rows.columns, (F.col("_before") + F.col("_n")).alias("at"))
+
+
 def diverse_sample(rows: DataFrame, group: str, profile: str, key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows of each group, first one of each profile (profiles in order), then any: by a seeded hash of the key."""
     order = [F.xxhash64(key, F.lit(seed)), F.col(key)]

@@ -18,6 +18,44 @@ TRANSITIONS = {
 }
 
 
+#: What each cause takes off a reputation.
+PENALTIES = {"timeout": -5, "withdrawal": -10, "no_show": -15}
+
+
+def compare_and_set(rows: DataFrame, changes: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows after the changes, the changes that were applied).
+
+    changes: (key, expected, wanted, rank, ..). A row whose column is what a change expects gets what it wants; of several such changes of a row the one of
+    the least rank counts (ties: by all columns). Changes that expect something else, or of keys that are not there, do nothing. rows has one row a key.
+    """
+    fits = changes.join(rows.select(key, F.col(column).alias("_now")), key).where(F.col("_now").eqNullSafe(F.col("expected"))).drop("_now")
+    others = [c for c in changes.columns if c not in (key, "rank")]
+    applied = fits.groupBy(key).agg(F.min(F.struct("rank", *others)).alias("c")).select(key, "c.*")
+    new = applied.select(key, F.col("wanted").alias("_wanted"), F.lit(True).alias("_hit"))
+    after = rows.join(new, key, "left").withColumn(column, F.when(F.col("_hit"), F.col("_wanted")).otherwise(F.col(column)))
+    return after.select(*rows.columns), applied.select(*changes.columns)
+
+
+def updated_from(rows: DataFrame, source: DataFrame, key: str, column: str, when: Column, *order: str) -> DataFrame:
+    """rows with the column taken from source's first row of the key by order, where ``when`` (over rows' columns) holds and source has the key; other rows stay."""
+    first = source.groupBy(key).agg(F.min(F.struct(*order, F.col(column).alias("_new"))).alias("s")).select(key, F.col("s._new").alias("_new"), F.lit(True).alias("_there"))
+    return rows.join(first, key, "left").withColumn(column, F.when(when & F.col("_there"), F.col("_new")).otherwise(F.col(column))).select(*rows.columns)
+
+
+def added_once(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old and the first row (by all columns) of each key of new that old lacks."""
+    fresh = new.join(old.select(key), key, "left_anti")
+    first = fresh.groupBy(key).agg(F.min(F.struct(*[c for c in old.columns if c != key])).alias("r")).select(key, "r.*")
+    return old.unionByName(first.select(*old.columns))
+
+
+def penalised(applied: DataFrame, key: str, subject: str) -> DataFrame:
+    """(idempotency_key, subject, cause, delta, key) of applied changes whose cause has a penalty."""
+    delta = F.create_map(*(F.lit(x) for pair in PENALTIES.items() for x in pair))
+    made = applied.withColumn("delta", F.try_element_at(delta, F.col("cause"))).where(F.col("delta").isNotNull())
+    return made.select(F.concat_ws(":", "cause", F.col(key).cast("string")).alias("idempotency_key"), subject, "cause", "delta", key)
+
+
 def clamped_fold(events: DataFrame, key: str, order: list[str], delta: str, start: int = 100, low: int = 0, high: int = 100) -> DataFrame:
     """(key, score, events): deltas added in order, the score clamped after each.
 

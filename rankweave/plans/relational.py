@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankweave.functions import wording
 from rankweave.operators import profiles, relational
 from rankweave.plans.registry import query
 from rankweave.sources import tables
@@ -225,3 +226,28 @@ def key_files(spark, sf_dir):
     path = F.concat(folder, k.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.when(k % 3 == 0, ".py").otherwise(".bin"))
     files = table(spark, sf_dir, "lineitem").select("l_orderkey", path.alias("path"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("content"))
     return relational.key_files(files, "l_orderkey", "path", "content", 60).select("repo", "path", "size")
+
+
+_GROUPS = [(1, ["small "], ["bolt"]), (2, ["ring", "gear"], []), (3, ["red ", "blue "], ["ring"]), (4, ["widget", "gizmo", "bolt"], []), (5, ["hot ", "small ", "ring"], ["gear"])]
+_QUOTAS = [(3, 20), (1, 35), (2, 60), (5, 40), (4, 500)]
+_IN_GROUP = {g: f"({' OR '.join(f"contains(p_name, '{w}')" for w in inc)})" + "".join(f" AND NOT contains(p_name, '{w}')" for w in exc) for g, inc, exc in _GROUPS}
+_TAKEN = lambda i: " UNION ALL ".join(f"SELECT key FROM t{j}" for j in range(i)) or "SELECT NULL WHERE false"
+_TURNS = ", ".join(
+    f"t{i} AS (SELECT *, {g} AS taken_by, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM (SELECT * FROM k WHERE {_IN_GROUP[g]} AND key NOT IN ({_TAKEN(i)}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY p_retailprice DESC, p_partkey) = 1) QUALIFY place <= {q})"
+    for i, (g, q) in enumerate(_QUOTAS)
+)
+
+
+@query(f"WITH k AS (SELECT *, p_name || ' ' || p_brand AS key FROM part), {_TURNS} " + " UNION ALL ".join(f"SELECT p_partkey, taken_by, place::INT AS place FROM t{i}" for i in range(len(_QUOTAS))))
+def quota_across(spark, sf_dir):
+    """The dearest parts of each group by words of their name, each name and brand for the first group in turn only."""
+    rows = table(spark, sf_dir, "part").withColumn("key", F.concat_ws(" ", "p_name", "p_brand"))
+    rows = rows.withColumn("groups", wording.labels(F.col("p_name"), _GROUPS))
+    return relational.quota_across(rows, "groups", "key", _QUOTAS, -F.col("p_retailprice"), F.col("p_partkey")).select("p_partkey", "taken_by", "place")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")
+def numbered_rows(spark, sf_dir):
+    """All orders numbered by price, over many tasks."""
+    rows = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    return relational.numbered(rows, "o_totalprice", "o_orderkey").select("o_orderkey", F.col("at").alias("place"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from rankweave.operators import relational, stateful
 from rankweave.plans.registry import query
-from rankweave.sources.tables import table
+from rankweave.sources.tables import scratch, table
 from rankweave.streaming import events as streams
+from rankweave.streaming import state as live
 
 _STAGES = list(stateful.TRANSITIONS)
 _STAGE_SQL = "[" + ", ".join(f"'{s}'" for s in _STAGES) + "][1 + (event_id % 7)]"
@@ -123,3 +124,78 @@ def stream_timeout(spark, sf_dir):
     """Pending keys that were answered or ran out."""
     stages = streams.read_events(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("event_id") % 2 == 0, "pending").otherwise("answered").alias("stage"))
     return streams.drained(streams.timeouts(stages), "stream-timeout")
+
+
+_EXPECTS = "CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'screening' ELSE 'interview' END"
+_ITEMS = "items AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'screening' ELSE 'interview' END AS status, o_orderdate + INTERVAL 3 DAY AS deadline FROM orders)"
+_AS_OF = "(SELECT max(o_orderdate) - INTERVAL 400 DAY FROM orders)"
+_CHANGES = f"""changes AS (SELECT o_orderkey, o_custkey, 'pending' AS expected, 'rejected' AS wanted, 0 AS rank, 'timeout' AS cause FROM items WHERE deadline < {_AS_OF}
+UNION ALL SELECT o_orderkey, o_custkey, {_EXPECTS}, 'withdrawn', 1, 'withdrawal' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, 'interview', 'rejected', 2, 'no_show' FROM orders WHERE o_orderkey % 5 = 0),
+applied AS (SELECT * FROM changes c JOIN items i USING (o_orderkey) WHERE i.status = c.expected QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY rank) = 1)"""
+
+
+def _changed(spark, sf_dir):
+    """Orders as applications, after a stream of their changes ran twice over the same files."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "screening").otherwise("interview")
+    items = orders.select("o_orderkey", "o_custkey", status.alias("status"), (F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("deadline"))
+    none = spark.createDataFrame([], "idempotency_key string, o_custkey bigint, cause string, delta int, o_orderkey bigint")
+    tables = live.Tables(spark, scratch(spark, "applications"))
+    tables.write(items, none)
+    as_of = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 400 DAYS")).alias("as_of")).first()["as_of"]
+    k = F.col("o_orderkey")
+    change = lambda rows, expected, wanted, rank, cause: rows.select("o_orderkey", "o_custkey", expected.alias("expected"), F.lit(wanted).alias("wanted"), F.lit(rank).alias("rank"), F.lit(cause).alias("cause"))
+    for _ in range(2):
+        said = spark.readStream.schema(orders.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/orders.parquet*")
+        late = change(said.where(F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS") < F.lit(as_of)), F.lit("pending"), "rejected", 0, "timeout")
+        withdrawn = change(said.where(k % 3 == 0), F.when(k % 4 == 0, "pending").when(k % 4 == 1, "screening").otherwise("interview"), "withdrawn", 1, "withdrawal")
+        missed = change(said.where(k % 5 == 0), F.lit("interview"), "rejected", 2, "no_show")
+        run = live.changing(late.union(withdrawn).union(missed), tables, "o_orderkey", "status", lambda applied: stateful.penalised(applied, "o_orderkey", "o_custkey")).start()
+        run.awaitTermination()
+    return tables.read()
+
+
+@query(f"WITH {_ITEMS}, {_CHANGES} SELECT o_orderkey, coalesce(wanted, status) AS status, cause FROM items LEFT JOIN (SELECT o_orderkey, wanted, cause FROM applied) USING (o_orderkey)")
+def stream_changes(spark, sf_dir):
+    """Each application's status after timeouts, withdrawals and missed interviews, and what was held against it; the stream came twice."""
+    items, effects = _changed(spark, sf_dir)
+    return items.join(effects.select("o_orderkey", "cause"), "o_orderkey", "left").select("o_orderkey", "status", "cause")
+
+
+@query(f"""WITH {_ITEMS}, {_CHANGES}, d AS (SELECT i.o_custkey, list(CASE cause WHEN 'timeout' THEN -5 WHEN 'withdrawal' THEN -10 ELSE -15 END ORDER BY o_orderkey) AS d FROM applied JOIN items i USING (o_orderkey) GROUP BY ALL)
+SELECT o_custkey, list_reduce(list_prepend(100, d), lambda s, x: greatest(0, least(100, s + x)))::BIGINT AS score, len(d)::BIGINT AS events FROM d""")
+def stream_penalties(spark, sf_dir):
+    """Each customer's reputation after the penalties of those changes, each counted once."""
+    return stateful.clamped_fold(_changed(spark, sf_dir)[1], "o_custkey", ["o_orderkey"], "delta")
+
+
+@query(f"""WITH o AS (SELECT user_id, list({_DELTA} ORDER BY ts, event_id) AS d FROM events GROUP BY user_id)
+SELECT user_id, list_reduce(list_prepend(100, d), lambda s, x: greatest(0, least(100, s + x)))::BIGINT AS score, len(d)::BIGINT AS events FROM o""")
+def stream_reputation(spark, sf_dir):
+    """Each user's reputation from keyed state, as its last row says."""
+    delta = F.when(F.col("event_id") % 3 == 0, -5).when(F.col("event_id") % 3 == 1, -10).otherwise(12)
+    said = streams.read_events(spark, sf_dir).withColumn("delta", delta)
+    rows = streams.drained(live.reputation(said, "user_id", ["ts", "event_id"], "delta"), "stream-reputation")
+    last = rows.groupBy("user_id").agg(F.max(F.struct("events", "score")).alias("l"))
+    return last.select("user_id", "l.score", "l.events")
+
+
+_LIMIT = "list_reduce(list_prepend({{'q': []::BIGINT[], 'n': 0::BIGINT}}, list_transform(t, lambda x: {{'q': [x], 'n': 0::BIGINT}})), lambda s, x: CASE WHEN len(list_filter(s.q, lambda y: y > x.q[1] - {micros})) < {most} THEN {{'q': list_append(list_filter(s.q, lambda y: y > x.q[1] - {micros}), x.q[1]), 'n': s.n + 1}} ELSE {{'q': list_filter(s.q, lambda y: y > x.q[1] - {micros}), 'n': s.n}} END).n"
+
+
+@query("SELECT user_id, " + _LIMIT.format(micros=3_600_000_000, most=3) + " AS admitted, len(t)::BIGINT AS events FROM (SELECT user_id, list(epoch_us(ts) ORDER BY ts, event_id) AS t FROM events GROUP BY user_id)")
+def stream_limiter(spark, sf_dir):
+    """How many of each user's events a live limiter of three an hour lets in."""
+    said = streams.read_events(spark, sf_dir).select("event_id", "user_id", "ts")
+    rows = streams.drained(live.limited(said, "user_id", "ts", "event_id", 3, 3600), "stream-limiter")
+    return rows.groupBy("user_id").agg(F.sum(F.col("allowed").cast("bigint")).alias("admitted"), F.count("*").alias("events"))
+
+
+@query("SELECT DISTINCT c_custkey AS \"user\", 'submitted:' || o_orderkey || ':' || c_custkey AS key FROM orders JOIN customer ON c_nationkey = o_orderkey % 25 WHERE o_orderstatus = 'P' AND c_acctbal > 8000")
+def stream_notices(spark, sf_dir):
+    """A notice to each well-funded customer of a nation for each pending order that falls to the nation."""
+    orders = table(spark, sf_dir, "orders")
+    said = spark.readStream.schema(orders.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/orders.parquet*").where("o_orderstatus = 'P'")
+    said = said.select("o_orderkey", (F.col("o_orderkey") % 25).alias("company"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    members = table(spark, sf_dir, "customer").where("c_acctbal > 8000").select(F.col("c_nationkey").cast("bigint").alias("company"), F.col("c_custkey").alias("user"))
+    return streams.drained(live.notices(said, members, "company", "o_orderkey", "submitted", "at", "36500 days"), "stream-notices").select("user", "key")

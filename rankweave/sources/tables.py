@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,24 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows._jdf.rdd().getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A folder in the shared checkpoint folder; where none is set in a local session, in a temporary one that becomes it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='rankweave-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """The rows of df, written once as Parquet in the shared folder and read again, so that a loop's lineage ends there."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV file with a header (a byte order mark is skipped) and quoted line breaks."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
