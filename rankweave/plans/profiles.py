@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import text
-from rankweave.operators import profiles, skills
+from rankweave.operators import profiles, seeded, skills
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import _TAXONOMY
 from rankweave.sources.tables import table
@@ -127,3 +127,14 @@ def guard_violations(spark, sf_dir):
 def dropped_subsets(spark, sf_dir):
     items = F.sequence(F.lit(1), (F.col("item_id") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(profiles.dropped_subsets(items, 1, 2)).cast("long").alias("subsets"))
+
+
+_POOL = ["rust", "scala", "perl", "ada", "lua", "zig", "nim"]
+
+
+@query()
+def seeded_decoys(spark, sf_dir):
+    """A decoy for each ten documents, spliced of two and with skills swapped; the tests hold it to its seed under any partitioning."""
+    docs = table(spark, sf_dir, "documents")
+    made = seeded.decoys(docs, "doc_id", skills.taxonomy(spark), docs.count() // 10, _POOL, seed=7)
+    return made.select("id", F.get("sources", F.lit(0)).alias("first"), F.get("sources", F.lit(1)).alias("second"), F.md5("text").alias("digest"))
