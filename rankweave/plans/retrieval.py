@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import numbers, text
 from rankweave.operators import retrieval, skills
 from rankweave.plans.registry import query
-from rankweave.sources.tables import table
+from rankweave.sources.tables import kept, table
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _TAXONOMY = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in skills.TAXONOMY) + ") AS taxonomy(variant, slug, category, role)"
@@ -123,9 +123,11 @@ def related_skills(spark, sf_dir):
     return skills.related(skills.taxonomy(spark)).select("slug", F.array_join("related", ",").alias("related"))
 
 
-def _skill_sets(spark, sf_dir):
-    terms = skills.taxonomy(spark)
-    owned = skills.extract(table(spark, sf_dir, "documents"), terms, "doc_id").groupBy("doc").agg(F.collect_set("slug").alias("owned"))
+def _skill_sets(spark, sf_dir, pool: DataFrame | None = None):
+    """(skills wanted by each item, skills owned by each document); with a pool, of the documents in it alone."""
+    terms, docs = skills.taxonomy(spark), table(spark, sf_dir, "documents")
+    docs = docs if pool is None else docs.join(pool.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    owned = skills.extract(docs, terms, "doc_id").groupBy("doc").agg(F.collect_set("slug").alias("owned"))
     wanted = skills.extract(table(spark, sf_dir, "benchmark"), terms, "item_id").groupBy(F.col("doc").alias("query")).agg(F.collect_set("slug").alias("wanted"))
     return wanted, owned
 
@@ -142,8 +144,8 @@ def coverage_jaccard(spark, sf_dir):
 def _candidates(spark, sf_dir):
     """Rows for the composite: the union of both lists with skills and constraints; items of odd ids have confirmed constraints."""
     lexical, near = _lists(spark, sf_dir)
-    pool = lexical.select("query", "doc", F.col("score").alias("bm25")).join(near.select("query", "doc", "distance"), ["query", "doc"], "full")
-    wanted, owned = _skill_sets(spark, sf_dir)
+    pool = kept(lexical.select("query", "doc", F.col("score").alias("bm25")).join(near.select("query", "doc", "distance"), ["query", "doc"], "full"), "pool")
+    wanted, owned = _skill_sets(spark, sf_dir, pool)
     none = F.array().cast("array<string>")
     rows = pool.join(wanted, "query", "left").join(owned, "doc", "left")
     rows = rows.withColumns({"wanted": F.coalesce("wanted", none), "owned": F.coalesce("owned", none), "bm25": F.coalesce("bm25", F.lit(0.0))})
@@ -242,3 +244,48 @@ def vector_search_within(spark, sf_dir):
     """The nearest vectors of a query's own label, at most 50 whatever is asked for."""
     best = retrieval.top(_dense(spark, sf_dir, min(80, 50), label="label"), 50, score="distance", descending=False)
     return best.select("query", "doc", F.lit(1).alias("label_match"), "place")
+
+
+_WORDED = """named AS (SELECT doc_id, list(slug ORDER BY slug) AS slugs FROM skills GROUP BY doc_id),
+asked AS (SELECT item_id, list(DISTINCT slug ORDER BY slug) AS slugs FROM {hits} GROUP BY item_id),
+docs_with AS (SELECT d.doc_id, trim(d.text || chr(10) || array_to_string(list_concat(slugs, list_transform(slugs, lambda s: replace(s, '_', ' '))), ' ')) AS text FROM (SELECT doc_id, text, coalesce(slugs, []) AS slugs FROM documents LEFT JOIN named USING (doc_id)) d),
+items_with AS (SELECT item_id, trim(array_to_string(list_filter(list_concat([text], slugs, list_transform(slugs, lambda s: replace(s, '_', ' '))), lambda x: x <> ''), ' ')) AS text FROM (SELECT item_id, text, coalesce(slugs, []) AS slugs FROM benchmark LEFT JOIN asked USING (item_id)))"""
+_ITEM_SKILLS = f"(SELECT DISTINCT item_id, slug FROM (SELECT item_id, ' ' || {text.sql_matched('text')} || ' ' AS view FROM benchmark) JOIN {_TAXONOMY} ON contains(view, ' ' || variant || ' '))"
+
+
+def _named(spark, rows: DataFrame, key: str) -> DataFrame:
+    """rows with the sorted names of the skills that each text names."""
+    of = skills.extract(rows, skills.taxonomy(spark), key).groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
+    return rows.join(of, key, "left").withColumn("slugs", F.coalesce("slugs", F.array().cast("array<string>")))
+
+
+@query(f"WITH {_SKILLS}, {_WORDED.format(hits=_ITEM_SKILLS)}, {_bm25_sql('docs_with', 'doc_id', 'items_with', 'item_id').strip()}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM lexical) SELECT query AS item_id, doc AS doc_id, score, place FROM r WHERE place <= 10")
+def bm25_with_skills(spark, sf_dir):
+    """For every item its ten best documents by BM25, over texts with the names of the skills that they name."""
+    docs = _named(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", skills.bm25_document(F.col("text"), F.col("slugs")).alias("text"))
+    items = _named(spark, table(spark, sf_dir, "benchmark"), "item_id").select("item_id", skills.bm25_query(F.col("text"), F.col("slugs")).alias("text"))
+    return retrieval.top(retrieval.bm25_top(docs, items, "doc_id", "item_id", 10), 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "place")
+
+
+@query(f"""WITH {_SKILLS}, a AS (SELECT DISTINCT slug, category FROM {_TAXONOMY}), r AS (SELECT a.slug, b.slug AS other, row_number() OVER (PARTITION BY a.slug ORDER BY b.slug) AS n FROM a JOIN a b ON a.category = b.category AND a.slug <> b.slug),
+near AS (SELECT DISTINCT doc_id, other FROM skills JOIN r USING (slug) WHERE n <= {skills.RELATED})
+SELECT doc_id AS doc, string_agg(other, ',' ORDER BY other) AS related FROM near WHERE (doc_id, other) NOT IN (SELECT doc_id, slug FROM skills) GROUP BY doc_id""")
+def related_of_documents(spark, sf_dir):
+    """The skills related to those that a document names, without these."""
+    terms = skills.taxonomy(spark)
+    owned = skills.extract(table(spark, sf_dir, "documents"), terms, "doc_id")
+    near = owned.join(F.broadcast(skills.related(terms)), "slug").select("doc", F.explode("related").alias("slug")).distinct()
+    return near.join(owned, ["doc", "slug"], "left_anti").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("related"))
+
+
+@query(f"""WITH h AS {_ITEM_SKILLS}, c AS (SELECT item_id, slug, min(category) AS c, min(role) AS r FROM h JOIN {_TAXONOMY} USING (slug) GROUP BY item_id, slug),
+w AS (SELECT item_id, flatten(list([slug, c, r] ORDER BY slug)) AS every FROM c GROUP BY item_id), d AS (SELECT item_id, list_filter(every, lambda x, i: list_position(every, x) = i) AS once FROM w)
+SELECT item_id, md5(CASE WHEN once IS NULL THEN text ELSE text || chr(10) || array_to_string(list_transform(once, lambda x: replace(x, '_', ' ')), ' ') END) AS digest, coalesce(len(once), 0) AS words FROM benchmark LEFT JOIN d USING (item_id)""")
+def expanded_items(spark, sf_dir):
+    """Items widened by the categories of the skills that they name."""
+    terms = skills.taxonomy(spark)
+    items = table(spark, sf_dir, "benchmark")
+    of = skills.extract(items, terms, "item_id").join(F.broadcast(skills.categories(terms)), "slug")
+    of = of.groupBy(F.col("doc").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("slug", "categories"))), lambda x: x["categories"]).alias("found"))
+    rows = items.join(of, "item_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<array<string>>")))
+    return rows.select("item_id", F.md5(skills.expanded(F.col("text"), F.col("found"))).alias("digest"), F.size(F.array_distinct(F.flatten("found"))).cast("long").alias("words"))
