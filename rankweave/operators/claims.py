@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.functions import guardrails
+from rankweave.operators import skills
+
 # Verbs of use.
 ACTIONS = "xây dựng|thiết kế|tối ưu|triển khai|phát triển|tích hợp|xử lý|build|design|optimize|implement|develop|integrate|refactor".split("|")
 # Bands of a repository's stars with the scores of completeness, optimisation and cleanliness, and the languages in wide use.
@@ -206,3 +209,26 @@ def dense_input_problems(vector: Column, model: Column, wanted_model: str, dim:
     """True for a row whose vector can't be compared: another model's, of another length, or none."""
     return vector.isNull() | F.coalesce(model != wanted_model, F.lit(True)) | (F.size(vector) != dim)
 
+
+
+def ingest_record(docs: DataFrame, key: str, text_col: str, summary_col: str, terms: DataFrame, vectors: DataFrame) -> DataFrame:
+    """A row for each document with what its ingest has to report: chars and words of its text, marks left where personal data was, skills that the summary
+    names (production_count), that the text names (full_count), lost and gained between them, recall (null without a skill in the text), the summary's
+    chars and whether it is blank, its vector's dim and norm.
+
+    terms: the taxonomy, a small table; vectors: (key, embedding), one row a key. Null texts count as empty; a key is one document; an empty table gives no rows.
+    """
+    rows = docs.select(key, F.coalesce(text_col, F.lit("")).alias("_text"), F.coalesce(summary_col, F.lit("")).alias("_summary"))
+    slugs = lambda c, name: skills.extract(rows, terms, key, c).groupBy(F.col("doc").alias(key)).agg(F.collect_set("slug").alias(name))
+    none = F.array().cast("array<string>")
+    rows = rows.join(slugs("_text", "_full"), key, "left").join(slugs("_summary", "_own"), key, "left").join(vectors, key, "left")
+    rows = rows.withColumns({"_full": F.coalesce("_full", none), "_own": F.coalesce("_own", none)})
+    body = guardrails.let(guardrails.normalized(F.col("_text")), guardrails.sanitized)["value"]
+    count = lambda c: F.size(c).cast("long")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return rows.select(
+        key, F.length("_text").cast("long").alias("chars"), F.regexp_count("_text", F.lit(r"\S+")).cast("long").alias("words"), F.regexp_count(body, F.lit(r"\[REDACTED_[A-Z]+\]")).cast("long").alias("redacted"),
+        count("_own").alias("production_count"), count("_full").alias("full_count"), count(F.array_except("_full", "_own")).alias("lost"), count(F.array_except("_own", "_full")).alias("gained"),
+        F.when(F.size("_full") > 0, F.round(F.size("_own") / F.size("_full"), 3)).alias("recall"), F.length("_summary").cast("long").alias("summary_chars"), (F.trim("_summary") == "").alias("summary_empty"),
+        F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dim"), F.round(norm, 4).alias("norm"),
+    )

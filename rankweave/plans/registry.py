@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from rankweave.plans import evaluation, guardrails, profiles, relational, resumes, retrieval, routing, stateful, wording, claims  # noqa: F401
+    from rankweave.plans import evaluation, guardrails, profiles, records, relational, resumes, retrieval, routing, stateful, wording, claims  # noqa: F401
 
 
 load()
