@@ -149,3 +149,62 @@ def reason(owned: Column, wanted: Column, score: Column, rank: Column, total: Co
         F.when(F.size(hits) > 0, said(0, first(hits, 5))).when((F.size(own) > 0) & (F.size(asked) > 0), said(1, first(own, 3)))
         .when(F.size(own) > 0, said(2, first(own, 3))).otherwise(said(3, F.lit("")))
     )
+
+
+#: Fixed value: what is recommended where nothing is to be mended.
+NOTHING_MORE = "Strong match! Focus on preparing for role-specific interviews."
+
+
+def _some(condition: Column, said: Column) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), said)
+
+
+def _listed(items: Column, most: int) -> Column:
+    return F.array_join(F.slice(items, 1, most), ", ")
+
+
+def strengths(matched: Column, impact: Column, active: Column, shown_years: Column, expected_years: Column, level: Column) -> Column:
+    """What speaks for a profile against a benchmark: matched skills, skills with impact, skills in use, enough years. Null arrays count as empty."""
+    said = F.array(
+        _some(F.size(matched) > 0, F.concat(F.lit("Kỹ năng cốt lõi đáp ứng chuẩn ngành: "), _listed(matched, 8))),
+        _some(F.size(impact) > 0, F.concat(F.lit("Kỹ năng thực chiến có bằng chứng dự án mạnh: "), _listed(impact, 5))),
+        _some(F.size(active) > 0, F.concat(F.lit("Kỹ năng được sử dụng trực tiếp trong công việc/dự án: "), _listed(active, 5))),
+        _some((shown_years >= expected_years) & (expected_years > 0), F.concat(F.lit("Kinh nghiệm thực tế ("), shown_years.cast("double").cast("string"), F.lit(" năm) đáp ứng tốt yêu cầu cấp bậc "), F.upper(level))),
+    )
+    return F.array_compact(said)
+
+
+def weaknesses(missing: Column, ghosts: Column, shown_years: Column, expected_years: Column) -> Column:
+    """What speaks against it: missing skills, skills without a project, too few years."""
+    said = F.array(
+        _some(F.size(missing) > 0, F.concat(F.lit("Kỹ năng trọng tâm của ngành cần bổ sung: "), _listed(missing, 8))),
+        _some(F.size(ghosts) > 0, F.concat(F.lit("Kỹ năng thiếu dự án chứng minh (Ghost Skills): "), _listed(ghosts, 5))),
+        _some(shown_years < expected_years, F.concat(F.lit("Kinh nghiệm thực chiến ("), shown_years.cast("double").cast("string"), F.lit(" năm) còn thấp hơn chuẩn kỳ vọng ("), expected_years.cast("string"), F.lit(" năm)"))),
+    )
+    return F.array_compact(said)
+
+
+def recommendations(missing: Column, prerequisites: Column, experience: Column, market: Column) -> Column:
+    """What to do next: the first three missing skills, what comes before each (a map of skill to skills), experience below 60, market level below 70;
+    an encouragement where nothing is to be said. Null scores say nothing."""
+    top = F.slice(F.coalesce(missing, F.array().cast("array<string>")), 1, 3)
+    before = F.transform(top, lambda s: F.when(F.size(F.try_element_at(prerequisites, s)) > 0, F.concat(F.lit("Before learning "), s, F.lit(", consider: "), _listed(F.try_element_at(prerequisites, s), 2))))
+    said = F.array_compact(F.concat(
+        F.array(_some(F.size(top) > 0, F.concat(F.lit("Focus on these critical skills: "), F.array_join(top, ", ")))), before,
+        F.array(
+            _some(experience < 60, F.lit("Consider taking on more responsibilities or projects to demonstrate growth")),
+            _some(market < 70, F.lit("Your seniority level may not fully match this position. Consider roles at a slightly different level.")),
+        ),
+    ))
+    return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(NOTHING_MORE)))
+
+
+def warnings(red_flags: Column, confidence: Column, missing: Column, experience: Column, match_rate: Column) -> Column:
+    """What an evaluation's reader should know: red flags, little data, over five missing skills, a gap of experience, a low rate of matches."""
+    flags = F.transform(F.coalesce(red_flags, F.array().cast("array<string>")), lambda x: F.concat(F.lit("[Cảnh báo rủi ro] "), x))
+    said = F.array(
+        _some(confidence < 0.6, F.lit("Dữ liệu đầu vào hạn chế, độ chính xác của đánh giá có thể bị ảnh hưởng.")),
+        _some(F.size(missing) > 5, F.concat(F.lit("Có "), F.size(missing).cast("string"), F.lit(" kỹ năng quan trọng bị thiếu."))),
+        _some(experience < 50, F.lit("Chênh lệch kinh nghiệm đáng kể với yêu cầu.")), _some(match_rate < 30, F.lit("Tỷ lệ match kỹ năng thấp, cần đánh giá kỹ hơn về khả năng học hỏi.")),
+    )
+    return F.concat(flags, F.array_compact(said))

@@ -43,10 +43,11 @@ def found(rows: DataFrame, view: str, terms: DataFrame, keep: list[str]) -> Data
     return named.join(F.broadcast(terms.select("variant", "slug")), "variant").select(*keep, "slug").distinct()
 
 
-def extract(docs: DataFrame, terms: DataFrame, doc_id: str, text_col: str = "text") -> DataFrame:
-    """(doc, slug): each skill a document names by one of its variants; terms is a small dimension table."""
+def extract(docs: DataFrame, terms: DataFrame, doc_id: str, text_col: str = "text", near: bool = False) -> DataFrame:
+    """(doc, slug): each skill a document names by one of its variants, or, if near, by a word that nearly is one (``fuzzy``); terms is a small dimension table."""
     views = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text_col))).select("doc", text.matched(F.col(text_col)).alias("view"))
-    return found(views, "view", terms, ["doc"])
+    exact = found(views, "view", terms, ["doc"])
+    return exact.union(fuzzy(docs, terms, doc_id, text_col).select("doc", "slug")).distinct() if near else exact
 
 
 def related(terms: DataFrame) -> DataFrame:
@@ -92,13 +93,20 @@ def protected(matched: Column, terms: list[tuple]) -> Column:
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """Normalised insert-delete similarity in percent: 200 * longest common subsequence / both lengths."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+    """Normalised insert-delete similarity in percent: 200 * longest common subsequence / both lengths.
+
+    The subsequence's length is counted bit-parallel: a zero in ``rows`` for each letter of a that it uses, one addition for each letter of b.
+    """
+    if not a and not b:
+        return 100.0
+    places, full = {}, (1 << len(a)) - 1
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    rows = full
+    for y in b:
+        hits = rows & places.get(y, 0)
+        rows = (rows + hits | rows - hits) & full
+    return 200.0 * (len(a) - rows.bit_count()) / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())

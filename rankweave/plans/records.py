@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.functions import guardrails, records, text
+from rankweave.functions import guardrails, records, text, wording
 from rankweave.operators import claims, skills
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import _TAXONOMY
@@ -90,3 +90,37 @@ def ingest_records(spark, sf_dir):
     docs = spread(docs.withColumn("summary", F.regexp_extract("text", r"^[^.\n]*", 0)))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return claims.ingest_record(docs, "doc_id", "text", "summary", terms, vectors)
+
+
+_WANTED = ["thing", "ertion", "inthe", "mente", "onher", "thble", "thtion"]
+_LACKING = "[" + ", ".join(f"'{w}'" for w in _WANTED) + "]"
+_CUT = lambda xs, n: f"array_to_string({xs}[1:{n}], ', ')"
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT doc_id, text FROM documents), f AS {_HITS("text")}, o AS (SELECT doc_id, list(slug ORDER BY slug) AS owned FROM f GROUP BY doc_id),
+r AS (SELECT doc_id, coalesce(owned, []) AS owned, (doc_id % 7)::DOUBLE AS years, (doc_id % 97)::DOUBLE AS score, (doc_id % 11) / 10.0 AS confidence FROM p LEFT JOIN o USING (doc_id)),
+s AS (SELECT *, list_filter({_LACKING}, lambda x: list_contains(owned, x)) AS matched, list_filter({_LACKING}, lambda x: NOT list_contains(owned, x)) AS missing, list_filter(owned, lambda x: NOT list_contains({_LACKING}, x)) AS other FROM r)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN len(matched) > 0 THEN 'Kỹ năng cốt lõi đáp ứng chuẩn ngành: ' || {_CUT("matched", 8)} END, CASE WHEN len(other) > 0 THEN 'Kỹ năng thực chiến có bằng chứng dự án mạnh: ' || {_CUT("other", 5)} END,
+    CASE WHEN len(owned) > 0 THEN 'Kỹ năng được sử dụng trực tiếp trong công việc/dự án: ' || {_CUT("owned", 5)} END, CASE WHEN years >= 3 THEN 'Kinh nghiệm thực tế (' || years || ' năm) đáp ứng tốt yêu cầu cấp bậc MIDDLE' END], lambda x: x IS NOT NULL), chr(10)) AS strengths,
+  array_to_string(list_filter([CASE WHEN len(missing) > 0 THEN 'Kỹ năng trọng tâm của ngành cần bổ sung: ' || {_CUT("missing", 8)} END, CASE WHEN len(other) > 0 THEN 'Kỹ năng thiếu dự án chứng minh (Ghost Skills): ' || {_CUT("other", 5)} END,
+    CASE WHEN years < 3 THEN 'Kinh nghiệm thực chiến (' || years || ' năm) còn thấp hơn chuẩn kỳ vọng (3 năm)' END], lambda x: x IS NOT NULL), chr(10)) AS weaknesses,
+  array_to_string(list_filter(list_concat(list_concat([CASE WHEN len(missing) > 0 THEN 'Focus on these critical skills: ' || {_CUT("missing", 3)} END], list_transform(missing[1:3], lambda x: CASE x WHEN 'thing' THEN 'Before learning thing, consider: a, b' WHEN 'mente' THEN 'Before learning mente, consider: c' END)),
+    [CASE WHEN score < 60 THEN 'Consider taking on more responsibilities or projects to demonstrate growth' END, CASE WHEN score < 70 THEN 'Your seniority level may not fully match this position. Consider roles at a slightly different level.' END, CASE WHEN len(missing) = 0 AND score >= 70 THEN '{wording.NOTHING_MORE}' END]), lambda x: x IS NOT NULL), chr(10)) AS recommended,
+  array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN '[Cảnh báo rủi ro] five' END, CASE WHEN confidence < 0.6 THEN 'Dữ liệu đầu vào hạn chế, độ chính xác của đánh giá có thể bị ảnh hưởng.' END, CASE WHEN len(missing) > 5 THEN 'Có ' || len(missing) || ' kỹ năng quan trọng bị thiếu.' END,
+    CASE WHEN score < 50 THEN 'Chênh lệch kinh nghiệm đáng kể với yêu cầu.' END, CASE WHEN len(matched) * 100 / 7.0 < 30 THEN 'Tỷ lệ match kỹ năng thấp, cần đánh giá kỹ hơn về khả năng học hỏi.' END], lambda x: x IS NOT NULL), chr(10)) AS warned FROM s""")
+def assessment_texts(spark, sf_dir):
+    """Strengths, weaknesses, recommendations and warnings of each document as a profile, by the skills that it names; years and scores by its id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    owned = skills.extract(docs, skills.taxonomy(spark), "doc_id").groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("slug")).alias("owned"))
+    none, wanted, k = F.array().cast("array<string>"), F.array(*map(F.lit, _WANTED)), F.col("doc_id")
+    rows = docs.select("doc_id").join(owned, "doc_id", "left").withColumn("owned", F.coalesce("owned", none))
+    rows = rows.withColumns({"matched": F.array_intersect(wanted, "owned"), "missing": F.array_except(wanted, "owned"), "other": F.array_except("owned", wanted)})
+    years, score = (k % 7).cast("double"), (k % 97).cast("double")
+    before = F.create_map(F.lit("thing"), F.array(*map(F.lit, "abc")), F.lit("mente"), F.array(F.lit("c")), F.lit("onher"), none)
+    c = F.col
+    said = {
+        "strengths": wording.strengths(c("matched"), c("other"), c("owned"), years, F.lit(3), F.lit("middle")), "weaknesses": wording.weaknesses(c("missing"), c("other"), years, F.lit(3)),
+        "recommended": wording.recommendations(c("missing"), before, score, score),
+        "warned": wording.warnings(F.when(k % 5 == 0, F.array(F.lit("five"))), (k % 11) / 10.0, c("missing"), score, F.size("matched") * 100 / 7.0),
+    }
+    return rows.select("doc_id", *(F.array_join(v, "\n").alias(n) for n, v in said.items()))
