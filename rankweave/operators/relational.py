@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankweave.functions import wording
 from rankweave.sources.tables import kept
 
 
@@ -104,6 +107,17 @@ def quota_across(rows: DataFrame, groups: str, key: str, quotas: list[tuple[int,
     return taken.select("_row.*", group.alias("taken_by"), "place")
 
 
+def seeded_postings(rows: DataFrame, key: str, title: str, texts: list[str], category: str, wanted: list[str], groups: list[tuple[int, list[str], list[str]]], quotas: list[tuple[int, int]], least: int = 120) -> DataFrame:
+    """rows of the wanted categories, with texts of more than ``least`` characters together, as groups take them in turn, longest texts first
+    (ties by key): a title counts once, brackets, signs and case aside. taken_by is the group and place the place in it.
+
+    groups: (number, words of which a title has one, words of which it has none), quotas: (number, rows) in their turn. Null texts have no characters.
+    """
+    size = reduce(lambda a, b: a + b, (F.coalesce(F.length(c), F.lit(0)) for c in texts))
+    real = rows.where(F.col(category).isin(wanted) & (size > least)).withColumns({"_groups": wording.labels(F.col(title), groups), "_title": wording.dedup_key(F.col(title))})
+    return quota_across(real, "_groups", "_title", quotas, -size, F.col(key)).drop("_groups", "_title")
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with at, their number from 0 by order, over any number of tasks: sorted by range, numbered within tasks, shifted by the counts of the tasks
     before. Rows that are equal by order get any of their numbers; an empty table gives none."""

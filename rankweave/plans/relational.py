@@ -251,3 +251,21 @@ def numbered_rows(spark, sf_dir):
     """All orders numbered by price, over many tasks."""
     rows = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
     return relational.numbered(rows, "o_totalprice", "o_orderkey").select("o_orderkey", F.col("at").alias("place"))
+
+
+_TOPICS = [(1, ["the ", "and "], ["of"]), (2, ["of ", "with "], []), (3, [" le ", " la ", "les "], [" des "]), (4, ["in", "on"], ["ion"]), (5, ["e"], [])]
+_SEATS = [(2, 12), (4, 30), (1, 9), (3, 25), (5, 40)]
+_TOPIC = {g: "(" + " OR ".join(f"contains(low, '{w}')" for w in inc) + ")" + "".join(f" AND NOT contains(low, '{w}')" for w in exc) for g, inc, exc in _TOPICS}
+_SEATED = ", ".join(
+    f"t{i} AS (SELECT *, {g} AS taken_by, row_number() OVER (ORDER BY n DESC, doc_id) AS place FROM (SELECT * FROM k WHERE {_TOPIC[g]} AND key NOT IN ({_TAKEN(i)}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, doc_id) = 1) QUALIFY place <= {q})"
+    for i, (g, q) in enumerate(_SEATS)
+)
+
+
+@query(f"""WITH k AS (SELECT doc_id, length(text) + length(title) AS n, ' ' || lower(title) || ' ' AS low, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\(.*?\\)', '', 'g'), '[^a-zà-ỹ0-9 ]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS key
+  FROM (SELECT *, regexp_extract(text, '^[^.\\n]*') AS title FROM documents) WHERE lang IN ('en', 'fr') AND length(text) + length(title) > 120), {_SEATED} """ + " UNION ALL ".join(f"SELECT doc_id, taken_by, place::INT AS place FROM t{i}" for i in range(len(_SEATS))))
+def seeded_postings(spark, sf_dir):
+    """Documents as postings (their first sentence is the title): the longest of each group by words of the title, each title for the first group in turn."""
+    rows = table(spark, sf_dir, "documents").withColumn("title", F.regexp_extract("text", r"^[^.\n]*", 0))
+    found = relational.seeded_postings(rows, "doc_id", "title", ["text", "title"], "lang", ["en", "fr"], _TOPICS, _SEATS)
+    return found.select("doc_id", "taken_by", "place")

@@ -57,3 +57,22 @@ def test_ingest_records(spark):
     assert got[2] == (0, 0, 0, 0, 0, 0, 0, None, 0, True, 0, None)
     assert got[3] == (1, 1, 0, 1, 0, 0, 1, None, 2, False, 0, None)
     assert claims.ingest_record(docs.limit(0), "id", "text", "summary", terms, vectors).count() == 0
+
+
+def test_near_words_name_skills(spark):
+    from rankweave.operators import skills
+
+    terms = spark.createDataFrame([("kubernetes", "k8s", "c", "r"), ("go", "go", "c", "r")], "variant string, slug string, category string, role string")
+    docs = spark.createDataFrame([(1, "kubernets and go"), (2, "kuber"), (3, None)], "id int, text string")
+    assert sorted(map(tuple, skills.extract(docs, terms, "id", near=True).collect())) == [(1, "go"), (1, "k8s")]
+    assert sorted(map(tuple, skills.extract(docs, terms, "id").collect())) == [(1, "go")]
+
+
+def test_seeded_postings(spark):
+    from rankweave.operators import relational
+
+    rows = [(1, "Data Engineer (Senior)", "x" * 200, "it"), (2, "data engineer", "x" * 300, "it"), (3, "Backend Dev", "x" * 150, "it"), (4, "Backend Data", "x" * 140, "it"), (5, "Data", "x" * 100, "it"), (6, "Data", "x" * 900, "food"), (7, None, "x" * 900, "it")]
+    df = spark.createDataFrame(rows, "id int, title string, body string, kind string").withColumn("more", F.lit(None).cast("string"))
+    groups = [(1, ["data"], []), (2, ["backend"], ["front"])]
+    got = relational.seeded_postings(df, "id", "title", ["body", "more"], "kind", ["it"], groups, [(2, 1), (1, 5)])
+    assert sorted((r["id"], r["taken_by"], r["place"]) for r in got.collect()) == [(2, 1, 1), (3, 2, 1), (4, 1, 2)]
