@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.functions import guardrails, records, text, wording
+from rankweave.functions import guardrails, interviews, records, text, wording
 from rankweave.operators import claims, skills
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import _TAXONOMY
@@ -124,3 +124,34 @@ def assessment_texts(spark, sf_dir):
         "warned": wording.warnings(F.when(k % 5 == 0, F.array(F.lit("five"))), (k % 11) / 10.0, c("missing"), score, F.size("matched") * 100 / 7.0),
     }
     return rows.select("doc_id", *(F.array_join(v, "\n").alias(n) for n, v in said.items()))
+
+
+_REQUIRED = ["1-URGENT", "high", " 3-Medium", "LOW", "kafka", "Not Specified", "spark"]
+_ASKED_FOR = "list_transform([" + ", ".join(f"'{r}'" for r in _REQUIRED) + "], lambda r, i: CASE WHEN (o_custkey + i - 1) % 3 > 0 THEN r END)"
+
+
+def _sessions(spark, sf_dir):
+    """Each customer's orders as the questions of a session, in their order, and what the session must cover."""
+    k = F.col("o_orderkey")
+    kind = F.get(F.array(*map(F.lit, ["technical", "behavioral", "system_design", "problem_solving"])), (k % 4).cast("int"))
+    text = F.concat("o_orderpriority", F.lit(" question "), (k % 40).cast("string"))
+    asked = F.struct("o_orderkey", F.struct(text.alias("text"), kind.alias("category"), F.lit("medium").alias("difficulty"), F.col("o_orderpriority").alias("mapped")).alias("q"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(asked)).alias("every"))
+    wanted = F.array_compact(F.array(*(F.when((F.col("o_custkey") + i) % 3 > 0, F.lit(r)) for i, r in enumerate(_REQUIRED))))
+    return rows.select("o_custkey", F.transform("every", lambda e: e["q"]).alias("questions"), wanted.alias("wanted"))
+
+
+@query(f"""WITH s AS (SELECT o_custkey, list(DISTINCT lower(o_orderpriority)) AS m, list_filter({_ASKED_FOR}, lambda r: r IS NOT NULL) AS wanted FROM orders GROUP BY o_custkey),
+c AS (SELECT *, list_filter(wanted, lambda r: len(list_filter(m, lambda x: contains(x, lower(trim(r))) OR contains(lower(trim(r)), x))) = 0) AS missing FROM s)
+SELECT o_custkey, array_to_string(missing, '|') AS missing, round_even((len(wanted) - len(missing))::DOUBLE / len(wanted), 2) AS ratio, (len(wanted) - len(missing))::DOUBLE / len(wanted) >= 0.8 AS passed FROM c""")
+def question_coverage(spark, sf_dir):
+    """What each session's questions leave uncovered, a question covering what holds its subject or is held by it."""
+    found = _sessions(spark, sf_dir).select("o_custkey", interviews.coverage(F.col("questions"), F.col("wanted")).alias("c"))
+    return found.select("o_custkey", F.array_join("c.missing", "|").alias("missing"), "c.ratio", "c.passed")
+
+
+@query()
+def interview_plans(spark, sf_dir):
+    """Each session's plan after refining; equal to a loop in the tests."""
+    found = _sessions(spark, sf_dir).select("o_custkey", interviews.planned(F.col("questions"), F.col("wanted")).alias("p"))
+    return found.select("o_custkey", F.size("p.questions").alias("questions"), F.array_join("p.missing", "|").alias("missing"), "p.ratio", "p.passed")
