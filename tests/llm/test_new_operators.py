@@ -270,3 +270,19 @@ def test_variants_of_odd_texts(spark):
     got = {r["word"]: (r["n"], r["form"], r["root"]) for r in variants.group(words).collect()}
     assert got == {"wonderful": (21, None, "wonderful"), "wonderfull": (2, "wonderful", "wonderful"), "y" * 30_000: (2, None, "y" * 30_000)}
     assert variants.group(words.limit(0)).count() == 0
+
+
+# --- earlier operators: columns of the input that are named like an output
+
+
+def test_outputs_replace_columns_of_their_names(spark):
+    from rankweave.llm import bpe, langid, licenses
+
+    texts = [None, "", "The MIT License (MIT). Released under the MIT License.", "the word and another word of the text " * 30]
+    docs = spark.createDataFrame([(i, t, "en", *["clash"] * 6) for i, t in enumerate(texts)], "doc_id long, text string, lang string, ids string, n_tokens string, decoded string, licenses string, lang_pred string, lang_score string").repartition(2)
+    coded = {r["doc_id"]: r for r in bpe.encode_decode(docs, queries.TOKENIZER).collect()}
+    assert all(coded[i]["decoded"] == (t or "") and coded[i]["n_tokens"] == len(coded[i]["ids"]) // 4 for i, t in enumerate(texts))
+    scanned = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert scanned[0] == scanned[1] == scanned[3] == []
+    found = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.identify(docs, langid.learn(docs)).collect()}
+    assert [found[i][0] for i in range(4)] == ["und", "und", "en", "en"] and all(isinstance(s, float) for _, s in found.values())
