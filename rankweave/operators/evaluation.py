@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,17 @@ def sample_statistics(rows: DataFrame, group: str, value: str) -> DataFrame:
     by = rows.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v).alias("total"))
     whole = by.agg(F.sum("total").alias("all"))
     return by.crossJoin(F.broadcast(whole)).withColumn("share", F.col("total") / F.col("all")).drop("all")
+
+
+def own_ranks(ranked: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """(query, doc, place, hit): where each query's own document stands in its list, null where it does not, and whether it is among the first k.
+
+    ranked: (query, doc, place), own: (query, doc), both one row a pair."""
+    there = own.select("query", "doc").join(ranked.select("query", "doc", "place"), ["query", "doc"], "left")
+    return there.withColumn("hit", F.coalesce(F.col("place") <= k, F.lit(False)))
+
+
+def culture_fit(similarities: Column) -> Column:
+    """100 times the mean of the similarities of references (null ones count as 0); 70 without any."""
+    each = F.transform(similarities, lambda s: F.coalesce(s, F.lit(0.0)).cast("double"))
+    return F.when(F.size(similarities) > 0, F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / F.size(similarities) * 100).otherwise(70.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import numbers
 from rankweave.operators import evaluation, retrieval
 from rankweave.plans.registry import query
-from rankweave.plans.retrieval import _DENSE
+from rankweave.plans.retrieval import _DENSE, _dense
 from rankweave.sources.tables import table
 
 _GRADED = f"""WITH {_DENSE},
@@ -121,3 +121,19 @@ def repo_tier1(spark, sf_dir):
         F.count("*").alias("files"), F.count_if(flag == "R").alias("tests"), F.count_if(flag == "A").alias("docs"), F.round(F.count_if(flag == "R") / F.count("*"), 6).alias("test_ratio"),
         F.countDistinct("l_shipdate").alias("kinds"), F.bool_or(F.col("l_quantity") >= 50).alias("large"),
     )
+
+
+@query(f"""WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, doc) AS place FROM dense QUALIFY place <= 20),
+own AS (SELECT q.vec_id AS query, d.vec_id AS doc FROM embeddings q JOIN embeddings d ON d.label = q.label AND d.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+c AS (SELECT query, list(round(1 - distance, 6)) AS s FROM r JOIN own USING (query, doc) GROUP BY query)
+SELECT query, own.doc, place::INT AS place, coalesce(place <= 3, false) AS hit, round(CASE WHEN s IS NULL THEN 70 ELSE list_avg(s) * 100 END, 3)::DOUBLE AS culture FROM own LEFT JOIN r USING (query, doc) LEFT JOIN c USING (query)""")
+def own_calibration(spark, sf_dir):
+    """Where the vectors of a query's own label stand among its twenty nearest, and what the similarities of those that do say of its fit."""
+    ranked = retrieval.top(_dense(spark, sf_dir, 20), 20, score="distance", descending=False)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asks = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label")
+    own = asks.join(vectors.withColumnRenamed("vec_id", "doc"), "label").where("doc <> query").select("query", "doc")
+    near = ranked.join(own, ["query", "doc"]).groupBy("query").agg(F.collect_list(F.round(1 - F.col("distance"), 6)).alias("s"))
+    none = F.array().cast("array<double>")
+    rows = evaluation.own_ranks(ranked, own, 3).join(near, "query", "left")
+    return rows.select("query", "doc", F.col("place").cast("int").alias("place"), "hit", F.round(evaluation.culture_fit(F.coalesce("s", none)), 3).alias("culture"))
