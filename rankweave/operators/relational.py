@@ -83,7 +83,7 @@ def quota_across(rows: DataFrame, groups: str, key: str, quotas: list[tuple[int,
     groups: an array column of the groups that a row may go to; quotas: (group, quota) in their turn, a list written in the code. No turn waits for
     another: every group holds the first keys of its own order, a key that several hold goes to the earliest, the others move on to their next, until nobody loses
     one. As all keys prefer the earliest group, that is what taking turns gives. No group can need more keys than all quotas together, so only
-    so many of each are kept, and rounds work on these. Rows without a key or group are never taken; an empty table gives no rows.
+    so many of each are kept, and rounds work on these. Rows without a key or group are never taken; an empty table gives no rows; columns named taken_by or place are replaced.
     """
     total = sum(q for _, q in quotas)
     turn = F.create_map(*(F.lit(x) for i, (g, _) in enumerate(quotas) for x in (g, i)))
@@ -104,7 +104,7 @@ def quota_across(rows: DataFrame, groups: str, key: str, quotas: list[tuple[int,
         now = after.drop("_holds", "_loses")
     group = F.element_at(F.create_map(*(F.lit(x) for i, (g, _) in enumerate(quotas) for x in (i, g))), F.col("_turn"))
     taken = after.where("_holds").withColumn("place", F.row_number().over(Window.partitionBy("_turn").orderBy("_at")))
-    return taken.select("_row.*", group.alias("taken_by"), "place")
+    return taken.select(*(f"_row.{c}" for c in rows.columns if c not in ("taken_by", "place")), group.alias("taken_by"), "place")
 
 
 def seeded_postings(rows: DataFrame, key: str, title: str, texts: list[str], category: str, wanted: list[str], groups: list[tuple[int, list[str], list[str]]], quotas: list[tuple[int, int]], least: int = 120) -> DataFrame:

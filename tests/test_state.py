@@ -30,7 +30,7 @@ def test_quotas_equal_taking_turns(spark, seed):
     rng = random.Random(seed)
     rows = [(i, rng.sample([1, 2, 3, 4, 9], rng.randint(0, 4)) or None, rng.choice([None, *"abcdefghijklmnop"]), rng.randint(1, 5)) for i in range(70)]
     quotas = [(3, 4), (1, 3), (4, 20), (2, 5)]
-    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "i int, groups array<int>, key string, price int, place string, _key string").drop("place", "_key").repartition(3)
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "i int, groups array<int>, key string, price int, place string, _key string").repartition(3)
     got = relational.quota_across(df, "groups", "key", quotas, -F.col("price"), F.col("i"))
     assert sorted((r["i"], r["taken_by"], r["place"]) for r in got.collect()) == in_turn(rows, quotas)
     if not seed:
