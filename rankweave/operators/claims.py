@@ -182,7 +182,7 @@ def gated_records(rows: DataFrame, group: str, item: str, allowed: DataFrame, mo
     A group's equal ids are counted first, dealt by both, so that no task holds more than its small share of them.
     """
     known = allowed.select(F.col(item)).distinct().withColumn("_known", F.lit(True))
-    pairs = dealt(rows.select(group, item).join(known, item, "left"), rows, group, item).groupBy(group, item).agg(F.count("*").alias("_n"), F.max("_known").alias("_known"))
+    pairs = dealt(rows.select(group, item).join(known, item, "left"), group, item).groupBy(group, item).agg(F.count("*").alias("_n"), F.max("_known").alias("_known"))
     by = pairs.groupBy(group).agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("_bad"), F.count(item).alias("_ids"))
     bad = (F.col("_bad") > 0) | (F.col("_ids") < F.col("n"))
     action = F.when(bad, "block").when(F.col("n") > most, "degrade").otherwise("pass")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import text
 from rankweave.operators import skills
+from rankweave.sources.tables import dealt
 
 # What a sentence says about the skills that it names, and what makes them alternatives.
 MUST = ["bat buoc", "required", "must have", "must-have"]
@@ -80,7 +81,7 @@ def argmax_votes(votes: DataFrame, key: str, label: str, weight: str, order: str
 def ranked_problems(ranked: DataFrame, allowed: DataFrame, query: str, doc: str, place: str, score: str, status_rank: str) -> DataFrame:
     """What is wrong with a ranked output: unknown documents, repeated ones, scores that are no numbers, and groups out of order."""
     w = Window.partitionBy(query).orderBy(place)
-    rows = ranked.join(allowed.select(F.col(doc)).distinct().withColumn("_known", F.lit(True)), doc, "left")
+    rows = dealt(ranked.join(allowed.select(F.col(doc)).distinct().withColumn("_known", F.lit(True)), doc, "left"), query)
     rows = rows.withColumns({"_back": F.lag(status_rank).over(w) > F.col(status_rank), "_again": F.row_number().over(Window.partitionBy(query, doc).orderBy(place)) > 1})
     finite = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
     problems = F.array_compact(F.array(F.when(F.col("_known").isNull(), "unknown"), F.when(F.col("_again"), "repeated"), F.when(~finite, "score"), F.when(F.col("_back"), "order")))

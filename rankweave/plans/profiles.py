@@ -9,7 +9,7 @@ from rankweave.functions import text
 from rankweave.operators import profiles, seeded, skills
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import _TAXONOMY
-from rankweave.sources.tables import table
+from rankweave.sources.tables import dealt, table
 
 
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
@@ -65,7 +65,7 @@ SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN unknown
 def output_problems(spark, sf_dir):
     """Validation of a ranked output against the parts it may name."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("doc"), place.alias("place"), F.col("l_quantity").alias("score"), ((F.col("l_linenumber") + F.col("l_partkey")) % 3).alias("g"))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("doc"), place.alias("place"), F.col("l_quantity").alias("score"), ((F.col("l_linenumber") + F.col("l_partkey")) % 3).alias("g"))
     allowed = rows.where("doc % 10 <> 0").select("doc")
     return profiles.ranked_problems(rows, allowed, "query", "doc", "place", "score", "g").groupBy("problem").agg(F.count("*").alias("n"))
 

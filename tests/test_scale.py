@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.operators import claims
+from rankweave.operators import claims, profiles, relational
+from rankweave.sources import tables
 
 
 def plan(df) -> str:
@@ -18,5 +19,26 @@ def test_gated_records_counts_pairs_in_small_shares(spark, tmp_path):
     got = claims.gated_records(source, "g", "i", spark.createDataFrame([(6,), (7,), (8,), (8,)], "i int"), 2)
     want = {(1, "pass", None, 2), (2, "block", "DATA_SCOPE_MISMATCH", 0), (3, "block", "DATA_SCOPE_MISMATCH", 0), (4, "block", "DATA_SCOPE_MISMATCH", 0), (5, "degrade", "DATA_BUDGET_EXCEEDED", 2), (None, "pass", None, 1)}
     assert set(map(tuple, got.collect())) == want
-    n = 16 * source.rdd.getNumPartitions()
-    assert f", {n}), REPARTITION_BY_NUM" in plan(got)
+    assert "REPARTITION_BY_NUM" in plan(got)
+
+
+def test_rows_are_dealt_by_the_size_of_their_files(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id", "id % 7 AS k").write.parquet(str(tmp_path / "a b"))
+    rows = spark.read.parquet(str(tmp_path / "a b"))
+    assert tables.dealt(rows, "k").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(tables, "SHARE", 200)
+    assert tables.dealt(rows.where("id > 5"), "k").rdd.getNumPartitions() > 8
+
+
+def test_output_problems_sort_small_shares(spark):
+    rows = spark.createDataFrame([(1, 5, 1, 0.5, 1), (1, 5, 2, 0.4, 0), (1, 6, 3, float("nan"), 0), (2, 5, 1, 1.0, 2)], "q int, d int, p int, s double, g int")
+    got = profiles.ranked_problems(rows, spark.createDataFrame([(5,)], "d int"), "q", "d", "p", "s", "g")
+    assert set(map(tuple, got.collect())) == {(1, 5, 2, "repeated"), (1, 5, 2, "order"), (1, 6, 3, "unknown"), (1, 6, 3, "score")}
+    assert "REPARTITION_BY_NUM" in plan(got)
+
+
+def test_fan_out_deals_a_keys_pairs_over_tasks(spark):
+    rows, members = spark.range(300).selectExpr("id", "id % 2 AS key"), spark.range(40).selectExpr("id AS member", "id % 4 AS key")
+    got = relational.fanned_out(rows, members, "key", "id")
+    assert sorted((r["id"], r["member"]) for r in got.collect()) == sorted((i, m) for i in range(300) for m in range(40) if i % 2 == m % 4)
+    assert got.where("key = 0").select(F.spark_partition_id().alias("p")).distinct().count() > 4
