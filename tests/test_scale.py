@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankweave.operators import claims, profiles, relational
 from rankweave.sources import tables
+from rankweave.streaming import state as live
 
 
 def plan(df) -> str:
@@ -42,3 +43,15 @@ def test_fan_out_deals_a_keys_pairs_over_tasks(spark):
     got = relational.fanned_out(rows, members, "key", "id")
     assert sorted((r["id"], r["member"]) for r in got.collect()) == sorted((i, m) for i in range(300) for m in range(40) if i % 2 == m % 4)
     assert got.where("key = 0").select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_notices_remember_items_not_notices(spark, tmp_path):
+    spark.range(40).selectExpr("id % 20 AS item", "id % 2 AS company", "timestamp '2024-01-01' AS at").write.parquet(str(tmp_path / "in"))
+    said = spark.readStream.schema("item long, company long, at timestamp").parquet(str(tmp_path / "in"))
+    members = spark.range(60).selectExpr("id % 2 AS company", "id AS user").union(spark.createDataFrame([(0, 1), (0, 0), (0, None), (1, None)], "company long, user long"))
+    run = live.notices(said, members, "company", "item", "e", "at").writeStream.format("memory").queryName("told").trigger(availableNow=True).start()
+    run.awaitTermination()
+    want = {(u, f"e:{i}:{u}") for i in range(20) for u in range(60) if i % 2 == u % 2} | {(1, f"e:{i}:1") for i in range(0, 20, 2)} | {(None, f"e:{i}") for i in range(20)}
+    assert sorted(map(tuple, spark.table("told").select("user", "key").collect()), key=repr) == sorted(want, key=repr)
+    rows = max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in run.recentProgress)
+    assert rows < len(want) / 2
