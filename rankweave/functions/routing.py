@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankweave.functions.guardrails import let
-from rankweave.functions.unicode import words
+from rankweave.functions.unicode import trimmed, words
 
 # Names of places, fields and companies, in the order in which the first one named counts.
 LOCATIONS = [
@@ -180,15 +180,20 @@ def language(text: Column) -> Column:
 
     Scripts and letters of others decide at once; else words vote, and Vietnamese letters outweigh the votes but for foreign words.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
     known = ENGLISH + [w for w in DOMAINS + COMPANIES + LOCATIONS if re.fullmatch(r"[^\W\d_]+", w)]
+    within = lambda w, of: F.filter(w, lambda x: x.isin(*dict.fromkeys(of)))
 
-    def vote(w: Column) -> Column:
-        count = lambda of: F.size(F.filter(w, lambda x: x.isin(*dict.fromkeys(of))))
-        foreign, vi, en = count(FOREIGN), count(VIETNAMESE), count(known)
-        return F.when((foreign >= 1) & (foreign >= vi) & (foreign >= en), None).when(t.rlike(VIETNAMESE_LETTERS), "vi").when(vi > en, "vi").otherwise("en")
+    def vote(t: Column, w: Column) -> Column:
+        foreign, vi, en = (F.size(within(w, of)) for of in (FOREIGN, VIETNAMESE, known))
+        decide = lambda n: F.when((n["f"] >= 1) & (n["f"] >= n["v"]) & (n["f"] >= n["e"]), None).when(t.rlike(VIETNAMESE_LETTERS), "vi").when(n["v"] > n["e"], "vi").otherwise("en")
+        return let(F.struct(foreign.alias("f"), vi.alias("v"), en.alias("e")), decide)
 
-    return F.when((t != "") & ~t.rlike(SCRIPTS) & ~t.rlike(FOREIGN_LETTERS), let(words(t), vote))
+    def read(t: Column) -> Column:
+        # the lists' words first: they are few of a text's, and each list looks only at them
+        listed = within(words(t), FOREIGN + VIETNAMESE + known)
+        return F.when((t != "") & ~t.rlike(SCRIPTS) & ~t.rlike(FOREIGN_LETTERS), let(listed, lambda w: vote(t, w)))
+
+    return let(trimmed(F.coalesce(text, F.lit(""))), read)
 
 
 def off_topic(view: Column) -> Column:
@@ -202,11 +207,11 @@ def sensitive(text: Column) -> Column:
     return text.rlike(r"(?U)\b\d{3}[-\s]?\d{3}[-\s]?\d{4}\b") | text.rlike(r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b")
 
 
-def rejected(text: Column, least: int = 100, most: int = 50_000) -> Column:
-    """Why a text is not taken on: too little in it, too long, or in another language; null if it is taken."""
+def rejected(text: Column, least: int = 100, most: int = 50_000, lang: Column | None = None) -> Column:
+    """Why a text is not taken on: too little in it, too long, or in another language; null if it is taken. lang: its language, if it is there already."""
     t = F.coalesce(text, F.lit(""))
-    short = F.length(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")) < least
-    return F.when(short, "minimum_content_not_met").when(F.length(t) > most, "malformed_request").when(language(t).isNull(), "unsupported_language")
+    short = F.length(trimmed(t)) < least
+    return F.when(short, "minimum_content_not_met").when(F.length(t) > most, "malformed_request").when((language(t) if lang is None else lang).isNull(), "unsupported_language")
 
 
 def routed(text: Column, view: Column) -> Column:

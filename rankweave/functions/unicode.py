@@ -51,4 +51,13 @@ def folded(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The lower-cased runs of letters that touch no digit or underscore."""
-    return let(F.lower(text), lambda t: F.filter(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike(r"^\p{L}+$")))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])"), F.lit(0))
+
+
+#: What a pattern's \s takes for space under (?U).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """text without space at its ends, of any script: what replacing (?U)^\\s+|\\s+$ gives, without a pattern's look at every character."""
+    return F.btrim(text, F.lit(SPACES))

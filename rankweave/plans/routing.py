@@ -79,8 +79,8 @@ def routed_messages(spark, sf_dir):
 @query(f"SELECT doc_id, lang, CASE WHEN length(trim(t, ' ' || chr(10))) < 100 THEN 'minimum_content_not_met' WHEN length(t) > 50000 THEN 'malformed_request' WHEN lang IS NULL THEN 'unsupported_language' END AS rejected FROM ({_language('(SELECT doc_id, text AS t FROM documents)')})")
 def supported_language(spark, sf_dir):
     """English, Vietnamese or neither, by script, letters and votes of words; and why a text is not taken on."""
-    t = F.col("text")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", routing.language(t).alias("lang"), routing.rejected(t).alias("rejected"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("lang", routing.language(F.col("text")))
+    return rows.select("doc_id", "lang", routing.rejected(F.col("text"), lang=F.col("lang")).alias("rejected"))
 
 
 _TOKENS = f"regexp_extract_all(view, '{router.TOKEN}')"
