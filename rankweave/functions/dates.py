@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ PRESENT = "(?:present|now|current|nay|today|hiện tại|hien tai|hiện nay|hie
 RANGE = rf"(?iuU)((?:{NAMED}|{NUMBERED}))\s*(?:[-–—]|to)\s*(expected\s+)?((?:{NAMED}|{NUMBERED})|{PRESENT})"
 NAMED_RANGE = rf"(?iuU)({MONTH_NAME}\.?\s+\d{{4}})\s+({MONTH_NAME}\.?\s+\d{{4}})"
 NUMBERED_RANGE = r"(?U)(\d{1,2}[/-]\d{4})\s+(\d{1,2}[/-]\d{4})"
+#: What a line with any range of dates has, cheap to look for.
+DIGITS = r"\p{Nd}{2}"
 #: The three patterns with the groups that hold their ends, in the order in which they are tried.
 RANGES = [(RANGE, 1, 3), (NAMED_RANGE, 1, 2), (NUMBERED_RANGE, 1, 2)]
 # Years of experience as texts claim them.
@@ -63,7 +67,7 @@ def pretty(token: Column, as_of: Column) -> Column:
 
 def has_range(line: Column) -> Column:
     """Whether a line holds a range of dates; most lines lack two digits in a row and need no look at the patterns."""
-    return line.rlike(r"\p{Nd}{2}") & (line.rlike(RANGE) | line.rlike(NAMED_RANGE) | line.rlike(NUMBERED_RANGE))
+    return line.rlike(DIGITS) & (line.rlike(RANGE) | line.rlike(NAMED_RANGE) | line.rlike(NUMBERED_RANGE))
 
 
 def range_label(line: Column, as_of: Column) -> Column:
@@ -76,10 +80,10 @@ def range_label(line: Column, as_of: Column) -> Column:
 
 
 def without_ranges(line: Column) -> Column:
-    """A line without its ranges of dates, spaces squeezed, and without dashes, bars and brackets at its ends."""
-    for pattern, _, _ in RANGES:
-        line = F.regexp_replace(line, pattern, "")
-    return F.btrim(F.regexp_replace(line, r"(?U)\s+", " "), F.lit(" -–—|()"))
+    """A line without its ranges of dates, spaces squeezed, and without dashes, bars and brackets at its ends; lines without two digits in a row have no
+    range and are only squeezed."""
+    cut = reduce(lambda c, r: F.regexp_replace(c, r[0], ""), RANGES, line)
+    return F.btrim(F.regexp_replace(F.when(line.rlike(DIGITS), cut).otherwise(line), r"(?U)\s+", " "), F.lit(" -–—|()"))
 
 
 def intervals(lines: Column, as_of: Column) -> Column:
@@ -116,5 +120,5 @@ def years_of(months: Column) -> Column:
 
 def claimed_years(text: Column) -> Column:
     """The years of experience that a text claims in words; null without a claim."""
-    t = F.lower(text)
-    return F.coalesce(*(F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("int") for p in CLAIMED))
+    number = lambda t, p: let(F.regexp_extract(t, p, 1), lambda n: F.nullif(n, F.lit("")).try_cast("int"))
+    return let(F.lower(text), lambda t: F.coalesce(*(number(t, p) for p in CLAIMED)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import dates
 from rankweave.functions.guardrails import let
 from rankweave.functions.redaction import BULLET, EMAIL, PHONE, URL, looks_like_name
+from rankweave.functions.unicode import trimmed
 
 # Headings by the section that they open.
 HEADINGS = {
@@ -64,10 +65,17 @@ def heading(line: Column) -> Column:
     return F.when(may, let(key, find))
 
 
+def _replaced(text: Column, marks: list[str], pattern: str, by: str) -> Column:
+    """text with what a pattern finds replaced; a text without any of the marks, one of which all finds hold, is not looked at by the pattern."""
+    return let(text, lambda t: F.when(reduce(lambda a, b: a | b, (F.contains(t, F.lit(m)) for m in marks)), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def clean(text: Column) -> Column:
     """A text without characters that a reader of files leaves behind, line ends made \\n, no space at line ends, no gap of over two empty lines."""
-    lines = F.regexp_replace(F.regexp_replace(text, LEFT_BEHIND, ""), LINE_END, "\n")
-    return F.btrim(F.regexp_replace(F.regexp_replace(lines, r"[ \t\x{A0}]+(?=\n|$)", ""), r"\n{4,}", "\n\n\n"), F.lit(" \t\n"))
+    lines = _replaced(_replaced(text, ["\x00", "\ufeff", "\xad"], LEFT_BEHIND, ""), list("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"), LINE_END, "\n")
+    # space at the text's end is btrim's, but for what it leaves there: a no-break space
+    bare = let(lines, lambda t: F.when(F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\t\n")) | F.contains(t, F.lit("\xa0")), F.regexp_replace(t, r"[ \t\x{A0}]+(?=\n|$)", "")).otherwise(t))
+    return F.btrim(_replaced(bare, ["\n\n\n\n"], r"\n{4,}", "\n\n\n"), F.lit(" \t\n"))
 
 
 def _single_gaps(lines: Column) -> Column:
@@ -78,9 +86,10 @@ def _single_gaps(lines: Column) -> Column:
 
 def prepared(text: Column) -> Column:
     """The lines of a profile: trimmed, without heading marks, tags and watermarks; lines without a letter or digit count as empty."""
-    bare = reduce(lambda c, p: F.regexp_replace(c, *p), [(PICTURE, "\n"), (TAG, "\n"), (WATERMARK, "")], F.coalesce(text, F.lit("")))
-    one = lambda x: F.when(x.rlike(r"^[^\p{L}\p{N}]*$"), "").otherwise(F.trim(F.regexp_replace(x, r"^#{1,6}\s*", "")))
-    return let(F.transform(F.split(clean(bare), "\n"), lambda x: one(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), _single_gaps)
+    bare = reduce(lambda c, p: _replaced(c, *p), [(["<"], PICTURE, "\n"), (["<"], TAG, "\n"), ([".v", ".V"], WATERMARK, "")], F.coalesce(text, F.lit("")))
+    shown = lambda x: F.when(x.startswith("#"), F.regexp_replace(x, r"^#{1,6}\s*", "")).otherwise(x)
+    one = lambda x: F.when(x.rlike(r"^[^\p{L}\p{N}]*$"), "").otherwise(F.trim(shown(x)))
+    return let(F.transform(F.split(clean(bare), "\n"), lambda x: let(trimmed(x), one)), _single_gaps)
 
 
 def sections(lines: Column) -> Column:
@@ -170,13 +179,19 @@ def entries(lines: Column, education: Column, as_of: Column) -> Column:
         named = r"(?iu)^(?:position|role|title|vai trò(?: cá nhân)?)\s*:\s*"
 
         def read(c: Column) -> Column:
-            dated = F.array_position(F.transform(c, lambda x: dates.has_range(x)), True) - 1
-            rest = F.coalesce(dates.without_ranges(F.get(c, dated)), F.lit(""))
-            headline = lambda x, i: F.when(i == dated, F.when((rest != "") & ~rest.rlike(r"(?iuU)^gpa\b"), rest)).when(is_bullet(x), None).when(F.lower(x).rlike("^(position:|role:|vai trò|title:)"), F.regexp_replace(x, named, "")).otherwise(x)
-            said = lambda x, i: F.when((i != dated) & is_bullet(x), F.trim(F.regexp_replace(F.regexp_replace(x, NUMBERED, ""), BULLET, "")))
-            header, bullets = F.array_compact(F.transform(c, headline)), F.array_compact(F.transform(c, said))
-            kept = F.filter(bullets, lambda b: (b != "") & ~b.rlike(r"(?U)^[\w\s/&+-]{1,40}:$"))
-            return let(title_and_place(header, education), lambda t: F.struct(t["title"].alias("title"), t["org"].alias("org"), dates.range_label(F.get(c, dated), as_of).alias("dates"), kept.alias("bullets")))
+            def rest_of(dated: Column) -> Column:
+                top = F.get(c, dated)
+
+                def with_rest(rest: Column) -> Column:
+                    headline = lambda x, i: F.when(i == dated, F.when((rest != "") & ~rest.rlike(r"(?iuU)^gpa\b"), rest)).when(is_bullet(x), None).when(F.lower(x).rlike("^(position:|role:|vai trò|title:)"), F.regexp_replace(x, named, "")).otherwise(x)
+                    said = lambda x, i: F.when((i != dated) & is_bullet(x), F.trim(F.regexp_replace(F.regexp_replace(x, NUMBERED, ""), BULLET, "")))
+                    header, bullets = F.array_compact(F.transform(c, headline)), F.array_compact(F.transform(c, said))
+                    kept = F.filter(bullets, lambda b: (b != "") & ~b.rlike(r"(?U)^[\w\s/&+-]{1,40}:$"))
+                    return let(title_and_place(header, education), lambda t: F.struct(t["title"].alias("title"), t["org"].alias("org"), let(top, lambda x: dates.range_label(x, as_of)).alias("dates"), kept.alias("bullets")))
+
+                return let(F.coalesce(let(top, dates.without_ranges), F.lit("")), with_rest)
+
+            return let(F.array_position(F.transform(c, lambda x: dates.has_range(x)), True) - 1, rest_of)
 
         return let(full, read)
 

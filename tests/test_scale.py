@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankweave.functions import dates, resumes, routing, unicode
 from rankweave.operators import claims, profiles, relational
 from rankweave.sources import tables
 from rankweave.streaming import state as live
@@ -55,3 +56,30 @@ def test_notices_remember_items_not_notices(spark, tmp_path):
     assert sorted(map(tuple, spark.table("told").select("user", "key").collect()), key=repr) == sorted(want, key=repr)
     rows = max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in run.recentProgress)
     assert rows < len(want) / 2
+
+
+ODD = ["", " ", "a", "\u3000a b\u2028", "\xa0x\xa0\n", "a \n\tb\xa0\n\n\n\n\n c \t", "# a\r\nb\x0bc\x85d", "<b>x</b>\x00y\ufeff\xad", "© TopCV.vn 1", "a\u2003\n \n#b", "x1 y_ z ÄÖ9 đé", "a\u1680", "<!-- Start of picture text -->q<!-- End of picture text -->r", "\n \n\na\n\n\n\n"]
+
+
+def test_texts_are_prepared_as_by_the_patterns(spark):
+    df = spark.createDataFrame([(x,) for x in ODD], "t string")
+    t = F.col("t")
+    ends = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, resumes.LEFT_BEHIND, ""), resumes.LINE_END, "\n"), r"[ \t\x{A0}]+(?=\n|$)", ""), r"\n{4,}", "\n\n\n")
+    old_words = F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike(r"^\p{L}+$"))
+    got = df.select(unicode.trimmed(t).alias("a"), ends(t).alias("b"), resumes.clean(t).alias("c"), F.btrim(c, F.lit(" \t\n")).alias("d"), unicode.words(t).alias("e"), old_words.alias("f")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] and r["e"] == r["f"] for r in got)
+
+
+def test_lines_without_digits_meet_no_pattern_of_dates(spark):
+    said = dates.without_ranges(F.col("t"))
+    got = spark.createDataFrame([("(lead  dev) -",), ("dev | Mar 2019 - Present",), ("10/2018 02/2020  x",), (None,)], "t string").select(said.alias("x"))
+    assert [r["x"] for r in got.collect()] == ["lead dev", "dev", "x", None]
+    assert "CASE WHEN" in plan(got)
+
+
+def test_a_language_is_found_once_a_text(spark, sf_dir):
+    from rankweave.plans.registry import QUERIES
+
+    shown = QUERIES["supported_language"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count(routing.SCRIPTS) == 1
