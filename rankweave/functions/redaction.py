@@ -123,18 +123,20 @@ EXERCISES = [
 
 def metrics(description: Column) -> Column:
     """The distinct snippets of a description that measure impact, in the order of the patterns."""
-    each = (F.regexp_extract_all(description, F.lit(f"(?iuU){p}"), F.lit(0)) for p in IMPACT)
+    digits = description.rlike(r"\p{Nd}")  # without one only the last pattern finds anything
+    some = lambda p: F.regexp_extract_all(description, F.lit(f"(?iuU){p}"), F.lit(0))
+    each = (some(p) if p == IMPACT[-1] else F.when(digits | description.isNull(), some(p)).otherwise(F.array().cast("array<string>")) for p in IMPACT)
     return F.array_distinct(F.transform(F.concat(*each), lambda x: F.trim(x)))
 
 
-def project_depth(description: Column, skills: Column) -> Column:
-    """A project's depth from 0 to 100, read from its description and the number of its skills."""
+def project_depth(description: Column, skills: Column, found: Column | None = None) -> Column:
+    """A project's depth from 0 to 100, read from its description and the number of its skills. found: its metrics, if they are there already."""
     said = F.coalesce(description, F.lit(""))
     t = F.lower(said)
     hits = reduce(lambda a, b: a + b, (F.contains(t, F.lit(w)).cast("int") for w in COMPLEXITY))
     template = reduce(lambda a, b: a | b, (t.rlike(f"(?U){p}") for p in EXERCISES))
     total = (
-        30.0 - F.when(template, 15.0).otherwise(0.0) + F.least(hits * 8.0, F.lit(35.0)) + F.least(F.size(metrics(said)) * 10.0, F.lit(25.0)) + F.when(skills >= 6, 15.0).when(skills >= 3, 10.0).otherwise(0.0)
+        30.0 - F.when(template, 15.0).otherwise(0.0) + F.least(hits * 8.0, F.lit(35.0)) + F.least(F.size(metrics(said) if found is None else found) * 10.0, F.lit(25.0)) + F.when(skills >= 6, 15.0).when(skills >= 3, 10.0).otherwise(0.0)
         - F.when(F.length(F.trim(t)) < 60, 20.0).otherwise(0.0)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(total, 1)))
@@ -144,7 +146,7 @@ def project_months(t: Column, as_of_year: int | Column) -> Column:
     """Months of a project: a range of dates, else months said, else years said after a word of duration, else three;
     null for a number that is no integer."""
     span = r"(?iu)(\d{1,2})?[/-]?(\d{4})\s*[-–—]\s*(?:(\d{1,2})?[/-]?(\d{4})|present|hiện\s*tại|nay)"
-    part = lambda k, rest: F.coalesce(F.nullif(F.regexp_extract(t, span, k), F.lit("")).try_cast("int"), F.lit(rest))
+    part = lambda k, rest: let(F.regexp_extract(t, span, k), lambda x: F.coalesce(F.nullif(x, F.lit("")).try_cast("int"), F.lit(rest)))
     months = (part(4, as_of_year) - part(2, 0)) * 12 + part(3, 12) - part(1, 1)
     said = F.regexp_extract(t, r"(?iu)(\d+)\s*(?:tháng|months?|mos?)\b", 1)
     years = F.regexp_extract(t, r"(?iu)(?:thời\s*gian|thời\s*lượng|duration|kéo\s*dài)[:\s]+(\d+)\s*(?:năm|years?|yrs?)\b", 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import redaction
 from rankweave.functions.guardrails import let
+from rankweave.functions.unicode import trimmed
 from rankweave.operators import skills
 from rankweave.sources.tables import spread
 
@@ -40,7 +41,7 @@ def _split(lines: Column) -> Column:
 def blocks(text: Column) -> Column:
     """array<array<string>>: the lines of each block of a text, from the parts under headings of projects and work, or, where there is no such
     part, from each line with a project's or company's mark on. Empty for null and texts of fewer than 30 characters."""
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), trimmed)
     none = F.array().cast("array<array<string>>")
     opens = lambda x: (x.rlike(OPENS[0]) | x.rlike(OPENS[1]))
 
@@ -56,7 +57,7 @@ def blocks(text: Column) -> Column:
         return let(full, lambda f: _cut(f, F.filter(F.transform(f, lambda x, i: F.when(x.rlike(MARK), i)), lambda i: i.isNotNull()), F.size(f)))
 
     found = let(lines, lambda c: let(under_headings(c), lambda b: F.when(F.size(b) > 0, b).otherwise(marked(c))))
-    return F.when(F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) >= LEAST_TEXT, found).otherwise(none)
+    return F.when(F.length(trimmed(text)) >= LEAST_TEXT, found).otherwise(none)
 
 
 def named(block: Column) -> Column:
@@ -81,4 +82,5 @@ def projects(docs: DataFrame, doc_id: str, terms: DataFrame, text_col: str = "te
     each = each.join(of, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("at") == F.col("_at")), "left")
     each = each.select("doc", "at", "name", "text", F.coalesce("skills", F.array().cast("array<string>")).alias("skills"))
     year = F.year(F.current_date()) if as_of_year is None else F.lit(as_of_year)
-    return each.select("*", redaction.project_months(F.col("text"), year).alias("months"), redaction.metrics(F.col("text")).alias("metrics"), redaction.project_depth(F.col("text"), F.size("skills")).alias("depth"))
+    each = each.select("*", redaction.project_months(F.col("text"), year).alias("months"), redaction.metrics(F.col("text")).alias("metrics"))
+    return each.withColumn("depth", redaction.project_depth(F.col("text"), F.size("skills"), F.col("metrics")))

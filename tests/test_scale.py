@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.functions import dates, resumes, routing, unicode
-from rankweave.operators import claims, profiles, relational
+from rankweave.functions import dates, redaction, resumes, routing, unicode
+from rankweave.operators import claims, profiles, projects, relational
 from rankweave.sources import tables
 from rankweave.streaming import state as live
 
@@ -83,3 +83,25 @@ def test_a_language_is_found_once_a_text(spark, sf_dir):
 
     shown = QUERIES["supported_language"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count(routing.SCRIPTS) == 1
+
+
+def test_metrics_are_looked_for_once_a_block(spark):
+    texts = ["cut latency by 40 ms, 35% less cost", "memory and CPU", "no such", "", None]
+    t = F.col("t")
+    every = F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(t, F.lit(f"(?iuU){p}"), F.lit(0)) for p in redaction.IMPACT)), F.trim))
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(redaction.metrics(t).alias("m"), every.alias("e")).collect()
+    assert all(r["m"] == r["e"] for r in got) and len(got[0]["m"]) >= 3 and got[4]["m"] is None
+    docs = spark.createDataFrame([(1, "Projects\nShop - saved 120 ms for 2k users over a long while")], "id int, t string")
+    terms = spark.createDataFrame([("x", "x", "c", "r")], "variant string, slug string, category string, role string")
+    shown = projects.projects(docs, "id", terms, "t", 2026)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count(redaction.IMPACT[-1]) == 1
+
+
+def test_entities_turn_few_rows_at_a_time_into_lists(spark, monkeypatch):
+    from rankweave.operators import routing as router
+
+    assert router.ROWS <= 1000
+    monkeypatch.setattr(router, "ROWS", 2)
+    docs = spark.createDataFrame([(i, f"a{i} big data") for i in range(7)], "id int, t string").coalesce(1)
+    got = router.entities(docs, "id", "t", spark.createDataFrame([("k", "big data"), ("k", "a3")], "kind string, phrase string"))
+    assert sorted((r["doc"], r["at"], r["phrase"]) for r in got.collect()) == sorted([(i, 1, "big data") for i in range(7)] + [(3, 0, "a3")])
