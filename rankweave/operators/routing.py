@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from rankweave.functions import routing
 from rankweave.functions.unicode import folded
 
+#: Rows whose tokens are Python objects at a time.
+ROWS = 200
 #: A dictionary of more phrases, or more characters of them, is not broadcast.
 MOST_PHRASES, MOST_CHARS = 1_000_000, 64 << 20
 #: A token of the folded view: a run of letters and digits, or any other sign by itself.
@@ -61,12 +63,14 @@ def entities(docs: DataFrame, doc_id: str, text_col: str, dictionary: DataFrame)
 
     def search(batches):
         for batch in batches:
-            owner, out = [], []
-            for i, tokens in enumerate(batch.column(1).to_pylist()):
-                for hit in named(tokens or []):
-                    owner.append(i)
-                    out.append(hit)
-            columns = [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array([h[k] for h in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            # a few rows' tokens at a time: as Python lists they take many times the batch's memory
+            for part in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                owner, out = [], []
+                for i, tokens in enumerate(part.column(1).to_pylist()):
+                    for hit in named(tokens or []):
+                        owner.append(i)
+                        out.append(hit)
+                columns = [part.column(0).take(pa.array(owner, pa.int64()))] + [pa.array([h[k] for h in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(search, schema)
