@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import numbers, text
-from rankweave.sources.tables import spread
+from rankweave.sources.tables import kept, spread
 
 K1, B = 1.5, 0.75
 #: (query, term) weights and query vectors that are broadcast at once; further queries are taken in further blocks.
@@ -61,75 +61,127 @@ def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])
 
 
+#: Bytes of text that a task splits into words at once, and (document, query) products that it adds up at once.
+TEXT_STEP, ENTRIES = 8 << 20, 1 << 21
+_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_+#.", np.uint8))
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of words of each text, all words) of lower-cased texts without nulls: ``text.tokens``, found by the texts' bytes."""
+    wide = pa.types.is_large_string(texts.type)
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    inside = _WORD[whole]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    border = at[(at > 0) & (at < len(whole))]
+    opens[border] = inside[border]
+    closes[border - 1] = inside[border - 1]
+    first = np.flatnonzero(opens)
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(closes) + 1 - first)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(whole[inside]))])
+    return np.diff(np.searchsorted(first, at)), words
+
+
+_COUNTED = [("length", T.IntegerType()), ("terms", T.ArrayType(T.IntegerType())), ("times", T.ArrayType(T.IntegerType()))]
+
+
+def _counted(batch: pa.RecordBatch, vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(doc, length, terms, times): how many words each text of (doc, text) has, and how often which words of the vocabulary, by their numbers."""
+    texts = batch.column(1)
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    done = 0
+    while done < batch.num_rows:
+        stop = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + TEXT_STEP, "right")))
+        lengths, words = _words(texts.slice(done, stop - done))
+        found = pc.index_in(words, vocabulary)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        key = np.repeat(np.arange(len(lengths)), lengths)[known] * len(vocabulary) + found.drop_null().to_numpy()
+        key, times = np.unique(key, return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(lengths) + 1) * len(vocabulary)).astype(np.int32)
+        listed = lambda x, ends=ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, stop - done), pa.array(lengths.astype(np.int32)), listed(key % max(len(vocabulary), 1)), listed(times)], names=["doc", *(n for n, _ in _COUNTED)])
+        done = stop
+
+
 class _Weights:
-    """The queries' term weights: a row of queries for each term."""
+    """The queries' term weights: a row of queries for each term of a vocabulary."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, vocabulary: list[str], idf: np.ndarray):
         self.queries = sorted({r["query"] for r in rows})
-        number = {q: i for i, q in enumerate(self.queries)}
-        terms = sorted({r["term"] for r in rows})
-        of = {t: i for i, t in enumerate(terms)}
+        number, of = {q: i for i, q in enumerate(self.queries)}, {t: i for i, t in enumerate(vocabulary)}
         at = np.array([of[r["term"]] for r in rows], np.int64)
         order = np.argsort(at, kind="stable")
-        self.terms, self.starts = pa.array(terms, pa.string()), np.searchsorted(at[order], np.arange(len(terms) + 1))
+        self.starts = np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
         self.query = np.array([number[r["query"]] for r in rows], np.int64)[order]
-        self.weight = np.array([r["idf"] for r in rows], float)[order]
-
-    def scores(self, tokens: pa.ListArray, mean: float) -> np.ndarray:
-        """(documents x queries) BM25 scores of token lists."""
-        at, of, lengths = _known(tokens, self.terms)
-        key, tf = np.unique(of * len(self.terms) + at, return_counts=True)
-        doc, term = key // max(len(self.terms), 1), key % max(len(self.terms), 1)
+        self.weight = (np.array([r["times"] for r in rows], float) * idf[at])[order]
+
+    def scores(self, rows: pa.RecordBatch, mean: float) -> np.ndarray:
+        """(documents x queries) BM25 scores of rows of ``_counted``."""
+        lengths, terms, tf = np.asarray(rows.column(1)), rows.column(2).flatten().to_numpy(), rows.column(3).flatten().to_numpy()
+        ends = rows.column(2).offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        doc = np.repeat(np.arange(len(lengths)), np.diff(ends))
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
-        size = self.starts[term + 1] - self.starts[term]
-        ends = np.cumsum(size)
-        entry = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.starts[term], size)
-        cell = np.repeat(doc, size) * len(self.queries) + self.query[entry]
-        made = np.bincount(cell, weights=np.repeat(part, size) * self.weight[entry], minlength=len(lengths) * len(self.queries))
-        return made.reshape(len(lengths), len(self.queries))
-
-
-def _bm25_blocks(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str) -> tuple[DataFrame, Iterator[tuple[_Weights, float]]]:
-    """(documents with tokens, blocks of at most about BLOCK_TERMS query weights with the documents' mean length).
-
-    A block's terms are counted in one pass over all documents, in the tasks; only a row a term and task is shuffled.
+        size = self.starts[terms + 1] - self.starts[terms]
+        made = np.zeros((len(lengths), len(self.queries)))
+        upto, done = np.concatenate([[0], np.cumsum(size)])[ends], 0
+        while done < len(lengths):
+            stop = max(done + 1, int(np.searchsorted(upto, upto[done] + ENTRIES, "right")) - 1)
+            own = slice(ends[done], ends[stop])
+            n = size[own]
+            entry = np.arange(upto[stop] - upto[done]) + np.repeat(self.starts[terms[own]] - (np.cumsum(n) - n), n)
+            cell = np.repeat((doc[own] - done) * len(self.queries), n) + self.query[entry]
+            made[done:stop] = np.bincount(cell, weights=np.repeat(part[own], n) * self.weight[entry], minlength=(stop - done) * len(self.queries)).reshape(stop - done, -1)
+            done = stop
+        return made
+
+
+def _bm25_blocks(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str) -> Iterator[tuple[DataFrame, _Weights, float]]:
+    """Blocks of at most about BLOCK_TERMS query weights, each with the documents' counts of its terms and their mean length.
+
+    The texts are split into words once a block, in the tasks; what is kept of a document is how often it has which of the block's terms.
     """
     terms = queries.select(F.col(query_id).alias("query"), F.explode(text.query_tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    tokened = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text_col))).select("doc", F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
+    texts = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text_col))).select("doc", F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    schema = T.StructType([T.StructField("doc", docs.schema[doc_id].dataType), *(T.StructField(*c) for c in _COUNTED)])
     blocks = -(-terms.count() // BLOCK_TERMS)
-
-    def counted(vocabulary: list[str]) -> tuple[dict[str, int], int, float]:
+    for k in range(blocks):
+        rows = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)).collect()
+        if not rows:
+            continue
+        vocabulary = sorted({r["term"] for r in rows})
         shared = docs.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
 
-        def run(batches):
-            df, n, total = np.zeros(len(shared.value), np.int64), 0, 0
+        def count(batches, shared=shared):
             for batch in batches:
-                at, doc, lengths = _known(batch.column(0), shared.value)
-                df += np.bincount(np.unique(doc * len(df) + at) % len(df), minlength=len(df))
-                n, total = n + len(lengths), total + int(lengths.sum())
-            some = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([df[some], [n, total]]))], names=["term", "n"])
+                yield from _counted(batch, shared.value)
 
-        made = {r["term"]: r["n"] for r in tokened.select("tokens").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        return {vocabulary[k]: n for k, n in made.items() if k >= 0}, made.get(-1, 0), made.get(-2, 0) / max(made.get(-1, 0), 1) or 1.0
+        counted = kept(texts.mapInArrow(count, schema), "terms")
 
-    def each() -> Iterator[tuple[_Weights, float]]:
-        for k in range(blocks):
-            rows = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)).collect()
-            df, n, mean = counted(sorted({r["term"] for r in rows})) if rows else ({}, 0, 1.0)
-            weighed = [{"query": r["query"], "term": r["term"], "idf": r["times"] * math.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1)} for r in rows if r["term"] in df]
-            if weighed:
-                yield _Weights(weighed), mean
+        def add(batches, width=len(vocabulary)):
+            df, n, total = np.zeros(width, np.int64), 0, 0
+            for batch in batches:
+                df += np.bincount(batch.column(1).flatten().to_numpy(), minlength=width)
+                n, total = n + batch.num_rows, total + int(np.asarray(batch.column(0)).sum(dtype=np.int64))
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([df[some], [n, total]]))], names=["term", "n"])
 
-    return tokened, each()
+        made = {r["term"]: r["n"] for r in counted.select("length", "terms").mapInArrow(add, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n, mean = made.get(-1, 0), made.get(-2, 0) / max(made.get(-1, 0), 1) or 1.0
+        if any(t >= 0 for t in made):
+            idf = np.array([math.log((n - made.get(t, 0) + 0.5) / (made.get(t, 0) + 0.5) + 1) for t in range(len(vocabulary))])
+            yield counted, _Weights(rows, vocabulary, idf), mean
 
 
-def _known(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term numbers, document numbers) of the tokens that are terms, and all documents' lengths."""
-    lengths = np.diff(tokens.offsets.to_numpy())
-    at = pc.index_in(tokens.flatten(), terms)
-    known = ~np.asarray(at.is_null())
-    return at.drop_null().to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)[known], lengths
+def _leading(score: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which cells may be among the k best of their column, the columns' new bars): a bar is the k-th best of some rows seen, ties stay."""
+    if len(score) >= k:
+        bar = np.maximum(bar, np.partition(score, len(score) - k, axis=0)[len(score) - k])
+    return (score > 0) & (score >= bar), bar
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, text_col: str = "text") -> DataFrame:
@@ -138,20 +190,20 @@ def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k:
     A task scores its documents against all queries as one sparse product and keeps k a query, so that what is shuffled follows the
     number of tasks, not that of (query, document) pairs. Scores are rounded to PLACES.
     """
-    tokened, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
     schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("doc", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
     out = None
-    for made, mean in blocks:
+    for counted, made, mean in _bm25_blocks(docs, queries, doc_id, query_id, text_col):
         shared = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, shared=shared, mean=mean):
             own, best, names = shared.value, Best(k), None
-            step = max(1, CELLS // max(len(own.queries), 1))
+            step, bar = max(1, CELLS // max(len(own.queries), 1)), np.zeros(len(own.queries))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    score = np.round(own.scores(part.column(1), mean), PLACES)
-                    doc, query = np.nonzero(score > 0)
+                    score = np.round(own.scores(part, mean), PLACES)
+                    keep, bar = _leading(score, k, bar)
+                    doc, query = np.nonzero(keep)
                     best.add(query, -score[doc, query], part.column(0).take(pa.array(doc)))
                     names = part.column(0).type
             rows = best.rows() if names is not None else None
@@ -159,17 +211,16 @@ def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k:
                 query, value, doc = rows
                 yield pa.RecordBatch.from_arrays([pa.array([own.queries[i] for i in query], to_arrow_type(schema["query"].dataType)), doc, pa.array(-value)], names=["query", "doc", "score"])
 
-        found = top(tokened.mapInArrow(run, schema), k).select("query", "doc", "score")
+        found = top(counted.mapInArrow(run, schema), k).select("query", "doc", "score")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def bm25_summary(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
     """(query, docs, best, total): how many documents share a term with each query, the best score and the sum, added up in the tasks."""
-    tokened, blocks = _bm25_blocks(docs, queries, doc_id, query_id, text_col)
     schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("docs", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("total", T.DoubleType())])
     out = None
-    for made, mean in blocks:
+    for counted, made, mean in _bm25_blocks(docs, queries, doc_id, query_id, text_col):
         shared = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, shared=shared, mean=mean):
@@ -178,14 +229,14 @@ def bm25_summary(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str
             n, best, total = np.zeros(len(own.queries), np.int64), np.zeros(len(own.queries)), np.zeros(len(own.queries))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
-                    score = np.round(own.scores(batch.slice(at, step).column(1), mean), PLACES)
+                    score = np.round(own.scores(batch.slice(at, step), mean), PLACES)
                     n += (score > 0).sum(0)
                     best = np.maximum(best, score.max(0, initial=0))
                     total += score.sum(0)
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([own.queries[i] for i in some], to_arrow_type(schema["query"].dataType)), pa.array(n[some]), pa.array(best[some]), pa.array(total[some])], names=schema.names)
 
-        found = tokened.select("doc", "tokens").mapInArrow(run, schema).groupBy("query").agg(F.sum("docs").alias("docs"), F.max("best").alias("best"), F.sum("total").alias("total"))
+        found = counted.mapInArrow(run, schema).groupBy("query").agg(F.sum("docs").alias("docs"), F.max("best").alias("best"), F.sum("total").alias("total"))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.functions import text
+from rankweave.functions.guardrails import let
 from rankweave.sources.tables import spread
 
 FUZZY_RATIO, FUZZY_LENGTH, RELATED = 88, 4, 8
@@ -29,18 +30,23 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TAXONOMY, "variant string, slug string, category string, role string")
 
 
-def found(rows: DataFrame, view: str, terms: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep.., slug): the skills that a matched text (``text.matched``) names by a variant of any number of words, each once a row.
+def named(rows: DataFrame, view: str, terms: DataFrame) -> DataFrame:
+    """rows with slugs: the sorted skills that a matched text (``text.matched``) names by a variant of any number of words; none for null.
 
-    terms is a small dimension table: its variants are gathered into one array and one row, so that only the words that a text has of
-    theirs are exploded.
+    terms is a small dimension table: its variants are gathered into one row, so that nothing but that row goes to the texts.
     """
-    sizes = terms.agg(F.coalesce(F.max(F.size(F.split("variant", " "))), F.lit(1)).alias("most"), F.collect_set("variant").alias("variants"))
-    words = rows.crossJoin(F.broadcast(sizes)).withColumn("_w", F.filter(F.split(view, " "), lambda w: w != ""))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.col("most")), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(-1)) + 1), lambda i: F.array_join(F.slice("_w", i + 1, n), " "))))
-    several = F.when(F.col("most") == 1, F.col("_w")).otherwise(grams)
-    named = words.select(*keep, F.explode(F.array_intersect(several, F.col("variants"))).alias("variant"))
-    return named.join(F.broadcast(terms.select("variant", "slug")), "variant").select(*keep, "slug").distinct()
+    by = terms.where("variant is not null").groupBy("variant").agg(F.collect_set("slug").alias("slugs"))
+    one = by.agg(F.coalesce(F.max(F.size(F.split("variant", " "))), F.lit(1)).alias("_most"), F.map_from_entries(F.collect_list(F.struct("variant", "slugs"))).alias("_of"))
+    words = F.filter(F.split(view, " "), lambda w: w != "")
+    several = lambda ws: F.flatten(F.transform(F.sequence(F.lit(1), F.col("_most")), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(-1)) + 1), lambda i: F.array_join(F.slice(ws, i + 1, n), " "))))
+    grams = F.when(F.col("_most") == 1, F.split(view, " ")).otherwise(let(words, several))
+    slugs = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_intersect(grams, F.map_keys("_of")), lambda v: F.col("_of")[v]))))
+    return rows.crossJoin(F.broadcast(one)).withColumn("slugs", F.coalesce(slugs, F.array().cast("array<string>"))).drop("_most", "_of")
+
+
+def found(rows: DataFrame, view: str, terms: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep.., slug): the skills that a matched text names, each once a row of equal keep."""
+    return named(rows, view, terms).select(*keep, F.explode("slugs").alias("slug")).distinct()
 
 
 def extract(docs: DataFrame, terms: DataFrame, doc_id: str, text_col: str = "text", near: bool = False) -> DataFrame:

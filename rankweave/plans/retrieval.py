@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import numbers, text
 from rankweave.operators import retrieval, skills
 from rankweave.plans.registry import query
-from rankweave.sources.tables import kept, table
+from rankweave.sources.tables import kept, spread, table
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _TAXONOMY = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in skills.TAXONOMY) + ") AS taxonomy(variant, slug, category, role)"
@@ -253,17 +253,16 @@ items_with AS (SELECT item_id, trim(array_to_string(list_filter(list_concat([tex
 _ITEM_SKILLS = f"(SELECT DISTINCT item_id, slug FROM (SELECT item_id, ' ' || {text.sql_matched('text')} || ' ' AS view FROM benchmark) JOIN {_TAXONOMY} ON contains(view, ' ' || variant || ' '))"
 
 
-def _named(spark, rows: DataFrame, key: str) -> DataFrame:
+def _named(spark, rows: DataFrame) -> DataFrame:
     """rows with the sorted names of the skills that each text names."""
-    of = skills.extract(rows, skills.taxonomy(spark), key).groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
-    return rows.join(of, key, "left").withColumn("slugs", F.coalesce("slugs", F.array().cast("array<string>")))
+    return skills.named(spread(rows).withColumn("view", text.matched(F.col("text"))), "view", skills.taxonomy(spark)).drop("view")
 
 
 @query(f"WITH {_SKILLS}, {_WORDED.format(hits=_ITEM_SKILLS)}, {_bm25_sql('docs_with', 'doc_id', 'items_with', 'item_id').strip()}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM lexical) SELECT query AS item_id, doc AS doc_id, score, place FROM r WHERE place <= 10")
 def bm25_with_skills(spark, sf_dir):
     """For every item its ten best documents by BM25, over texts with the names of the skills that they name."""
-    docs = _named(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", skills.bm25_document(F.col("text"), F.col("slugs")).alias("text"))
-    items = _named(spark, table(spark, sf_dir, "benchmark"), "item_id").select("item_id", skills.bm25_query(F.col("text"), F.col("slugs")).alias("text"))
+    docs = _named(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", skills.bm25_document(F.col("text"), F.col("slugs")).alias("text"))
+    items = _named(spark, table(spark, sf_dir, "benchmark")).select("item_id", skills.bm25_query(F.col("text"), F.col("slugs")).alias("text"))
     return retrieval.top(retrieval.bm25_top(docs, items, "doc_id", "item_id", 10), 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "place")
 
 

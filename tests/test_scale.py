@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.functions import dates, redaction, resumes, routing, unicode
-from rankweave.operators import claims, profiles, projects, relational
+from rankweave.functions import text as texts
+from rankweave.operators import claims, profiles, projects, relational, retrieval, skills
+from rankweave.plans import registry
 from rankweave.sources import tables
 from rankweave.streaming import state as live
 
@@ -105,3 +107,57 @@ def test_entities_turn_few_rows_at_a_time_into_lists(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i} big data") for i in range(7)], "id int, t string").coalesce(1)
     got = router.entities(docs, "id", "t", spark.createDataFrame([("k", "big data"), ("k", "a3")], "kind string, phrase string"))
     assert sorted((r["doc"], r["at"], r["phrase"]) for r in got.collect()) == sorted([(i, 1, "big data") for i in range(7)] + [(3, 0, "a3")])
+
+
+def test_bm25_splits_each_text_once(spark):
+    rows = spark.createDataFrame([(1, "Spark, spark\u00e9c++ and Hue"), (2, ""), (3, None), (4, "\u0130stanbul C#\u2014.net \u212a8s"), (5, "a"), (6, "\u00e9")], "id int, text string").repartition(2)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    asked = spark.createDataFrame([(1, "spark c++"), (2, "k8s i")], "q int, text string")
+    got = retrieval.bm25_top(rows.mapInArrow(seen, rows.schema), asked, "id", "q", 3)
+    assert {(r["query"], r["doc"]) for r in got.collect()} == {(1, 1), (2, 4)}
+    assert read.value == 6
+
+
+def test_words_by_bytes_are_tokens(spark):
+    said = ["Spark, spark\u00e9c++ and Hue", "", "x", " x", "x ", None, "\u0130stanbul C#\u2014.net \u212a8s", "\u00e9", "a_b.c d", "abc"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string")
+    want = [r["w"] or [] for r in rows.select(texts.tokens(F.col("t")).alias("w")).collect()]
+    low = rows.select(F.lower(F.coalesce("t", F.lit(""))).alias("t")).toArrow().column("t").combine_chunks()
+    for part in (low, low.slice(1, 5), low.slice(3), low.slice(1, 1)):
+        first = next(k for k in range(len(low)) if low.slice(k, len(part)).equals(part))
+        n, words = retrieval._words(part)
+        assert (n.tolist(), words.to_pylist()) == ([len(w) for w in want[first : first + len(part)]], sum(want[first : first + len(part)], []))
+
+
+def test_best_documents_of_many_steps(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "a " * (i % 5) + "b " * (i % 3) + "c") for i in range(60)], "id int, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "b")], "q int, text string")
+    whole = sorted(map(tuple, retrieval.bm25_top(rows, asked, "id", "q", 60).collect()))
+    want = [r for q in (1, 2, 3) for r in sorted((r for r in whole if r[0] == q), key=lambda r: (-r[2], r[1]))[:4]]
+    score, kept = retrieval.np.array([[1.0, 0.0], [2.0, 0.0], [2.0, 3.0]]), []
+    for part in (score[:2], score[2:], score):
+        kept.append(retrieval._leading(part, 2, retrieval.np.zeros(2))[0].tolist())
+    assert kept == [[[True, False], [True, False]], [[True, True]], [[False, False], [True, False], [True, True]]]
+    assert sorted(map(tuple, retrieval.bm25_top(rows, asked, "id", "q", 4).collect())) == sorted(want)
+
+
+def test_skills_are_named_without_a_shuffle_of_texts(spark):
+    rows = spark.createDataFrame([(1, "we use k8s on big  data, big"), (2, "big"), (3, None), (4, "go")], "id int, view string")
+    terms = spark.createDataFrame([("k8s", "kubernetes"), ("big data,", "data"), ("go", "go"), ("go", "golang")], "variant string, slug string")
+    got = skills.named(rows, "view", terms)
+    assert {r["id"]: r["slugs"] for r in got.collect()} == {1: ["data", "kubernetes"], 2: [], 3: [], 4: ["go", "golang"]}
+    assert sorted(map(tuple, skills.found(rows, "view", terms, ["id"]).collect())) == [(1, "data"), (1, "kubernetes"), (4, "go"), (4, "golang")]
+    assert "SortMergeJoin" not in plan(got) and "hashpartitioning(id" not in plan(got)
+
+
+def test_matched_squeezes_uneven_space_only(spark):
+    said = ["a  b", "a \nb", "a\n b", "a\tb", " a b ", "a.\n\nb, c", "\u00c0 la\u0301  c", "\x0b a\x0c\r\n b", "a...", ""]
+    old = F.regexp_replace(F.translate(F.lower("t"), texts.ACCENTED, texts.FOLDED), r"[\x{300}-\x{36F}]", "")
+    old = F.trim(F.regexp_replace(F.regexp_replace(old, texts.WORD_END, " "), r"\s+", " "))
+    assert [r for r in spark.createDataFrame([(x,) for x in said], "t string").select("t", texts.matched(F.col("t")).alias("m"), old.alias("o")).collect() if r["m"] != r["o"]] == []
