@@ -8,7 +8,7 @@ from rankweave.functions import numbers
 from rankweave.operators import claims, profiles, retrieval, skills
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import _BM25, _DENSE, _TAXONOMY, _dense, _lexical, _skill_sets
-from rankweave.sources.tables import table
+from rankweave.sources.tables import kept, table
 
 _NONE = "array<string>"
 
@@ -79,8 +79,8 @@ x AS (SELECT query, doc, place, coalesce(s, []) AS s FROM t LEFT JOIN o ON doc_i
 SELECT query, doc, place, array_to_string(s, ',') AS skills, coalesce((SELECT string_agg(DISTINCT other, ',' ORDER BY other) FROM near WHERE list_contains(s, slug) AND NOT list_contains(s, other)), '') AS related FROM x""")
 def match_evidence(spark, sf_dir):
     """The evidence rows of every item's run: the ten best documents with their skills and related ones."""
-    ranked = retrieval.top(_lexical(spark, sf_dir, 10), 10).select("query", "doc", "place")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("view"))
+    ranked = kept(retrieval.top(_lexical(spark, sf_dir, 10), 10).select("query", "doc", "place"), "ranked")
+    docs = table(spark, sf_dir, "documents").join(ranked.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.lower("text").alias("view"))
     owned = skills.found(docs, "view", skills.taxonomy(spark), ["doc_id"]).groupBy(F.col("doc_id").alias("doc")).agg(F.array_sort(F.collect_set("slug")).alias("skills"))
     rows = ranked.join(owned, "doc", "left").withColumn("skills", F.coalesce("skills", F.array().cast(_NONE)))
     found = claims.match_evidence(rows, skills.taxonomy(spark))

@@ -161,3 +161,7 @@ def test_matched_squeezes_uneven_space_only(spark):
     old = F.regexp_replace(F.translate(F.lower("t"), texts.ACCENTED, texts.FOLDED), r"[\x{300}-\x{36F}]", "")
     old = F.trim(F.regexp_replace(F.regexp_replace(old, texts.WORD_END, " "), r"\s+", " "))
     assert [r for r in spark.createDataFrame([(x,) for x in said], "t string").select("t", texts.matched(F.col("t")).alias("m"), old.alias("o")).collect() if r["m"] != r["o"]] == []
+
+
+def test_match_evidence_looks_for_skills_in_ranked_documents_only(spark, sf_dir):
+    assert "LeftSemi" in plan(registry.QUERIES["match_evidence"](spark, sf_dir))
