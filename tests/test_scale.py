@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
-from rankweave.functions import dates, redaction, resumes, routing, unicode
+from rankweave.functions import dates, guardrails, redaction, resumes, routing, unicode
 from rankweave.functions import text as texts
 from rankweave.operators import claims, profiles, projects, relational, retrieval, skills
 from rankweave.plans import registry
@@ -165,3 +166,28 @@ def test_matched_squeezes_uneven_space_only(spark):
 
 def test_match_evidence_looks_for_skills_in_ranked_documents_only(spark, sf_dir):
     assert "LeftSemi" in plan(registry.QUERIES["match_evidence"](spark, sf_dir))
+
+
+def test_blanks_and_ends_of_words_name_no_asset(spark):
+    plain = "that werden then vary scot der"
+    got = spark.range(1).select(*(f(F.lit(plain), guardrails.squeezed(F.lit(plain))) for f in (guardrails._assets, guardrails._inherent))).first()
+    assert tuple(got) == (False, False)
+
+
+def test_signals_of_odd_words_equal_sql(spark):
+    words = ["your", "that", "show", "send me", " erd ", "cột", ".env", "x.énv", "db", "sch3ma", "s-t-r", "structure", "RM  -rf", "pr0mpt", "d a t 4 base", "env variables", "then v", "api_k3y", "werden", "passwörd"]
+    said = [f"{a} {b} {c}" for a in words for b in words for c in ("internal", ".", "give")]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", F.array_join(guardrails.injection_signals(F.col("t")), ",").alias("s"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE said (i INTEGER, t VARCHAR)")
+    con.executemany("INSERT INTO said VALUES (?, ?)", list(enumerate(said)))
+    sql = f"SELECT i, array_to_string({guardrails.sql_signals('lower(t)', 'view')}, ',') FROM (SELECT i, t, {guardrails.sql_folded('t')} AS view FROM said)"
+    want = dict(con.sql(sql).fetchall())
+    assert {r["i"]: r["s"] for r in rows.collect()} == want
+    assert sum(bool(s) for s in want.values()) > 20
+
+
+def test_outer_space_goes_whatever_it_is(spark):
+    said = ["a", " a", "a　", "\r\na\n", "", " ", "  a b  ", None, "​ a"]
+    got = [r["n"] for r in spark.createDataFrame([(x,) for x in said], "t string").select(guardrails.normalized(F.col("t")).alias("n")).collect()]
+    assert got == ["a", "a", "a", "a", "", "", "a b", None, "a"]
