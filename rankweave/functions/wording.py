@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankweave.functions import text
+from rankweave.functions.guardrails import let
 
 # Marks and words of Vietnamese, signs of a list, code fences, and summaries and titles that are no content.
 VI_TOKENS = r"\b(va|cua|la|khong|kinh|nghiem|yeu|cau)\b"
+#: The same words, tried only at their first letters.
+_VI_TOKENS = VI_TOKENS.replace(r"\b(", r"\b(?=[vclkny])(", 1)
 VI_MARKS = "[àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ]"
 BULLETS = r"^([-*•] |•)"
 FENCE = r"(?is)^```(json|markdown|md)?\s*(.*?)\s*```$"
@@ -43,15 +46,18 @@ def profile_lines(parts: dict[str, Column]) -> Column:
 
 
 def detected_language(t: Column) -> Column:
-    """vi for a text with Vietnamese marks or frequent words, else en."""
-    return F.when(F.lower(t).rlike(VI_MARKS) | text.matched(t).rlike(VI_TOKENS), "vi").otherwise("en")
+    """vi for a text with Vietnamese marks or frequent words, else en.
+
+    The words' ends are the same in the text as in its matched form (``text.matched``), which differs in signs and space only.
+    """
+    return let(F.lower(t), lambda low: F.when((F.octet_length(low) > F.length(low)) & low.rlike(VI_MARKS) | text.unaccented(low).rlike(_VI_TOKENS), "vi").otherwise("en"))
 
 
 def body_lines(t: Column) -> Column:
     """The lines of a text that aren't blank; its sentences if there are fewer than four."""
     real = lambda parts: F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
-    lines = real(F.split(t, "\n"))
-    return F.when(F.size(lines) >= 4, lines).otherwise(real(F.split(F.regexp_replace(t, r"([.。])\s+", "$1\u0001"), "\u0001")))
+    sentences = real(F.split(F.regexp_replace(t, r"([.。])\s+", "$1\u0001"), "\u0001"))
+    return let(real(F.split(t, "\n")), lambda lines: F.when(F.size(lines) >= 4, lines).otherwise(sentences))
 
 
 def requirements(t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from rankweave.functions import dates, guardrails, redaction, resumes, routing, unicode
+from rankweave.functions import dates, guardrails, redaction, resumes, routing, unicode, wording
 from rankweave.functions import text as texts
 from rankweave.operators import claims, profiles, projects, relational, retrieval, skills
 from rankweave.plans import registry
@@ -191,3 +191,19 @@ def test_outer_space_goes_whatever_it_is(spark):
     said = ["a", " a", "a　", "\r\na\n", "", " ", "  a b  ", None, "​ a"]
     got = [r["n"] for r in spark.createDataFrame([(x,) for x in said], "t string").select(guardrails.normalized(F.col("t")).alias("n")).collect()]
     assert got == ["a", "a", "a", "a", "", "", "a b", None, "a"]
+
+
+def test_language_of_a_text_is_that_of_its_matched_form(spark, monkeypatch):
+    said = ["la", "a la.", "va, x", "lava", "le là", "ñ cua", "ñ, yeu?", "la_", "kinhx", "KHONG", "ñ ĺa", "", "x\nnghiem\n", "(cau)", "caü", "đ", "e", None, "løa", "Kinh la"]
+    rows = spark.createDataFrame([(x,) for x in said], "t string")
+    matched = texts.matched(F.col("t"))
+    want = F.when(F.lower("t").rlike(wording.VI_MARKS) | matched.rlike(wording.VI_TOKENS), "vi").otherwise("en")
+    monkeypatch.setattr(texts, "matched", lambda t: F.raise_error(F.lit("the matched form is not needed")))
+    got = rows.select("t", wording.detected_language(F.col("t")).alias("a"), want.alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == [] and {r["a"] for r in got} == {"vi", "en"}
+
+
+def test_body_lines_or_sentences(spark):
+    said = ["a\n b\n\nc\nd ", "a. b.  c。 d", "one", "", "a\n\n. b\n"]
+    got = [r["l"] for r in spark.createDataFrame([(x,) for x in said], "t string").select(wording.body_lines(F.col("t")).alias("l")).collect()]
+    assert got == [["a", "b", "c", "d"], ["a.", "b.", "c。", "d"], ["one"], [], ["a\n\n.", "b\n"]]
