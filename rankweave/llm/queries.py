@@ -78,7 +78,7 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = lm.score(docs, docs.where(~held_out("doc_id", 7)), RANKS, public_tokenizers.PATTERN, carry=["doc_id"])
+    scored = lm.score(docs, ~held_out("doc_id", 7), RANKS, public_tokenizers.PATTERN, carry=["doc_id"])
     return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

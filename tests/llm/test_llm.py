@@ -531,6 +531,49 @@ def test_lm_probabilities_sum_to_one_and_training_helps():
     assert model.log_probs(inputs, targets, firsts).sum() > 0.6 * before
 
 
+def test_lm_words_are_encoded_together_and_told_apart_by_their_ids():
+    subwords = lm.Subwords(lm.read_vocabulary(queries.RANKS), public_tokenizers.PATTERN)
+    words = ["alpha", "it's", "'s", "x1y2", "日本", "a\u3000b", "--", "\u00a0", "z" * 300, "alpha", "!a", "é", "don't've"]
+    for some in (words, words[:4], ["日本"], []):
+        ids, sizes = subwords.encode(some)
+        each = [subwords.encoding.encode_ordinary(" " + w) for w in some]
+        assert ids.tolist() == [i for e in each for i in e] and sizes.tolist() == [len(e) for e in each]
+    ids, starts, _ = lm.subword_ids([" ".join(words), None, "alpha  beta"], subwords)
+    begins, hashes = lm.units(ids, subwords.opens, subwords.end)
+    assert len(begins) == len(words) + 2 + 3 and (hashes == 0).sum() == 3 and set(starts[1:] - 1) <= set(begins.tolist())
+    assert hashes[0] == hashes[9] == hashes[len(words) + 2] and len(set(hashes.tolist())) == len(set(words)) + 2
+
+
+def test_lm_blocks_in_runs_give_the_same_states_and_true_gradients():
+    rng = np.random.default_rng(4)
+    model = small_model()
+    ids, starts = rng.integers(0, 2500, 400).astype(np.int32), np.array([0, 150, 151, 400])
+    inputs, targets, firsts, before = lm.dealt(ids, starts, 2999)
+    flat = [x.reshape(-1, *x.shape[2:]) for x in (inputs, targets, firsts)]
+    assert (targets >= 0).sum() == len(ids) and len(inputs) == len(before) > 2
+    assert abs(model.attend(flat[0], flat[2], before)[0] - model.attend(flat[0], flat[2], lm._before(flat[0]))[0]).max() < 1e-5
+
+    def loss(params):
+        return -lm.Model(params).log_probs(*flat).sum() / len(ids)
+
+    names = [k for k in model.p if k != "rank"]
+    moved = lm.Model({k: v.copy() for k, v in model.p.items()})
+    moved.step(*flat, before, {k: np.full_like(model.p[k], 1e4) for k in names}, 100.0)  # with sums so large a step is the gradient itself
+    for k in names:
+        g = (model.p[k] - moved.p[k]).astype(np.float64)
+        size = 0.02 / np.sqrt((g * g).sum())
+        up, down = (loss(model.p | {k: (model.p[k] + x * size * g).astype(np.float32)}) for x in (1, -1))
+        assert abs((up - down) / (2 * size * (g * g).sum()) - 1) < 0.03, k
+
+
+def test_lm_learns_from_rows_of_the_texts_it_scores(spark):
+    rng = random.Random(5)
+    docs = frame(spark, [invented(rng, 30) for _ in range(30)] + ODD)
+    where, apart = (lm.score(docs, t, queries.RANKS, public_tokenizers.PATTERN, carry=["doc_id"]).orderBy("doc_id").collect() for t in (F.expr("doc_id % 3 > 0"), docs.where("doc_id % 3 > 0")))
+    assert all(a[:4] == b[:4] and abs(a["base_score"] - b["base_score"]) < 1e-9 * abs(b["base_score"]) + 1e-9 for a, b in zip(where, apart, strict=True))
+    assert len(where) == 30 + len(ODD) and all(np.isfinite(r["score"]) and r["score"] < 0 for r in where)
+
+
 # --- 10: chat
 
 
