@@ -17,8 +17,8 @@ PRESENT = "(?:present|now|current|nay|today|hiện tại|hien tai|hiện nay|hie
 RANGE = rf"(?iuU)((?:{NAMED}|{NUMBERED}))\s*(?:[-–—]|to)\s*(expected\s+)?((?:{NAMED}|{NUMBERED})|{PRESENT})"
 NAMED_RANGE = rf"(?iuU)({MONTH_NAME}\.?\s+\d{{4}})\s+({MONTH_NAME}\.?\s+\d{{4}})"
 NUMBERED_RANGE = r"(?U)(\d{1,2}[/-]\d{4})\s+(\d{1,2}[/-]\d{4})"
-#: What a line with any range of dates has, cheap to look for.
-DIGITS = r"\p{Nd}{2}"
+#: What a line with any range of dates has, cheap to look for: two digits before a dash or `to`, or a year before what may begin a date.
+MAY_RANGE = r"(?U)\p{Nd}{2}(?:\s*(?:[-–—]|[tT][oO])|(?<=\p{Nd}{4})\s+[\p{L}\p{Nd}])"
 #: The three patterns with the groups that hold their ends, in the order in which they are tried.
 RANGES = [(RANGE, 1, 3), (NAMED_RANGE, 1, 2), (NUMBERED_RANGE, 1, 2)]
 # Years of experience as texts claim them.
@@ -66,8 +66,8 @@ def pretty(token: Column, as_of: Column) -> Column:
 
 
 def has_range(line: Column) -> Column:
-    """Whether a line holds a range of dates; most lines lack two digits in a row and need no look at the patterns."""
-    return line.rlike(DIGITS) & (line.rlike(RANGE) | line.rlike(NAMED_RANGE) | line.rlike(NUMBERED_RANGE))
+    """Whether a line holds a range of dates; most lines have no digits before a dash or date and need no look at the patterns."""
+    return line.rlike(MAY_RANGE) & (line.rlike(RANGE) | line.rlike(NAMED_RANGE) | line.rlike(NUMBERED_RANGE))
 
 
 def range_label(line: Column, as_of: Column) -> Column:
@@ -80,10 +80,10 @@ def range_label(line: Column, as_of: Column) -> Column:
 
 
 def without_ranges(line: Column) -> Column:
-    """A line without its ranges of dates, spaces squeezed, and without dashes, bars and brackets at its ends; lines without two digits in a row have no
-    range and are only squeezed."""
+    """A line without its ranges of dates, spaces squeezed, and without dashes, bars and brackets at its ends; lines that can't have a range are only
+    squeezed."""
     cut = reduce(lambda c, r: F.regexp_replace(c, r[0], ""), RANGES, line)
-    return F.btrim(F.regexp_replace(F.when(line.rlike(DIGITS), cut).otherwise(line), r"(?U)\s+", " "), F.lit(" -–—|()"))
+    return F.btrim(F.regexp_replace(F.when(line.rlike(MAY_RANGE), cut).otherwise(line), r"(?U)\s+", " "), F.lit(" -–—|()"))
 
 
 def intervals(lines: Column, as_of: Column) -> Column:

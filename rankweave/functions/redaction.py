@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +31,31 @@ URL = r"(?i)https?://\S+|www\.\S+|github\.com/\S+|linkedin\.com/\S+|facebook\.co
 PHONE = r"(?<!\d)(?:\+?84[\s.-]?|0)(?:3|5|7|8|9)\d(?:[\s.-]?\d){7,8}(?!\d)"
 BIRTH = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
 BULLET = r"^\s*(?:[-*+•●▪◦‣–—]|(?:\d+)[.)])\s*"
+#: What all finds of a pattern have, cheap to look for; a text without it is not looked at by the pattern.
+MAY_URL = r"(?i)://|www\.|\.(?:com|net|io|dev|me|co|vn)/"
+MAY_PHONE = r"(?:0|84[\s.-]?)[35789]\d[\s.-]?\d"
+MAY_BIRTH = r"\d[/-]\d{1,2}[/-]\d{2}"
+MAY_NAME = r"^(?:#{1,6}+\s++)?+\s*+\S++(?:\s++\S++){1,4}+\s*+\z"
+#: A line of at most a bullet.
+EMPTY = r"^(?:\s*(?:[-*+•●▪◦‣–—]|\d+[.)])\s*+)?+ *+\z"
+
+
+def _has_email(t: Column) -> Column:
+    return F.contains(t, F.lit("@")) & t.rlike(EMAIL)
+
+
+def has_contact(t: Column) -> Column:
+    """Whether a text holds an address, a phone number or a link."""
+    return _has_email(t) | (t.rlike(MAY_PHONE) & t.rlike(PHONE)) | (t.rlike(MAY_URL) & t.rlike(URL))
+
+
+def _cut(t: Column, may: Callable[[Column], Column], pattern: str, by: str = "") -> Column:
+    return let(t, lambda x: F.when(may(x), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+
+def without_links(t: Column) -> Column:
+    """A text with a blank for each link and address."""
+    return _cut(_cut(t, lambda x: x.rlike(MAY_URL), URL, " "), lambda x: F.contains(x, F.lit("@")), EMAIL, " ")
 
 
 def name_token(word: Column) -> Column:
@@ -42,10 +68,9 @@ def name_token(word: Column) -> Column:
 
 def looks_like_name(line: Column) -> Column:
     """A line, heading marks aside, of two to five name tokens without a word of jobs or sections."""
-    plain = F.trim(F.regexp_replace(line, r"^#{1,6}\s+", ""))
-    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
     ok = lambda w: name_token(w) & ~F.lower(w).isin(JOB_WORDS)
-    return F.size(words).between(2, 5) & ~F.lower(plain).isin(NO_NAMES) & F.forall(words, ok)
+    named = lambda plain: ~F.lower(plain).isin(NO_NAMES) & F.forall(F.filter(F.split(plain, r"\s+"), lambda w: w != ""), ok)
+    return line.rlike(MAY_NAME) & let(F.trim(F.regexp_replace(line, r"^#{1,6}\s+", "")), named)
 
 
 _STATE = "struct<out:array<string>,contact:boolean,section:boolean,pending:boolean,skipped:int>"
@@ -55,7 +80,8 @@ def _kept_lines(t: Column) -> Column:
     """The lines that stay: a fold over the lines, whose state is whether a contact section is open, a section was seen, a name came last."""
 
     def step(s: Column, line: Column) -> Column:
-        heading = line.rlike(r"^##\s+\S.*$")
+        heading = line.startswith("##") & line.rlike(r"^##\s+\S.*$")
+        labelled = (F.contains(line, F.lit(":")) | F.contains(line, F.lit("："))) & line.rlike(LABELLED)
         opens = heading & F.lower(F.trim(F.regexp_replace(line, r"^##\s+", ""))).isin(CONTACT)
         inside = ~heading & s["contact"]
         over = inside & (s["skipped"] + 1 > CONTACT_LINES)
@@ -66,20 +92,26 @@ def _kept_lines(t: Column) -> Column:
         bare = F.trim(line)
         wrapped = s["pending"] & ~bare.startswith("#") & (bare != "") & ~bare.rlike(r"\s") & name_token(bare)
         return (
-            F.when(opens, state(s["out"], F.lit(False))).when(inside & ~over, state(s["out"], s["pending"])).when(line.rlike(LABELLED), state(s["out"], F.lit(False)))
+            F.when(opens, state(s["out"], F.lit(False))).when(inside & ~over, state(s["out"], s["pending"])).when(labelled, state(s["out"], F.lit(False)))
             .when(name, state(s["out"], F.lit(True))).when(wrapped, state(s["out"], F.lit(False))).otherwise(state(F.array_append(s["out"], line), F.lit(False)))
         )
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("contact"), F.lit(False).alias("section"), F.lit(False).alias("pending"), F.lit(0).alias("skipped")).cast(_STATE)
-    return F.aggregate(F.split(F.regexp_replace(t, "\r\n?", "\n"), "\n"), start, step)["out"]
+    return F.aggregate(F.split(_cut(t, lambda x: F.contains(x, F.lit("\r")), "\r\n?", "\n"), "\n"), start, step)["out"]
 
 
 def without_person(t: Column) -> Column:
     """A profile's text without labelled lines, contact sections, names, links, addresses, numbers and dates; null counts as empty."""
     lines = F.array_join(_kept_lines(F.coalesce(t, F.lit(""))), "\n")
-    bare = reduce(lambda c, p: F.regexp_replace(c, p, ""), [LINK, EMAIL, URL, PHONE, BIRTH], lines)
-    blanked = F.transform(F.split(bare, "\n"), lambda x: F.when(F.trim(F.regexp_replace(x, BULLET, "")) == "", "").otherwise(F.rtrim(x)))
-    return F.regexp_replace(F.regexp_replace(F.array_join(blanked, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    has = lambda mark: lambda x: F.contains(x, F.lit(mark))
+    meets = lambda may: lambda x: x.rlike(may)
+    kinds = [(has("]("), LINK), (has("@"), EMAIL), (meets(MAY_URL), URL), (meets(MAY_PHONE), PHONE), (meets(MAY_BIRTH), BIRTH)]
+    bare = reduce(lambda c, k: _cut(c, *k), kinds, lines)
+    blanked = F.transform(F.split(bare, "\n"), lambda x: F.when(x.rlike(EMPTY), "").otherwise(F.rtrim(x)))
+    tight = _cut(F.array_join(blanked, "\n"), has("\n\n\n"), r"\n{3,}", "\n\n")
+    # a pattern's $ stands before a line end of these, too
+    odd = lambda x: reduce(lambda a, b: a | b, (x.endswith(c) for c in ("\x85", "\u2028", "\u2029")))
+    return let(tight, lambda x: F.when(odd(x), F.regexp_replace(x, r"^\s+|\s+$", "")).otherwise(F.btrim(x, F.lit(" \t\n\x0b\f\r"))))
 
 
 # First parts of a code host's addresses that are no owners.

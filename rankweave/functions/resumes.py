@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import dates
 from rankweave.functions.guardrails import let
-from rankweave.functions.redaction import BULLET, EMAIL, PHONE, URL, looks_like_name
+from rankweave.functions.redaction import BULLET, has_contact, looks_like_name
 from rankweave.functions.unicode import trimmed
 
 # Headings by the section that they open.
@@ -151,6 +151,10 @@ def no_prose(line: Column) -> Column:
     return ~((F.length(line) > 120) & (F.length(dates.without_ranges(line)) > 80))
 
 
+def _names_role(line: Column) -> Column:
+    return let(F.lower(line), lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in ROLES)))
+
+
 def title_and_place(header: Column, education: Column) -> Column:
     """(title, org) of an entry's header lines: parts between bars; in education the school and the first other line; else the first line as the
     title if it has a role's word, the second one if not."""
@@ -160,12 +164,12 @@ def title_and_place(header: Column, education: Column) -> Column:
     def split(c: Column) -> Column:
         parts = F.filter(F.transform(F.split(F.array_join(c, " | "), r"\s*\|\s*"), lambda p: F.trim(p)), lambda p: p != "")
         school = F.coalesce(F.get(F.filter(c, lambda x: x.rlike(SCHOOL)), F.lit(0)), F.get(c, F.lit(0)))
-        studied = F.get(F.filter(c, lambda x: (x != school) & ~x.rlike(PLACE)), F.lit(0))
-        role = lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in ROLES))
         one, two = F.get(c, F.lit(0)), F.get(c, F.lit(1))
-        other = F.when(role(one), pair(one, two)).otherwise(pair(F.coalesce(two, one), one))
-        barred = F.exists(c, lambda x: F.contains(x, F.lit(" | "))) & (F.size(parts) >= 2)
-        return F.when(F.size(c) == 0, pair(F.lit(""), F.lit(""))).when(barred, pair(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).when(education, pair(studied, school)).otherwise(other)
+        other = F.when(_names_role(one), pair(one, two)).otherwise(pair(F.coalesce(two, one), one))
+        taught = let(school, lambda s: pair(F.get(F.filter(c, lambda x: (x != s) & ~x.rlike(PLACE)), F.lit(0)), s))
+        barred = F.when(F.exists(c, lambda x: F.contains(x, F.lit(" | "))), parts)
+        choose = lambda p: F.when(F.size(p) >= 2, pair(F.get(p, F.lit(0)), F.get(p, F.lit(1)))).when(education, taught).otherwise(other)
+        return F.when(F.size(c) == 0, pair(F.lit(""), F.lit(""))).otherwise(let(barred, choose))
 
     return let(tidy, split)
 
@@ -208,7 +212,8 @@ def entries(lines: Column, education: Column, as_of: Column) -> Column:
 
 def as_content(lines: Column) -> Column:
     """Lines as they are written under a label: bullets as `- `, empty ones left out."""
-    return F.filter(F.transform(lines, lambda x: F.when(is_bullet(x), F.when(unmarked(x) != "", F.concat(F.lit("- "), unmarked(x)))).otherwise(F.nullif(x, F.lit("")))), lambda x: x.isNotNull())
+    item = lambda x: F.when(is_bullet(x), let(unmarked(x), lambda t: F.when(t != "", F.concat(F.lit("- "), t)))).otherwise(F.when(x != "", x))
+    return F.filter(F.transform(lines, item), lambda x: x.isNotNull())
 
 
 def written(found: Column) -> Column:
@@ -224,16 +229,14 @@ def written(found: Column) -> Column:
 
 def headline(preamble: Column) -> Column:
     """The first line before any heading, of at most eight words, with a role's word in it; empty without one."""
-    role = lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in ROLES))
-    some = F.filter(preamble, lambda x: role(x) & F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")).between(1, 8))
+    some = F.filter(preamble, lambda x: _names_role(x) & let(F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")), lambda n: n.between(1, 8)))
     return F.coalesce(F.btrim(F.regexp_replace(F.get(some, F.lit(0)), r"^#+\s*", ""), F.lit(" -|")), F.lit(""))
 
 
 def profile(lines: Column, head: Column) -> Column:
     """A summary's lines as one, without goals by date; the headline where nothing is left."""
     plain = F.transform(F.filter(lines, lambda x: ~unmarked_start(x).rlike(GOAL)), lambda x: F.when(is_bullet(x), F.nullif(unmarked(x), F.lit(""))).otherwise(x))
-    text = F.trim(F.array_join(F.array_compact(plain), " "))
-    return F.when(text != "", text).otherwise(F.nullif(head, F.lit("")))
+    return let(F.trim(F.array_join(F.array_compact(plain), " ")), lambda text: F.when(text != "", text).otherwise(F.nullif(head, F.lit(""))))
 
 
 def unmarked_start(line: Column) -> Column:
@@ -242,8 +245,8 @@ def unmarked_start(line: Column) -> Column:
 
 def opening(lines: Column, head: Column) -> Column:
     """Long lines before any heading that are no name, contact data or the headline, as one; null without any."""
-    some = F.filter(lines, lambda x: (F.length(x) >= 40) & ~looks_like_name(x) & ~x.rlike(EMAIL) & ~x.rlike(PHONE) & ~x.rlike(URL) & ~((head != "") & (x == head)))
-    return F.when(F.size(some) > 0, F.array_join(some, " "))
+    some = F.filter(lines, lambda x: (F.length(x) >= 40) & ~looks_like_name(x) & ~has_contact(x) & ~((head != "") & (x == head)))
+    return let(some, lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")))
 
 
 def body(parts: Column, head: Column) -> Column:
@@ -254,24 +257,29 @@ def body(parts: Column, head: Column) -> Column:
     dated = ("Experience", "Projects", "Education")
     content = lambda p: F.when(p["section"].isin(*dated), F.coalesce(written(p["entries"]), as_content(p["lines"]))).otherwise(as_content(p["lines"]))
     under = lambda label: F.flatten(F.transform(F.filter(parts, lambda p: p["section"].isin(*(s for s, to in LABELS.items() if to == label)) & (F.size(p["lines"]) > 0)), content))
-    work = under("Work Experience")
-    title = F.trim(F.substring_index(F.substring(F.get(F.filter(work, lambda x: x.startswith("### ")), F.lit(0)), 5, 1 << 30), "|", 1))
+    title = lambda work: F.trim(F.substring_index(F.substring(F.get(F.filter(work, lambda x: x.startswith("### ")), F.lit(0)), 5, 1 << 30), "|", 1))
     summaries = F.array_compact(F.transform(F.filter(parts, lambda p: (p["section"] == "Summary") & (F.size(p["lines"]) > 0)), lambda p: profile(p["lines"], head)))
-    first = F.coalesce(opening(F.get(parts, F.lit(0))["lines"], head), F.get(summaries, F.lit(0)), F.nullif(head, F.lit("")), F.nullif(title, F.lit("")))
-    block = lambda label, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"## {label}\n\n"), F.array_join(lines, "\n")))
-    blocks = [block("Profile", F.array_compact(F.array(first))), *(block(label, work if label == "Work Experience" else under(label)) for label in dict.fromkeys(LABELS.values()) if label != "Profile")]
-    return F.array_join(F.array_compact(F.array(*blocks)), "\n\n")
+    first = lambda work: F.coalesce(opening(F.get(parts, F.lit(0))["lines"], head), F.get(summaries, F.lit(0)), F.nullif(head, F.lit("")), F.nullif(title(work), F.lit("")))
+    block = lambda label, lines: let(lines, lambda c: F.when(F.size(c) > 0, F.concat(F.lit(f"## {label}\n\n"), F.array_join(c, "\n"))))
+
+    def write(work: Column) -> Column:
+        blocks = [block("Profile", F.array_compact(F.array(first(work)))), *(block(label, work if label == "Work Experience" else under(label)) for label in dict.fromkeys(LABELS.values()) if label != "Profile")]
+        return F.array_join(F.array_compact(F.array(*blocks)), "\n\n")
+
+    return let(under("Work Experience"), write)
 
 
 def seniority(head: Column, parts: Column, years: Column) -> Column:
     """The level said in the headline or the first four lines of sections of work, else by years."""
     said = F.filter(parts, lambda p: p["section"].isin("Experience", "Projects", "preamble"))
     blob = F.lower(F.array_join(F.concat(F.array(head), F.flatten(F.transform(said, lambda p: F.slice(p["raw"], 1, 4)))), " "))
-    return (
-        F.when(blob.rlike(r"intern|thực tập|thuc tap|fresher|thực tập sinh"), "intern")
-        .when(blob.rlike(r"(?U)\b(principal|staff engineer|tech lead|team lead|lead\b|senior)\b"), "senior").when(blob.rlike(r"(?U)\b(junior|jr\.?)\b"), "junior")
+    any_of = lambda x, *words: reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in words))
+    level = lambda x: (
+        F.when(any_of(x, "intern", "thực tập", "thuc tap", "fresher"), "intern")
+        .when(any_of(x, "principal", "staff engineer", "lead", "senior") & x.rlike(r"(?U)\b(principal|staff engineer|tech lead|team lead|lead\b|senior)\b"), "senior").when(any_of(x, "junior", "jr") & x.rlike(r"(?U)\b(junior|jr\.?)\b"), "junior")
         .when(years >= 5, "senior").when(years >= 2, "mid").when(years >= 1, "junior").otherwise("intern")
     )
+    return let(blob, level)
 
 
 def scalar(value: Column) -> Column:

@@ -6,26 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import dates, resumes
-from rankweave.functions.guardrails import let
-from rankweave.functions.redaction import EMAIL, URL, without_person
+from rankweave.functions.guardrails import has_any, let
+from rankweave.functions.redaction import without_links, without_person
+from rankweave.functions.text import matched
 from rankweave.operators import skills
 from rankweave.sources.tables import spread
 
-# What in a title or text speaks for a field: pattern, field, part of it.
+# What in a title or text speaks for a field: pattern, field, part of it, and texts of which all finds of the pattern hold one.
 HINTS = [
-    (r"front[\s-]*end", "web", "frontend"),
-    (r"back[\s-]*end", "web", "backend"),
-    (r"full[\s-]*stack", "web", "backend"),
-    (r"mobile|android|\bios\b|flutter|react native", "mobile", "mobile"),
-    (r"devops|site reliability|\bsre\b", "cloud_devops", "devops"),
-    (r"data engineer|data analyst|data science|machine learning|\bml\b|\bai\b", "data", "data_engineering"),
-    (r"\bqa\b|tester|quality assurance", "qa_testing", "testing"),
-    (r"security|cybersec", "cybersecurity", "cybersecurity"),
-    (r"ui/?ux|product designer", "ui_ux", "ui_ux"),
-    (r"\bgame\b|game developer", "game", "game"),
-    (r"embedded|\biot\b|firmware", "embedded_iot", "embedded_iot"),
-    (r"\bphp\b|laravel|django|spring|nestjs|asp\.net|\.net|golang", "web", "backend"),
+    (r"front[\s-]*end", "web", "frontend", ["front"]),
+    (r"back[\s-]*end", "web", "backend", ["back"]),
+    (r"full[\s-]*stack", "web", "backend", ["full"]),
+    (r"mobile|android|\bios\b|flutter|react native", "mobile", "mobile", ["mobile", "android", "ios", "flutter", "react native"]),
+    (r"devops|site reliability|\bsre\b", "cloud_devops", "devops", ["devops", "site reliability", "sre"]),
+    (r"data engineer|data analyst|data science|machine learning|\bml\b|\bai\b", "data", "data_engineering", ["data ", "machine learning", "ml", "ai"]),
+    (r"\bqa\b|tester|quality assurance", "qa_testing", "testing", ["qa", "tester", "quality assurance"]),
+    (r"security|cybersec", "cybersecurity", "cybersecurity", ["security", "cybersec"]),
+    (r"ui/?ux|product designer", "ui_ux", "ui_ux", ["ui/ux", "uiux", "product designer"]),
+    (r"\bgame\b|game developer", "game", "game", ["game"]),
+    (r"embedded|\biot\b|firmware", "embedded_iot", "embedded_iot", ["embedded", "iot", "firmware"]),
+    (r"\bphp\b|laravel|django|spring|nestjs|asp\.net|\.net|golang", "web", "backend", ["php", "laravel", "django", "spring", "nestjs", ".net", "golang"]),
 ]
+#: Letters that patterns take for i, s and k whatever their case, though lower case keeps them or makes more of them.
+FOLDING = ["\u0130", "\u0131", "\u017f", "\u212a"]
 # The field of a skill's category, and the categories that are parts of fields of their own.
 FIELDS = {
     "web": "frontend backend api cms_ecommerce desktop", "mobile": "mobile", "cloud_devops": "cloud aws azure gcp devops containers_orchestration observability", "data": "data_engineering data_analysis",
@@ -90,14 +93,33 @@ def _first_of_most(totals: Column) -> Column:
 def fields(head: Column, text: Column, categories: Column) -> tuple[Column, Column]:
     """(field, part) of a profile: votes of hints in its headline (eightfold) and text, and of its skills' categories (array<array<string>>, an
     array a skill); ties go to the first vote."""
-    blob = F.concat(head, F.lit("\n"), F.substring(text, 1, HINTED))
-    hinted = []
-    for pattern, field, part in HINTS:
-        weight = (F.regexp_count(head, F.lit(f"(?iuU){pattern}")) * 8 + F.regexp_count(blob, F.lit(f"(?iuU){pattern}"))) * 4
-        hinted.append(F.struct(F.lit(field).alias("field"), F.lit(part).alias("part"), weight.cast("int").alias("weight")))
+    made = _chosen(head, text, categories)
+    return made["field"], made["part"]
+
+
+def _hinted(head: Column, text: Column) -> Column:
+    """array<struct<field, part, weight>>: a vote of each hint. Lower-cased texts are searched, so that no pattern has to try cases, and only for hints
+    of which a text holds a part."""
+
+    in_low = lambda t, pattern, marks: F.when(has_any(t, marks), F.regexp_count(t, F.lit(f"(?U){pattern}"))).otherwise(0)
+    in_any = lambda t, pattern, _: F.regexp_count(t, F.lit(f"(?iuU){pattern}"))
+
+    def votes(t: Column, count) -> Column:
+        weight = lambda pattern, marks: ((count(t["head"], pattern, marks) * 8 + count(t["blob"], pattern, marks)) * 4).cast("int")
+        return F.array(*(F.struct(F.lit(field).alias("field"), F.lit(part).alias("part"), weight(pattern, marks).alias("weight")) for pattern, field, part, marks in HINTS))
+
+    def of(t: Column) -> Column:
+        low = F.struct(F.lower(t["head"]).alias("head"), F.lower(t["blob"]).alias("blob"))
+        return F.when(has_any(t["blob"], FOLDING), votes(t, in_any)).otherwise(let(low, lambda t: votes(t, in_low)))
+
+    return let(F.struct(head.alias("head"), F.concat(head, F.lit("\n"), F.substring(text, 1, HINTED)).alias("blob")), of)
+
+
+def _chosen(head: Column, text: Column, categories: Column) -> Column:
+    """(field, part) as a struct: see ``fields``."""
     field_of = F.create_map(*(F.lit(x) for field, names in FIELDS.items() for name in names.split() for x in (name, field)))
     one = lambda c: F.struct(F.try_element_at(field_of, c).alias("field"), c.alias("part"), F.when(c.isin(PARTS), 3).otherwise(1).cast("int").alias("weight"))
-    every = F.filter(F.concat(F.array(*hinted), F.transform(F.flatten(categories), one)), lambda v: v["weight"] > 0)
+    every = F.filter(F.concat(_hinted(head, text), F.transform(F.flatten(categories), one)), lambda v: v["weight"] > 0)
 
     def choose(votes: Column) -> Column:
         named = lambda k: _votes(F.transform(F.filter(votes, lambda v: v[k].isNotNull()), lambda v: F.struct(v[k].alias("name"), v["weight"].alias("weight"))))
@@ -110,8 +132,22 @@ def fields(head: Column, text: Column, categories: Column) -> tuple[Column, Colu
 
         return F.struct(let(named("field"), _first_of_most).alias("field"), let(named("part"), part_of).alias("part"))
 
-    made = let(every, choose)
-    return made["field"], made["part"]
+    return let(every, choose)
+
+
+def _skilled(rows: DataFrame, doc: str, view: str, terms: DataFrame) -> DataFrame:
+    """rows with _named, array<struct<slug, categories>>: the skills that a matched text names, by slug. Rows that share an id share its skills.
+
+    Ids are looked at first: where none repeats, a row needs no other, and no text is shuffled.
+    """
+    known = terms.where("slug is not null").groupBy("slug").agg(F.array_distinct(F.flatten(F.sort_array(F.collect_set(F.array("category", "role"))))).alias("categories"))
+    one = known.agg(F.map_from_entries(F.collect_list(F.struct("slug", "categories"))).alias("_categories"))
+    own = skills.named(rows, view, terms)
+    if not rows.groupBy(doc).count().where("count > 1").isEmpty():
+        shared = own.groupBy(F.col(doc).alias("_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("slugs")))).alias("slugs"))
+        own = own.drop("slugs").join(shared, F.col(doc).eqNullSafe(F.col("_id"))).drop("_id")
+    named = F.transform("slugs", lambda s: F.struct(s.alias("slug"), F.col("_categories")[s].alias("categories")))
+    return own.crossJoin(F.broadcast(one)).withColumn("_named", named).drop("slugs", "_categories")
 
 
 def structured(docs: DataFrame, doc_id: str, terms: DataFrame, text_col: str = "text", source_col: str | None = None, as_of: Column | None = None) -> DataFrame:
@@ -126,25 +162,22 @@ def structured(docs: DataFrame, doc_id: str, terms: DataFrame, text_col: str = "
     source = F.col(source_col) if source_col else F.lit(None).cast("string")
     rows = parsed(spread(docs.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("_text"), source.alias("_source"))), "_text", as_of)
     rows = rows.withColumn("_raw", F.array_join("_lines", "\n"))
-    bare = rows.select("doc", F.regexp_replace(F.regexp_replace("_raw", URL, " "), EMAIL, " ").alias("text"))
-    of_skill = terms.groupBy("slug").agg(F.array_distinct(F.flatten(F.sort_array(F.collect_set(F.array("category", "role"))))).alias("categories"))
-    named = skills.extract(bare, terms, "doc").join(F.broadcast(of_skill), "slug").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("slug", "categories"))).alias("_named"))
-    rows = rows.join(named.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left")
-    none = F.array().cast("array<struct<slug:string,categories:array<string>>>")
-    rows = rows.withColumn("_named", F.coalesce("_named", none))
+    rows = _skilled(rows.withColumn("_view", matched(without_links(F.col("_raw")))), "doc", "_view", terms).drop("_view")
 
     work = F.flatten(F.transform(F.filter("_parts", lambda p: p["section"] == "Experience"), lambda p: F.filter(p["raw"], resumes.no_prose)))
     rows = rows.withColumn("years_experience", dates.years_of(dates.merged_months(dates.intervals(work, as_of))))
     rows = rows.withColumn("seniority", resumes.seniority(F.col("_headline"), F.col("_parts"), F.col("years_experience")))
-    field, part = fields(F.col("_headline"), F.col("_raw"), F.transform("_named", lambda s: s["categories"]))
+    rows = rows.withColumn("_field", _chosen(F.col("_headline"), F.col("_raw"), F.transform("_named", lambda s: s["categories"])))
     stem = F.regexp_replace(F.substring_index("_source", "/", -1), r"(?<=.)\.[^.]*$", "")
     numbered = r"(?i)(G(\d+)[-_][A-Za-z0-9]+[-_]\d+)"
     rows = rows.withColumns({
-        "major_field": field, "sub_field": part, "skills": F.transform("_named", lambda s: s["slug"]),
+        "major_field": F.col("_field.field"), "sub_field": F.col("_field.part"), "skills": F.transform("_named", lambda s: s["slug"]),
         "cv_id": F.coalesce(F.when(stem.rlike(numbered), F.upper(F.translate(F.regexp_extract(stem, numbered, 1), "_", "-"))).otherwise(stem), F.lit("")),
         "group_id": F.regexp_extract(stem, numbered, 2).try_cast("int"),
     })
-    rows = rows.withColumns({"_body": without_person(resumes.body(F.col("_parts"), F.col("_headline"))), "_left": without_person(F.col("_raw"))})
+    rows = rows.withColumn("_body", without_person(resumes.body(F.col("_parts"), F.col("_headline"))))
+    # what is left of a text is never longer than the text
+    rows = rows.withColumn("_left", F.when((F.length("_body") < 400) & (F.length("_raw") > 800), without_person(F.col("_raw"))))
     extra = F.aggregate(F.split("_body", "\n"), F.col("_left"), lambda s, x: F.when(F.trim(x) != "", F.replace(s, F.trim(x), F.lit(""))).otherwise(s))
     rest = F.btrim(F.regexp_replace(extra, r"\n{3,}", "\n\n"), F.lit(" \n"))
     short = (F.length("_body") < 400) & (F.length("_left") > 800)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import dates, guardrails, redaction, resumes, routing, unicode, wording
 from rankweave.functions import text as texts
 from rankweave.operators import claims, profiles, projects, relational, retrieval, skills
+from rankweave.operators import resumes as structuring
 from rankweave.plans import registry
 from rankweave.sources import tables
 from rankweave.streaming import state as live
@@ -207,3 +208,35 @@ def test_body_lines_or_sentences(spark):
     said = ["a\n b\n\nc\nd ", "a. b.  c。 d", "one", "", "a\n\n. b\n"]
     got = [r["l"] for r in spark.createDataFrame([(x,) for x in said], "t string").select(wording.body_lines(F.col("t")).alias("l")).collect()]
     assert got == [["a", "b", "c", "d"], ["a.", "b.", "c。", "d"], ["one"], [], ["a\n\n.", "b\n"]]
+
+
+def test_profiles_are_made_within_rows_unless_ids_repeat(spark):
+    terms = spark.createDataFrame([("go", "golang", "backend", "x"), ("java", "java", "backend", "x")], "variant string, slug string, category string, role string")
+    rows = [(1, "Summary\nI write Go"), (2, "java"), (None, "none")]
+    made = lambda rows: structuring.structured(spark.createDataFrame(rows, "id int, t string"), "id", terms, "t", None, F.lit("2026-06-15").cast("date"))
+    alone, again = made(rows), made([*rows, (1, "java"), (None, "Go")])
+    shown = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=>" not in shown and "LeftOuter" not in shown  # no join by id, so no shuffle of texts
+    assert sorted((r["doc"] or 0, r["skills"]) for r in alone.collect()) == [(0, []), (1, ["golang"]), (2, ["java"])]
+    assert sorted((r["doc"] or 0, r["skills"]) for r in again.collect()) == [(0, ["golang"])] * 2 + [(1, ["golang", "java"])] * 2 + [(2, ["java"])]
+
+
+SAID = [
+    "Front-END, back  end and full stack", "iOS, İOS and ıos", "(ML) ai AIM data Engineer", "ſecurity, Site Reliability", "UI/UX uiux", "asp.NET .Net php", "Jean Le\nmail: a@b.co x@y.vn", "see GitHub.com/a or b.Co/x, WWW.a or http:// no",
+    "0912 345\n678 or 84-912345678", "1/2/2020 12-3-99 1/22/333", "[a\nb](c) [d] (e)", "- \n 3. \n-\x85\n\n\n\nx \u2028", "## Contact\nname : x\n## A B\nLE van\na\tB", "\r\n a\rb \r\n", "", None,
+]
+
+
+def test_marks_of_hints_and_persons_lose_no_find(spark):
+    t = F.col("t")
+    plain = [(F.regexp_count(F.lit(""), F.lit("x")) + F.regexp_count(t, F.lit(f"(?iuU){h[0]}"))) * 4 for h in structuring.HINTS]
+    lines = F.array_join(redaction._kept_lines(F.coalesce(t, F.lit(""))), "\n")
+    for p in (redaction.LINK, redaction.EMAIL, redaction.URL, redaction.PHONE, redaction.BIRTH):
+        lines = F.regexp_replace(lines, p, "")
+    lines = F.array_join(F.transform(F.split(lines, "\n"), lambda x: F.when(F.trim(F.regexp_replace(x, redaction.BULLET, "")) == "", "").otherwise(F.rtrim(x))), "\n")
+    bare = F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    got = spark.createDataFrame([(x,) for x in SAID], "t string").select(
+        F.transform(structuring._hinted(F.lit(""), t), lambda v: v["weight"]).alias("a"), F.array(*plain).alias("b"), redaction.without_person(t).alias("c"), bare.alias("d"),
+        redaction.without_links(t).alias("e"), F.regexp_replace(F.regexp_replace(t, redaction.URL, " "), redaction.EMAIL, " ").alias("f"),
+    ).collect()
+    assert all((r["a"] == r["b"] or r["e"] is None) and r["c"] == r["d"] and r["e"] == r["f"] for r in got) and sum(max(r["a"]) > 0 for r in got[:6]) == 6
