@@ -240,3 +240,20 @@ def test_marks_of_hints_and_persons_lose_no_find(spark):
         redaction.without_links(t).alias("e"), F.regexp_replace(F.regexp_replace(t, redaction.URL, " "), redaction.EMAIL, " ").alias("f"),
     ).collect()
     assert all((r["a"] == r["b"] or r["e"] is None) and r["c"] == r["d"] and r["e"] == r["f"] for r in got) and sum(max(r["a"]) > 0 for r in got[:6]) == 6
+
+
+def test_a_stream_of_notices_writes_items_not_notices(spark, sf_dir, monkeypatch):
+    from rankweave.streaming import events
+
+    written, drained = [], events.drained
+    monkeypatch.setattr(events, "drained", lambda stream, name: written.append(drained(stream, name)) or written[-1])
+    found = registry.QUERIES["stream_notices"](spark, sf_dir).count()
+    pending = tables.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").count()
+    assert [w.count() for w in written] == [pending] and found > 0 and "key" not in written[0].columns
+
+
+def test_notices_of_a_table_are_those_of_a_stream_and_told_once(spark):
+    first = spark.createDataFrame([(1, 7), (2, 7), (None, 8), (1, None)], "company int, item int").withColumn("at", F.lit("2026-01-01").cast("timestamp"))
+    members = spark.createDataFrame([(1, 5), (2, 5), (1, 6), (1, 6), (1, None)], "company int, user int")
+    got = sorted((r["user"] or 0, r["key"]) for r in live.told(first, members, "company", "item", "e", "at").collect())
+    assert got == [(0, "e"), (0, "e:7"), (5, "e:5"), (5, "e:7:5"), (6, "e:6"), (6, "e:7:6")]
